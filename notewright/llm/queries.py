@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import language_id
+from notewright.llm import language_id, mixing, secret_scan
 from notewright.llm.common import held_out, table
 
 
@@ -16,9 +16,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that fill a budget of all tokens at the example weights."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return mixing.mix_documents(docs).select("doc_id", F.expr(mixing.DOMAIN_SQL).alias("domain"), "lang", "source", "n_tokens", "epoch")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base kinds and linked weak parts."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secret_scan.BASE],
+        F.sha2(secret_scan.digest(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.digest(F.concat("base", "linked")).alias("spans"),
+        F.size("linked").cast("long").alias("n_linked"),
+    )
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id,)}
+    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": mixing.oracle()}
