@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import imatch, language_id, mixing, secret_scan
+from notewright.llm import balltree, imatch, language_id, mixing, secret_scan
 from notewright.llm.common import held_out, table
 
 
@@ -22,6 +22,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).select("doc_id", F.expr(mixing.DOMAIN_SQL).alias("domain"), "lang", "source", "n_tokens", "epoch")
 
 
+def op6_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 5 nearest by integer inner product of every 50th vector."""
+    return balltree.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -41,8 +46,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op8_imatch, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op6_ball_tree_search, op8_imatch, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.oracle(), "op8_imatch": imatch.oracle()}
+    return {"op5_source_mixing": mixing.oracle(), "op6_ball_tree_search": balltree.oracle(), "op8_imatch": imatch.oracle()}
