@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, secret_scan
+from notewright.llm import balltree, imatch, language_id, mixing, pu_quality, secret_scan
 from notewright.llm.common import held_out, table
 
 
@@ -27,6 +27,14 @@ def op6_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of the three training folds."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    train = lambda df: df.where(~held_out(F.col("doc_id")))
+    model = pu_quality.fit(train(docs), train(labels))
+    return pu_quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return imatch.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -46,7 +54,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op6_ball_tree_search, op8_imatch, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
