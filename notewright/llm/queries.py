@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, pu_quality, secret_scan
+from notewright.llm import balltree, imatch, language_id, mixing, packing, pu_quality, secret_scan
 from notewright.llm.common import held_out, table
 
 
@@ -16,6 +16,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """All documents in sequences of 2048 tokens, sources in proportion to their tokens."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return packing.pack(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that fill a budget of all tokens at the example weights."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
@@ -54,7 +62,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
