@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, packing, pu_quality, secret_scan
+from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan
 from notewright.llm.common import held_out, table
 
 
@@ -61,8 +61,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a 5-word shingle similarity of 0.8 or more."""
+    return parity_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
 
 
 def oracle_sql() -> dict[str, str]:
