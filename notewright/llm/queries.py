@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan
+from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan, substring_dedup
 from notewright.llm.common import held_out, table
 
 
@@ -16,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once 35-word repeats are gone."""
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """All documents in sequences of 2048 tokens, sources in proportion to their tokens."""
     import public_tokenizers
@@ -67,7 +73,7 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
 
 
 def oracle_sql() -> dict[str, str]:
