@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan, substring_dedup
+from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan, substring_dedup, suffix_dedup
 from notewright.llm.common import held_out, table
 
 
@@ -22,6 +22,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document once 50-byte repeats of smaller doc_ids are gone."""
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """All documents in sequences of 2048 tokens, sources in proportion to their tokens."""
     import public_tokenizers
@@ -73,7 +79,7 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_suffix_array_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -173,6 +173,8 @@ def _compare(window: int):
 def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(doc_id, text, spans, n_words...) of every row: spans are the word intervals [from, to) of maximal
     repeats, as an array, with n_words, n_removed, kept (the words outside them, joined by a space)."""
+    if not anchor < window <= 255:
+        raise ValueError("a window must be longer than its anchor and at most 255 words")
     rows = S.keyed(docs, text)
     ranges = max(shuffle_parts(docs.sparkSession), docs.count() // RANGE_ROWS)
     found = checkpoint(S.seeds(rows, _finder(window, anchor), ranges, False))
