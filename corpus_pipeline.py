@@ -1,8 +1,71 @@
-"""Corpus pipeline (stages follow)."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as
+Parquet to the shared folder and gives the next stage what was written. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notewright.llm import language_id, mixing, packing, parity_join, secret_scan
+from notewright.llm.common import LOCAL_CHECKPOINTS, held_out
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is clear; the model is learnt from labelled rows of docs."""
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of linked documents the one of least doc_id."""
+    found = parity_join.join(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a placeholder for each secret, linked parts included."""
+    return secret_scan.redact(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Selects the documents that fill the token budget at the target weights."""
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Packs every document into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Language identification and packing have no form in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
