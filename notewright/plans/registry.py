@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+from notewright.plans import annotation, evaluation, gold, inference, preparation, retrying, structured, training
 
-def _modules():
-    return []
+MODULES = (evaluation, preparation, structured, inference, retrying, gold, training, annotation)
 
 
 def queries():
-    found = {}
-    for module in _modules():
-        found |= module.QUERIES
-    return found
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql():
-    found = {}
-    for module in _modules():
-        found |= module.ORACLES
-    return found
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
