@@ -19,6 +19,8 @@ their text; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,15 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     ids = docs.select("doc_id")
     low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, -(-(int(high) - int(low) + 1) * BLOCK_ROWS // n)) if low is not None else 1
-    block = F.coalesce(((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)"), F.lit(-1)) if width > 1 << 62 else F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}L"), F.lit(-1).cast("long"))
+    span = int(high) - int(low) + 1 if low is not None else 1
+    width = -(-span * BLOCK_ROWS // max(1, n))
+    if width >= span:
+        block = F.lit(0)
+    elif span < 1 << 63:
+        block = F.expr(f"(doc_id - {low}L) div {width}L")
+    else:  # ids over more than half of all there are: their differences need more than 64 bits
+        block = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(int(low)))) / F.lit(Decimal(width)))
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(block)
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = rows.withColumn("block", block.cast("long")).withColumn("extra", F.lit(False))
     heads = checkpoint(_previous_block(ids.select("doc_id", block.cast("long").alias("block")).groupBy("block").agg(F.max("doc_id").alias("head"))))
@@ -110,26 +119,32 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     known = checkpoint(lexicon(docs, text))
     few = known.count() <= BROADCAST_TERMS
     rows = with_next(docs, text).withColumn("edited", F.when(~F.col("extra"), edited(F.col("text"), F.col("next_text"))))
-    both = rows.select(
-        "block", "rn", "extra", "doc_id", F.length("text").cast("long").alias("n_chars"),
-        F.unhex(F.sha2(F.col("edited"), 256)).alias("edited_sha"),
-        F.explode(F.when(F.col("extra"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))).alias("x"),
-    )
+    sha = lambda c: F.unhex(F.sha2(F.col(c), 256))
+    # hashes are taken below the explode: beside it they would be taken for every term
+    each = lambda kind, t, own: F.struct(F.lit(kind).alias("kind"), F.col(own).alias("own_sha"), F.col(t).alias("t"))
+    sized = rows.select("block", "rn", "extra", "doc_id", F.length("text").cast("long").alias("n_chars"), sha("text").alias("text_sha"), sha("edited").alias("edited_sha"), "text", "edited")
+    kinds = F.when(F.col("extra"), F.array(each(0, "text", "text_sha"))).otherwise(F.array(each(0, "text", "text_sha"), each(1, "edited", "edited_sha")))
+    both = sized.select("block", "rn", "extra", "doc_id", "n_chars", "edited_sha", F.explode(kinds).alias("x"))
     keys = ["block", "rn", "extra", "doc_id", "n_chars", "edited_sha", "kind", "own_sha"]
-    spread = both.select(*keys[:6], "x.kind", F.unhex(F.sha2(F.col("x.t"), 256)).alias("own_sha"), F.posexplode_outer(terms(F.col("x.t"))).alias("pos", "term"))
+    spread = both.select(*keys[:6], "x.kind", "x.own_sha", F.posexplode_outer(terms(F.col("x.t"))).alias("pos", "term"))
     joined = spread.join(F.broadcast(known) if few else known, "term", "left").where(F.col("h").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
     hashed = joined.groupBy(*keys).agg(*[c.alias(f"s{i}") for i, c in enumerate(subset_hashes())])
-    subsets = F.array(*[f"s{i}" for i in range(REPLICATES * len(RATES))])
-    some = F.greatest(*[F.col(f"s{r * len(RATES)}") for r in range(REPLICATES)]) != 0
-    named = hashed.select(*keys, subsets.alias("subsets"), F.when(some, F.array_join(subsets.cast("array<string>"), ":")).otherwise(F.lower(F.hex("own_sha"))).alias("fingerprint"))
+    named = hashed.select(*keys, F.array(*[f"s{i}" for i in range(REPLICATES * len(RATES))]).alias("subsets"))
     order = Window.partitionBy("block").orderBy("rn", "kind")
-    ahead = named.select(*keys, "subsets", "fingerprint", *[F.lead(c, k).over(order).alias(f"{c}_{k}") for c in ("subsets", "fingerprint") for k in (1, 2)])
+    ahead = named.select(*keys, "subsets", *[F.lead(c, k).over(order).alias(f"{c}_{k}") for c in ("subsets", "own_sha") for k in (1, 2)])
+    own = ahead.where("kind = 0 AND NOT extra").select("*", *[_fingerprint(f"subsets{k}", f"own_sha{k}").alias(f"fingerprint{k}") for k in ("", "_1", "_2")])
     near = lambda k: likeness(F.col("subsets"), F.col(f"subsets_{k}"), F.col("fingerprint") == F.col(f"fingerprint_{k}"))
-    return ahead.where("kind = 0 AND NOT extra").select(
+    return own.select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), "fingerprint", F.col("fingerprint_1").alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next")
     )
 
 
+def _fingerprint(subsets: str, own_sha: str) -> Column:
+    """The subset hashes as text; without a term of the lexicon, the text's own hash."""
+    some = F.exists(subsets, lambda x: x != 0)
+    return F.when(some, F.array_join(F.col(subsets).cast("array<string>"), ":")).otherwise(F.lower(F.hex(own_sha)))
+
+
 def oracle() -> str:
     """The same in SQL, with the next document by one ordering of the table."""
     rates = [(r, rate) for r in range(REPLICATES) for rate in RATES]
