@@ -72,7 +72,7 @@ class WordTokenizer:
             else:
                 self.words[w] = self._bytes(self.whole.encode(w, add_special_tokens=False).ids)
         unique = list({p for _, ps in parts for p in ps})
-        shown = [p if p.isascii() else "".join(self.letters[b] for b in p.encode()) for p in unique]
+        shown = [p if p.isascii() and p.isprintable() else "".join(self.letters[b] for b in p.encode()) for p in unique]
         found: dict[str, bytes] = {}
         runs = [slice(i, i + 256) for i in range(0, len(unique), 256)]
         for run, e in zip(runs, self.pieces.encode_batch_fast([" ".join(shown[r]) for r in runs], add_special_tokens=False), strict=True):
@@ -95,9 +95,10 @@ class WordTokenizer:
         """Ids of each text; null is an empty text."""
         split = [self._split(t) if t else [] for t in texts]
         met = set().union(*split)
-        if len(self.words) + len(met - self.words.keys()) > MOST_WORDS:
-            self.words = {}
-        self._learn(list(met - self.words.keys()))
+        new = met.difference(self.words)  # asks the table for each word met; the other way round it would walk the table
+        if len(self.words) + len(new) > MOST_WORDS:
+            self.words, new = {}, met
+        self._learn(list(new))
         out = []
         for t, ws in zip(texts, split, strict=True):
             if ws or not t:
