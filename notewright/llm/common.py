@@ -49,3 +49,36 @@ def append_arrow(df: DataFrame, fn, fields: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + arrays, names=order)
 
     return df.mapInArrow(run, T.StructType(kept + new.fields))
+
+
+#: What was written aside is gathered to about so many bytes.
+APART_BYTES = 16 << 20
+
+
+def in_ranges(together, apart):
+    """For mapInArrow over partitions sorted by `spot`: together(table) of the rows of each spot from 0
+    on, one spot held at a time, and apart(table) of the rows of each negative spot, in pieces of
+    APART_BYTES, as those of one spot have no bound."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, at, size = [], None, 0
+
+        def done():
+            if held:
+                yield from (together if at >= 0 else apart)(pa.Table.from_batches(held)).to_batches()
+
+        for batch in batches:
+            spots = batch.column(batch.schema.get_field_index("spot")).to_numpy()
+            cuts = [0, *(np.flatnonzero(spots[1:] != spots[:-1]) + 1).tolist(), len(spots)] if len(spots) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if spots[a] != at or (at < 0 and size > APART_BYTES):
+                    yield from done()
+                    held, at, size = [], spots[a], 0
+                held.append(batch.slice(a, b - a))
+                size += held[-1].nbytes
+        yield from done()
+
+    return run

@@ -19,19 +19,19 @@ A class is known by a 64-bit sum of its shingles' hashes, shingles by 64-bit has
 
 Defined results: a null text or one without words has no shingles and is linked with nothing;
 a text of 1 to 4 words is one shingle of its own; equal rows are linked with each other; rows of
-one doc_id but different texts are nodes of that same id; a null doc_id gets its shingle count
-and, as component, the least doc_id of its class or null; an empty table gives an empty one.
-Other columns are not read.
+one doc_id but different texts are told apart by text_key and each is in the component of its own
+text; a row without doc_id gets, as component, that of equal texts with one, or null, and is
+linked with nothing else; an empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.arrowtext import Words, groups, mix, text_bytes
-from notewright.llm.common import checkpoint, shuffle_parts
+from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
 from notewright.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -115,7 +115,7 @@ def part_keys(n: int, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls, sketch) of every row."""
+    """(doc_id, text_key, n, cls, sketch) of every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -130,18 +130,19 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sketches.append(np.packbits(bits.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64))
             words = np.concatenate(sketches).ravel() if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64) if sizes else [], pa.int64()), pa.array(np.concatenate(classes) if classes else [], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(words))],
-                names=["doc_id", "n", "cls", "sketch"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(sizes).astype(np.int64) if sizes else [], pa.int64()), pa.array(np.concatenate(classes) if classes else [], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(words))],
+                names=["doc_id", "text_key", "n", "cls", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, sketch array<long>")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, cls long, sketch array<long>")
 
 
 def _key_blobs(docs: DataFrame, ranges: int) -> DataFrame:
     """(spot, keys, index, classes): part keys of many documents, packed by range of the key.
 
     Within what one task gathers, equal sets count once, and a key that many of them share goes
-    on in one of them, marked in its lowest bit; the others are written aside (spot -1) as
+    on in one of them, marked in its lowest bit; all are written aside (a negative spot) as
     members of that key, so that no key brings more than FEW rows a flush to its range.
     """
 
@@ -160,7 +161,7 @@ def _key_blobs(docs: DataFrame, ranges: int) -> DataFrame:
         spot = (keys >> np.uint64(17)) % np.uint64(ranges)
         rows = []
         if aside.any():
-            rows.append((-1, keys[aside].tobytes(), index[aside].tobytes()))
+            rows.append((-1 - int(classes[0] % np.uint64(ranges)), keys[aside].tobytes(), index[aside].tobytes()))
         going = ~many | first
         order = np.argsort(spot[going], kind="stable")
         k, x, s = marked[going][order], index[going][order], spot[going][order]
@@ -241,6 +242,14 @@ def _meet(table):
     return pa.table([pa.array(kind), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
 
+def _members(table):
+    """Of rows written aside: (kind 1) members of crowded parts."""
+    import pyarrow as pa
+
+    keys, cls = _unpack(table)
+    return pa.table([pa.array(np.ones(len(keys), np.int32)), pa.array((keys >> np.uint64(1)).view(np.int64)), pa.array(cls.view(np.int64))], names=["kind", "a", "b"])
+
+
 def _verify(rows: DataFrame) -> DataFrame:
     """Of (a, b, text_a, text_b) the pairs (a, b) whose sets are linked."""
 
@@ -250,17 +259,19 @@ def _verify(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sides = []
-                for name in ("text_a", "text_b"):
-                    sides.append([(i + rows, values) for i, _, rows, values in shingle_sets(batch.column(name))])
-                r = np.concatenate([x for s in sides for x, _ in s])
-                v = np.concatenate([x for s in sides for _, x in s])
-                n = batch.num_rows
+                n, sides, right = batch.num_rows, [], np.ones(batch.num_rows, bool)
+                for name, side in (("text_a", "a"), ("text_b", "b")):
+                    wanted = batch.column(side).to_numpy().view(np.uint64)
+                    for i, k, rows, values in shingle_sets(batch.column(name)):
+                        right[i : i + k] &= _classes(k, rows, values)[1] == wanted[i : i + k]  # not another text of that doc_id
+                        sides.append((i + rows, values))
+                r = np.concatenate([x for x, _ in sides])
+                v = np.concatenate([x for _, x in sides])
                 total = np.bincount(r, minlength=n)
                 order = np.lexsort((v, r))
                 r, v = r[order], v[order]
                 same = np.bincount(r[1:][(r[1:] == r[:-1]) & (v[1:] == v[:-1])], minlength=n)
-                ok = pa.array((total > 0) & (100 * same >= 80 * (total - same)))
+                ok = pa.array(right & (total > 0) & (100 * same >= 80 * (total - same)))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -272,27 +283,21 @@ def _hamming_ok():
     return near_size & (9 * apart <= F.col("n_a") + F.col("n_b"))
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row; class_id is the least doc_id of an equal set."""
+    """(doc_id, text_key, n_shingles, class_id, component_id) of every row; class_id is the least doc_id of an equal set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = checkpoint(_sets(docs))
     ranges = max(shuffle_parts(spark), docs.count() // RANGE_ROWS)
     classes = checkpoint(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")).where("rep IS NOT NULL"))
-    blobs = checkpoint(_key_blobs(docs, ranges).repartition(ranges, "spot"))
-
-    def members_of(table):
-        import pyarrow as pa
-
-        keys, cls = _unpack(table)
-        return pa.table([pa.array(np.ones(len(keys), np.int32)), pa.array((keys >> np.uint64(1)).view(np.int64)), pa.array(cls.view(np.int64))], names=["kind", "a", "b"])
-
-    def aside(batches):
-        for batch in batches:
-            yield from members_of(batch).to_batches()
-
-    met = checkpoint(blobs.where("spot >= 0").groupBy("spot").applyInArrow(_meet, "kind int, a long, b long"))
-    crowded = checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).unionByName(blobs.where("spot < 0").mapInArrow(aside, "kind int, a long, b long").select(F.col("a").alias("part"), F.col("b").alias("cls"))).distinct())
+    packed = _key_blobs(docs, ranges).repartition(ranges, "spot").sortWithinPartitions("spot")
+    met = checkpoint(packed.mapInArrow(in_ranges(_meet, _members), "kind int, a long, b long"))
+    crowded = checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).distinct())
 
     info = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
@@ -322,5 +327,5 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
             more = linked(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             found = components(edges.unionByName(more))
     by_class = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
