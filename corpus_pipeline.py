@@ -16,27 +16,38 @@ from notewright.llm import language_id, mixing, packing, parity_join, secret_sca
 from notewright.llm.common import LOCAL_CHECKPOINTS, held_out
 
 
+def _row(docs: DataFrame):
+    """A document with all its columns as one, out of reach of an operator's own names."""
+    return F.struct(*docs.columns).alias("whole_row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is clear; the model is learnt from labelled rows of docs."""
-    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    model = language_id.fit(docs.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(True))))
+    found = language_id.predict(docs.select(_row(docs), "text"), model)
+    return found.where(~F.col("rejected")).select("whole_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of linked documents the one of least doc_id."""
-    found = parity_join.join(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Keeps of each component of linked documents the one of least doc_id, and of equal rows one.
+
+    A document without an id goes only if its text equals one that has one.
+    """
+    found = parity_join.join(docs)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (parity_join.text_key(F.col("text")) == F.col("gone_key"))
+    kept = docs.join(gone, same, "left_anti")
+    return kept.select(_row(docs), "doc_id", parity_join.text_key(F.col("text")).alias("same_key")).dropDuplicates(["doc_id", "same_key"]).select("whole_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a placeholder for each secret, linked parts included."""
-    return secret_scan.redact(docs).select(*docs.columns)
+    return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Selects the documents that fill the token budget at the target weights."""
-    return mixing.mix_documents(docs).select(*docs.columns)
+    return mixing.mix_documents(docs.select(_row(docs), "doc_id", "text", "lang", "source")).select("whole_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

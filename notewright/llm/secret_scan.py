@@ -143,15 +143,20 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame
         .dropDuplicates(["s_id", "s_key"])
     )
     t = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64(t, F.crc32(t.cast("binary"))) == F.col("s_key")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("r_row"), F.col("doc_id").alias("r_id"), F.xxhash64(t, F.crc32(t.cast("binary"))).alias("r_key"))
+    joined = rows.join(spans, F.col("r_id").eqNullSafe(F.col("s_id")) & (F.col("r_key") == F.col("s_key")), "left")
+    whole = F.col("r_row").getField(text)
     name = lambda s: F.element_at(F.array(*[F.lit(f"<{k}>") for k in KINDS]), s["kind"] + 1)
     cut = F.aggregate(
         F.col("s_spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["kept"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), name(s))).otherwise(acc["kept"]).alias("kept"))
+            F.struct(s["end"].alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["kept"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), name(s))).otherwise(acc["kept"]).alias("kept"))
         ),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
+        lambda acc: F.concat(acc["kept"], F.substring(whole, acc["at"] + 1, F.length(whole))),
     )
-    clean = joined.withColumn(text, F.when(F.col("s_spans").isNull(), F.col(text)).otherwise(cut)).drop("s_id", "s_key", "s_spans")
-    return clean.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    clean = joined.select("r_row", F.when(F.col("s_spans").isNull(), whole).otherwise(cut).alias("r_text"))
+    new = {text: F.col("r_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("r_text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[new.get(c, F.col("r_row").getField(c)).alias(c) for c in docs.columns])
