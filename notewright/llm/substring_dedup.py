@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 
 from notewright.llm import seeds as S
 from notewright.llm.arrowtext import Words, text_bytes
-from notewright.llm.common import checkpoint, shuffle_parts
+from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
 
 WINDOW_WORDS, ANCHOR_WORDS = 35, 10
 HOT_SHARE, HOT_LEAST = 1e-6, 20_000
 RANGE_ROWS = 4096
 FLUSH_WINDOWS = 1 << 20
-SPANS = "ord long, text_key long, spans binary"
 UNITS = "spot int, wholes binary, marks binary, ids binary, froms binary, counts binary, windows binary"
 
 
@@ -45,29 +44,8 @@ def _finder(window: int, anchor: int):
     return find
 
 
-def _merge(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals, sorted by begin."""
-    order = np.argsort(begin, kind="stable")
-    begin, stop = begin[order], np.maximum.accumulate(stop[order])
-    fresh = np.append(True, begin[1:] > stop[:-1])
-    return begin[fresh], stop[np.append(np.flatnonzero(fresh)[1:] - 1, len(stop) - 1)]
-
-
-def _span_rows(doc: np.ndarray, begin: np.ndarray, stop: np.ndarray, ids: np.ndarray):
-    """SPANS rows, one a document, from windows' word intervals."""
-    import pyarrow as pa
-
-    order = np.argsort(doc, kind="stable")
-    doc, begin, stop = doc[order], begin[order], stop[order]
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    out = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
-        out.append(np.stack(_merge(begin[a:b], stop[a:b]), 1).astype(np.int32).tobytes())
-    return pa.table([pa.array(ids[doc[cuts], 0]), pa.array(ids[doc[cuts], 1]), pa.array(out, pa.binary())], names=["ord", "text_key", "spans"])
-
-
 def _extend(window: int, anchor: int, ranges: int, hot: np.ndarray):
-    """Rows of UNITS to compare elsewhere; spot -1 carries spans (in `windows`) that are settled here."""
+    """Rows of UNITS to compare elsewhere; those of bucket b that are settled here go as spot -1 - b, spans in `windows`."""
 
     def flush(route, whole, doc, start, count, windows, table):
         import pyarrow as pa
@@ -80,8 +58,8 @@ def _extend(window: int, anchor: int, ranges: int, hot: np.ndarray):
         run = np.empty(len(order), np.int64)
         run[order] = np.cumsum(first[order]) - 1
         again = np.bincount(run)[run] > 1
-        settled = _span_rows(doc[again], start[again], start[again] + count[again] - 1 + window, ids)
-        rows = [(-1, b"", b"", np.array([o, k], np.int64).tobytes(), b"", b"", s) for o, k, s in zip(*[settled.column(i).to_pylist() for i in range(3)], strict=True)]
+        settled = S.span_table(doc[again], start[again], start[again] + count[again] - 1 + window, ids, ranges)
+        rows = [(-1 - home, b"", b"", i, b"", n, s) for home, i, n, s in zip(*[c.to_pylist() for c in settled.columns], strict=True)]
         go = np.flatnonzero(first)
         spot = (route[go] % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(spot, kind="stable")
@@ -94,49 +72,55 @@ def _extend(window: int, anchor: int, ranges: int, hot: np.ndarray):
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=[f.split()[0] for f in UNITS.split(", ")])
 
-    def run(batches):
-        parts, table, size = [], [], 0
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            cells = batch.column("seeds").to_pylist()
-            ids = list(zip(batch.column("ord").to_pylist(), batch.column("text_key").to_pylist(), strict=True))
-            for i in range(batch.num_rows):
-                w = Words(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                grams = w.grams(anchor)
-                at, low, high = S.anchors(grams, w.first, anchor, window)
-                numbers = S.spot_and_low(grams[at], ranges)
-                keep = np.isin(numbers, S.seed_numbers(cells[i]))
-                if not keep.any():
-                    continue
-                at, low, high, numbers = at[keep], low[keep], high[keep], numbers[keep]
-                prints = w.grams(window, 0xA0761D6478BD642F)
-                split = np.isin(numbers, hot)
-                if split.any():  # every window for itself
-                    reps = np.where(split, high - low + 1, 1)
-                    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    alone = np.repeat(split, reps)
-                    low, high, numbers = np.repeat(low, reps) + np.where(alone, inner, 0), np.repeat(high, reps), np.repeat(numbers, reps)
-                    high = np.where(alone, low, high)
-                    numbers = np.where(alone, prints[low], numbers)
-                count = high - low + 1
-                flat = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                windows = prints[flat]
-                begin = np.cumsum(count) - count
-                step = (flat - np.repeat(low, count)).astype(np.uint64)
-                whole = np.add.reduceat((windows ^ (step * np.uint64(0x9E3779B97F4A7C15))) * (step * np.uint64(2) + np.uint64(0xE7037ED1A0B428DB)), begin) ^ (count.astype(np.uint64) << np.uint64(57))
-                parts.append((numbers, whole, np.full(len(low), len(table)), low, count, windows))
-                table.append(ids[i])
-                size += len(windows)
-                if size > FLUSH_WINDOWS:
-                    yield flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table)
-                    parts, table, size = [], [], 0
+    def run(docs, rows):
+        import pyarrow as pa
+
+        layout = pa.schema([("spot", pa.int32()), *[(f.split()[0], pa.binary()) for f in UNITS.split(", ")[1:]]])
+        parts, table, size, out = [], [], 0, []
+        data, offsets = text_bytes(docs.column("text"))
+        ids = list(zip(docs.column("ord").to_pylist(), docs.column("text_key").to_pylist(), strict=True))
+        known = S.OfDocuments(docs, rows, "keys", np.uint32)
+        for i in range(docs.num_rows):
+            mine = known[i].ravel()
+            if not len(mine):
+                continue
+            w = Words(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+            grams = w.grams(anchor)
+            at, low, high = S.anchors(grams, w.first, anchor, window)
+            numbers = S.spot_and_low(grams[at], ranges)
+            keep = np.isin(numbers, mine)
+            if not keep.any():
+                continue
+            at, low, high, numbers = at[keep], low[keep], high[keep], numbers[keep]
+            prints = w.grams(window, 0xA0761D6478BD642F)
+            split = np.isin(numbers, hot)
+            if split.any():  # every window for itself
+                reps = np.where(split, high - low + 1, 1)
+                inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                alone = np.repeat(split, reps)
+                low, high, numbers = np.repeat(low, reps) + np.where(alone, inner, 0), np.repeat(high, reps), np.repeat(numbers, reps)
+                high = np.where(alone, low, high)
+                numbers = np.where(alone, prints[low], numbers)
+            count = high - low + 1
+            flat = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            windows = prints[flat]
+            begin = np.cumsum(count) - count
+            step = (flat - np.repeat(low, count)).astype(np.uint64)
+            whole = np.add.reduceat((windows ^ (step * np.uint64(0x9E3779B97F4A7C15))) * (step * np.uint64(2) + np.uint64(0xE7037ED1A0B428DB)), begin) ^ (count.astype(np.uint64) << np.uint64(57))
+            parts.append((numbers, whole, np.full(len(low), len(table)), low, count, windows))
+            table.append(ids[i])
+            size += len(windows)
+            if size > FLUSH_WINDOWS:
+                out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
+                parts, table, size = [], [], 0
         if parts:
-            yield flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table)
+            out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
+        return pa.Table.from_batches(out, schema=layout)
 
     return run
 
 
-def _compare(window: int):
+def _compare(window: int, buckets: int):
     """Of one range: the spans of windows that occur twice."""
 
     def run(table):
@@ -163,13 +147,21 @@ def _compare(window: int):
         covered[twice[run_of[unit]]] = True
         begin = (np.repeat(start, count) + np.arange(len(windows)) - np.repeat(np.cumsum(count) - count, count))[covered]
         if not len(begin):
-            return _span_rows(np.zeros(0, np.int64), begin, begin, ids)
+            return S.span_table(np.zeros(0, np.int64), begin, begin, ids, buckets)
         known, doc = np.unique(ids, axis=0, return_inverse=True)
-        return _span_rows(doc.ravel()[unit[covered]], begin, begin + window, known)
+        return S.span_table(doc.ravel()[unit[covered]], begin, begin + window, known, buckets)
 
     return run
 
 
+def settled_spans(rows):
+    """Spans that were settled where they were found, as rows of seeds.SPANS."""
+    import pyarrow as pa
+
+    home = pa.array(-1 - rows.column("spot").to_numpy(), pa.int32())
+    return pa.table([home, rows.column("ids"), rows.column("counts"), rows.column("windows")], names=["bucket", "ids", "counts", "spans"])
+
+
 def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(doc_id, text, spans, n_words...) of every row: spans are the word intervals [from, to) of maximal
     repeats, as an array, with n_words, n_removed, kept (the words outside them, joined by a space)."""
@@ -182,41 +174,26 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW_WORDS, anc
     total = found.agg(F.coalesce(F.sum(F.length("keys") / 4), F.lit(0))).first()[0]
     frequent = counted.groupBy("spot", "low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_LEAST, total * HOT_SHARE)).collect()  # at most 1 / HOT_SHARE rows
     hot = np.array([(r.spot << 32) | int.from_bytes(r.low, "little") for r in frequent], np.uint64)
-    seeded = rows.join(S.gathered(found), ["ord", "text_key"])
-    units = checkpoint(seeded.select("ord", "text_key", "text", "seeds").mapInArrow(_extend(window, anchor, ranges, hot), UNITS).repartition(ranges, "spot"))
-
-    def settled(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = np.array([np.frombuffer(x, np.int64) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), batch.column(batch.schema.get_field_index("windows"))], names=["ord", "text_key", "spans"])
-
-    spans = units.where("spot >= 0").groupBy("spot").applyInArrow(_compare(window), SPANS).unionByName(units.where("spot < 0").mapInArrow(settled, SPANS))
-    per_doc = spans.groupBy("ord", "text_key").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(checkpoint(per_doc), ["ord", "text_key"], "left")
+    units = S.beside(rows, found, ranges, _extend(window, anchor, ranges, hot), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+    spans = units.mapInArrow(in_ranges(_compare(window, ranges), settled_spans), S.SPANS)
 
-    def cut(batches):
+    def cut(docs_, rows_):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for raw, cells in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = raw.encode().split()
-                kept, merged = words, []
-                if cells:
-                    both = np.concatenate([np.frombuffer(c, np.int32).reshape(-1, 2) for c in cells]).astype(np.int64)
-                    begin, stop = _merge(both[:, 0], both[:, 1])
-                    merged = list(zip(begin.tolist(), stop.tolist(), strict=True))
-                    kept, at = [], 0
-                    for a, b in merged:
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                out.append((len(words), len(words) - len(kept), [{"from": a, "to": b} for a, b in merged], b" ".join(kept).decode()))
-            n, gone, spans_, kept_ = zip(*out, strict=True) if out else ([],) * 4
-            span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, span), pa.array(kept_, pa.string())], names=["ord", "n_words", "n_removed", "spans", "kept"])
-
-    done = joined.select("ord", "text", "spans").mapInArrow(cut, "ord long, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept string")
+        gone_of, out = S.OfDocuments(docs_, rows_, "spans", np.int32, 2), []
+        for i, raw in enumerate(docs_.column("text").to_pylist()):
+            words = raw.encode().split()
+            kept, merged = words, S.merged(gone_of[i])
+            if merged:
+                kept, at = [], 0
+                for a, b in merged:
+                    kept += words[at:a]
+                    at = b
+                kept += words[at:]
+            out.append((len(words), len(words) - len(kept), [{"from": a, "to": b} for a, b in merged], b" ".join(kept).decode()))
+        n, gone, spans_, kept_ = zip(*out, strict=True) if out else ([],) * 4
+        span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        return pa.table([docs_.column("ord"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, span), pa.array(kept_, pa.string())], names=["ord", "n_words", "n_removed", "spans", "kept"])
+
+    done = S.beside(rows, spans, ranges, cut, "ord long, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept string")
     return done.withColumn("doc_id", F.nullif(F.col("ord"), F.lit(S.NO_ID))).drop("ord")

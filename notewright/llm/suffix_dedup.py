@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm import seeds as S
 from notewright.llm.arrowtext import _BYTE_CODE, mix, rolling, text_bytes
-from notewright.llm.common import checkpoint, shuffle_parts
-from notewright.llm.substring_dedup import SPANS, _merge, _span_rows
+from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
 
 WINDOW_BYTES, ANCHOR_BYTES = 50, 20
 RANGE_ROWS = 4096
@@ -163,7 +162,7 @@ def _stretch_matrix(data: np.ndarray, low: np.ndarray, size: np.ndarray, width:
 
 
 def _collect(window: int, anchor: int, ranges: int):
-    """Stretches of each document's seeds, packed by range; spot -1 carries spans settled here."""
+    """Stretches of each document's seeds, packed by range; those of bucket b settled here go as spot -1 - b."""
     width = 2 * window - anchor
 
     def flush(spot, doc, low, matrix, table):
@@ -178,8 +177,8 @@ def _collect(window: int, anchor: int, ranges: int):
         least[order] = ids[doc[order], 0][np.flatnonzero(first)][np.cumsum(first) - 1]
         later = ids[doc, 0] > least
         size = matrix[:, width].astype(np.int64)
-        settled = _span_rows(doc[later], low[later], low[later] + size[later], ids)
-        rows = [(-1, np.array([o, k], np.int64).tobytes(), b"", b"", b"", b"", s) for o, k, s in zip(*[settled.column(i).to_pylist() for i in range(3)], strict=True)]
+        settled = S.span_table(doc[later], low[later], low[later] + size[later], ids, ranges)
+        rows = [(-1 - home, i, b"", b"", n, b"", s) for home, i, n, s in zip(*[c.to_pylist() for c in settled.columns], strict=True)]
         go = np.flatnonzero(~later)
         go = go[np.argsort(spot[go], kind="stable")]
         cuts = np.searchsorted(spot[go], np.arange(ranges + 1))
@@ -190,34 +189,40 @@ def _collect(window: int, anchor: int, ranges: int):
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=[f.split()[0] for f in UNITS.split(", ")])
 
-    def run(batches):
-        parts, table, size = [], [], 0
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            cells = batch.column("seeds").to_pylist()
-            ids = list(zip(batch.column("ord").to_pylist(), batch.column("text_key").to_pylist(), strict=True))
-            for i in range(batch.num_rows):
-                raw = data[offsets[i] : offsets[i + 1]]
-                grams = _grams(raw, anchor)
-                at, low, high = S.anchors(grams, np.array([0, len(raw)]), anchor, window)
-                numbers = S.spot_and_low(grams[at], ranges)
-                keep = np.isin(numbers, S.seed_numbers(cells[i]))
-                if not keep.any():
-                    continue
-                low, high = low[keep], high[keep]
-                parts.append(((numbers[keep] >> np.uint64(32)).astype(np.int64), np.full(len(low), len(table)), low, _stretch_matrix(raw, low, high - low + window, width)))
-                table.append(ids[i])
-                size += len(low)
-                if size > FLUSH_UNITS or len(table) > S.FLUSH_ROWS:
-                    yield flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table)
-                    parts, table, size = [], [], 0
+    def run(docs, rows):
+        import pyarrow as pa
+
+        layout = pa.schema([("spot", pa.int32()), *[(f.split()[0], pa.binary()) for f in UNITS.split(", ")[1:]]])
+        parts, table, size, out = [], [], 0, []
+        data, offsets = text_bytes(docs.column("text"))
+        ids = list(zip(docs.column("ord").to_pylist(), docs.column("text_key").to_pylist(), strict=True))
+        known = S.OfDocuments(docs, rows, "keys", np.uint32)
+        for i in range(docs.num_rows):
+            mine = known[i].ravel()
+            if not len(mine) or known.is_left_out(i):
+                continue
+            raw = data[offsets[i] : offsets[i + 1]]
+            grams = _grams(raw, anchor)
+            at, low, high = S.anchors(grams, np.array([0, len(raw)]), anchor, window)
+            numbers = S.spot_and_low(grams[at], ranges)
+            keep = np.isin(numbers, mine)
+            if not keep.any():
+                continue
+            low, high = low[keep], high[keep]
+            parts.append(((numbers[keep] >> np.uint64(32)).astype(np.int64), np.full(len(low), len(table)), low, _stretch_matrix(raw, low, high - low + window, width)))
+            table.append(ids[i])
+            size += len(low)
+            if size > FLUSH_UNITS or len(table) > S.FLUSH_ROWS:
+                out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
+                parts, table, size = [], [], 0
         if parts:
-            yield flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table)
+            out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
+        return pa.Table.from_batches(out, schema=layout)
 
     return run
 
 
-def _sorted_spans(window: int, anchor: int):
+def _sorted_spans(window: int, anchor: int, buckets: int):
     """Of one range: spans covered by windows of smaller doc_ids."""
     width = 2 * window - anchor
 
@@ -265,7 +270,7 @@ def _sorted_spans(window: int, anchor: int):
             begins.append(hit)
             stops.append(hit + window)
         uniq, index = np.unique(ids, axis=0, return_inverse=True)
-        return _span_rows(index.ravel()[np.concatenate(docs)], np.concatenate(begins), np.concatenate(stops), uniq)
+        return S.span_table(index.ravel()[np.concatenate(docs)], np.concatenate(begins), np.concatenate(stops), uniq, buckets)
 
     return run
 
@@ -286,41 +291,37 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW_BYTES, ancho
     same = ["text_key", "size", "crc"]
     ident = checkpoint(rows.select("ord", "text_key", F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")))
     copies = checkpoint(ident.join(ident.groupBy(*same).agg(F.min("ord").alias("first")), same).where("ord > first").select("ord", "text_key").distinct())
-    found = S.seeds(rows, _finder(window, anchor), ranges, True).join(copies, ["ord", "text_key"], "left_anti")
-    seeded = rows.join(S.gathered(found), ["ord", "text_key"])
-    units = checkpoint(seeded.select("ord", "text_key", "text", "seeds").mapInArrow(_collect(window, anchor, ranges), UNITS).repartition(ranges, "spot"))
-
-    def settled(batches):
+    # what equals a text of a smaller doc_id is removed whole; buckets hear of it like of seeds and spans
+    raw = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
+    told = copies.select(S.bucket(ranges).alias("bucket"), F.concat(raw("ord"), raw("text_key")).alias("ids"))
+    found = S.seeds(rows, _finder(window, anchor), ranges, True)
+    out = told.select("bucket", F.lit(S.LEFT_OUT).alias("spot"), "ids", F.unhex(F.lit("00000000")).alias("counts"), F.unhex(F.lit("")).alias("keys"))
+    units = S.beside(rows, found.unionByName(out), ranges, _collect(window, anchor, ranges), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+
+    def settled(rows):
         import pyarrow as pa
 
-        for batch in batches:
-            ids = np.array([np.frombuffer(x, np.int64) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), batch.column(batch.schema.get_field_index("spans"))], names=["ord", "text_key", "spans"])
+        home = pa.array(-1 - rows.column("spot").to_numpy(), pa.int32())
+        return pa.table([home, rows.column("ids"), rows.column("sizes"), rows.column("spans")], names=["bucket", "ids", "counts", "spans"])
 
-    spans = units.where("spot >= 0").groupBy("spot").applyInArrow(_sorted_spans(window, anchor), SPANS).unionByName(units.where("spot < 0").mapInArrow(settled, SPANS))
-    spans = spans.unionByName(copies.withColumn("spans", F.lit(b"")))  # an empty list of spans: all of the text
-    per_doc = checkpoint(spans.groupBy("ord", "text_key").agg(F.collect_list("spans").alias("spans")))
-    joined = rows.join(per_doc, ["ord", "text_key"], "left")
+    spans = units.mapInArrow(in_ranges(_sorted_spans(window, anchor, ranges), settled), S.SPANS).withColumn("spot", F.lit(0))
+    spans = spans.unionByName(out.withColumnRenamed("keys", "spans"))
 
-    def cut(batches):
+    def cut(docs_, rows_):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for raw, cells in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, merged = raw.encode(), []
-                if cells and b"" in cells:
-                    merged = [(0, len(data))] if len(data) >= window else []
-                elif cells:
-                    both = np.concatenate([np.frombuffer(c, np.int32).reshape(-1, 2) for c in cells]).astype(np.int64)
-                    begin, stop = _merge(both[:, 0], both[:, 1])
-                    merged = list(zip(begin.tolist(), stop.tolist(), strict=True))
-                edges = [0, *(x for ab in merged for x in ab), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(data), len(data) - len(kept), [{"from": a, "to": b} for a, b in merged], kept))
-            n, gone, spans_, kept_ = zip(*out, strict=True) if out else ([],) * 4
-            span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, span), pa.array(kept_, pa.binary())], names=["ord", "n_bytes", "n_removed", "spans", "kept"])
-
-    done = joined.select("ord", "text", "spans").mapInArrow(cut, "ord long, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary")
+        gone_of, out_ = S.OfDocuments(docs_, rows_, "spans", np.int32, 2), []
+        for i, raw in enumerate(docs_.column("text").to_pylist()):
+            data = raw.encode()
+            merged = S.merged(gone_of[i])
+            if gone_of.is_left_out(i):
+                merged = [(0, len(data))] if len(data) >= window else []
+            edges = [0, *(x for ab in merged for x in ab), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out_.append((len(data), len(data) - len(kept), [{"from": a, "to": b} for a, b in merged], kept))
+        n, gone, spans_, kept_ = zip(*out_, strict=True) if out_ else ([],) * 4
+        span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        return pa.table([docs_.column("ord"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, span), pa.array(kept_, pa.binary())], names=["ord", "n_bytes", "n_removed", "spans", "kept"])
+
+    done = S.beside(rows, spans, ranges, cut, "ord long, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary")
     return done.withColumn("doc_id", F.nullif(F.col("ord"), F.lit(S.NO_ID))).drop("ord")
