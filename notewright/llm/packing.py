@@ -17,7 +17,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import LOCAL_CHECKPOINTS, shuffle_parts
+from notewright.llm.common import shared_table, shuffle_parts
 from notewright.llm.tokens import tokenizer
 
 SEQUENCE, GRAIN, PERIOD_SEQUENCES = 2048, 512, 1024
@@ -160,16 +159,6 @@ def place(phases: list[Phase], source: str, start: int, length: int) -> list[tup
     return out
 
 
-def _shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared checkpoint folder, compressed and free of its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, text: str = "text", source: str = "source") -> DataFrame:
     """Pieces of all documents; see PIECES for the columns."""
     n_docs = docs.select(F.count(F.lit(1))).first()[0]
@@ -199,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | No
                     run += n
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("bucket"), pa.array(starts, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "source", "bucket", "local", "n", "ids"])
 
-    encoded = _shared_table(queued.mapInArrow(encode, "doc_id long, source string, bucket long, local long, n long, ids binary"), "packed-ids")
+    encoded = shared_table(queued.mapInArrow(encode, "doc_id long, source string, bucket long, local long, n long, ids binary"), "packed-ids")
     sums = encoded.groupBy(*keys).agg(F.sum("n").alias("tokens"))
     totals = {r.source: r.tokens for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # one row a source
     phases = schedule(totals, weights, sequence)

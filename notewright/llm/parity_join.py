@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.arrowtext import Words, groups, mix, text_bytes
-from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
+from notewright.llm.common import checkpoint, in_ranges, shared_table, shuffle_parts
 from notewright.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -301,19 +301,24 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
 
     info = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of classes, the linked ones as (u, v) of their representatives."""
-        near = checkpoint(pairs.join(info("a"), "a").join(info("b"), "b").where(_hamming_ok()).select("a", "b", "rep_a", "rep_b"))
-        needed = near.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("cls")).unionByName(near.select(F.col("rep_b").alias("doc_id"), F.col("b").alias("cls"))).distinct()
-        texts = docs.join(needed, "doc_id").select("cls", "text")
-        both = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        return _verify(both).distinct().join(near, ["a", "b"]).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes, those within the bounds, with their representatives."""
+        return checkpoint(pairs.join(info("a"), "a").join(info("b"), "b").where(_hamming_ok()).select("a", "b", "rep_a", "rep_b"))
+
+    def linked(close: DataFrame, texts: DataFrame) -> DataFrame:
+        """Of near() pairs, the linked ones as (u, v) of their representatives."""
+        both = close.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+        return _verify(both).distinct().join(close, ["a", "b"]).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 
     support = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("support"))
     centre = crowded.join(support, "cls").groupBy("part").agg(F.max(F.struct(F.col("support"), (-F.col("cls")).alias("least"))).alias("top")).select("part", (-F.col("top.least")).alias("centre"))
     stars = crowded.join(centre, "part").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     pairs = met.where("kind = 0").select("a", "b").unionByName(stars).distinct()
-    edges = checkpoint(linked(pairs))
+    close = near(pairs)
+    # one text of each class that is compared, now or across components later: all texts are moved for it once
+    compared = close.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("cls")).unionByName(close.select(F.col("rep_b").alias("doc_id"), F.col("b").alias("cls"))).unionByName(crowded.join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls")).distinct()
+    texts = shared_table(docs.join(compared, "doc_id").select("cls", "text"), "compared-texts")
+    edges = checkpoint(linked(close, texts))
     found = components(edges)
     if not crowded.isEmpty():
         label = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
@@ -324,7 +329,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
             left = rest.select("part", F.col("cls").alias("a"), F.col("component").alias("c_a")).join(info("a"), "a")
             right = rest.select(F.col("part").alias("p_b"), F.col("cls").alias("b"), F.col("component").alias("c_b")).join(info("b"), "b")
             across = left.join(right, (F.col("part") == F.col("p_b")) & (F.col("c_a") < F.col("c_b")) & _hamming_ok())
-            more = linked(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            more = linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts)
             found = components(edges.unionByName(more))
     by_class = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
