@@ -33,11 +33,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A document without an id goes only if its text equals one that has one.
     """
+    key = ["known_id", "id_of", "text_key"]
+
+    def keyed(df: DataFrame, *columns) -> DataFrame:  # no key is null, so that one shuffle serves the join and the equal rows
+        return df.select(F.col("doc_id").isNotNull().alias("known_id"), F.coalesce("doc_id", F.lit(0)).alias("id_of"), *columns)
+
     found = parity_join.join(docs)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (parity_join.text_key(F.col("text")) == F.col("gone_key"))
-    kept = docs.join(gone, same, "left_anti")
-    return kept.select(_row(docs), "doc_id", parity_join.text_key(F.col("text")).alias("same_key")).dropDuplicates(["doc_id", "same_key"]).select("whole_row.*")
+    gone = keyed(found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))), "text_key")
+    rows = keyed(docs, parity_join.text_key(F.col("text")).alias("text_key"), _row(docs))
+    return rows.join(gone, key, "left_anti").dropDuplicates(key).select("whole_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
