@@ -1,7 +1,7 @@
 """Vectorised views of Arrow text columns: UTF-8 bytes, words and their hashes.
 
-Everything here works on one Arrow batch inside a task, in groups of documents of about
-GROUP_BYTES, so memory stays bounded by the longest single text.
+Everything here works on one Arrow batch inside a task, in groups of at most GROUP_ROWS documents
+of about GROUP_BYTES together, so memory stays bounded by the longest single text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES, GROUP_ROWS = 1 << 20, 2048
 
 #: The bytes that separate words (space, tab, line feed, vertical tab, form feed, return).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -60,11 +60,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def groups(offsets: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of documents of at most `most` bytes together, or one longer document."""
+def groups(offsets: np.ndarray, most: int = GROUP_BYTES, rows: int = GROUP_ROWS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most `rows` documents of at most `most` bytes together, or one longer document."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
         yield i, j
         i = j
 
