@@ -173,9 +173,15 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | No
     def encode(batches):
         import gc
 
+        gc.disable()  # no cycles here, and the table of words makes collections slow
+        try:
+            yield from encoded_batches(batches)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+
+    def encoded_batches(batches):
         import pyarrow as pa
 
-        gc.disable()  # no cycles here, and the table of words makes collections slow
         words, at, run = tokenizer(tokenizer_path), None, 0
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
@@ -201,11 +207,10 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | No
     def cut(batches):
         import pyarrow as pa
 
-        kind = tokenizer(tokenizer_path).kind
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, name, at, n, raw in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                ids = np.frombuffer(raw, kind).astype("<u4")
+                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
                 for start, length, sequence_id, offset in place(phases, name, at, n):
                     rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), n, sequence_id, offset, None if name == NO_SOURCE else name))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from notewright.llm.arrowtext import Words, groups, mix, text_bytes
 from notewright.llm.common import checkpoint, in_ranges, shared_table, shuffle_parts
 from notewright.llm.components import components
+from notewright.llm.tokens import forget
 
 SHINGLE_WORDS = 5
 SKETCH_BITS = 1024
@@ -120,6 +121,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             sizes, classes, sketches = [], [], []
             for _, n, rows, values in shingle_sets(batch.column("text")):
@@ -175,6 +177,7 @@ def _key_blobs(docs: DataFrame, ranges: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["spot", "keys", "index", "classes"])
 
     def run(batches):
+        forget()
         seen: dict[int, int] = {}
         keys, index, size = [], [], 0
         for batch in batches:

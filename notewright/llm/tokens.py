@@ -116,3 +116,19 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _made:
         _made[path] = WordTokenizer(path)
     return _made[path]
+
+
+def forget() -> None:
+    """Give what a worker's tokenizers and their tables of words hold back to the system; for tasks of
+    other operators that the worker is lent to."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _made.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+    if trim is not None:
+        trim(0)
