@@ -9,6 +9,10 @@ by window, so a stretch that shares only some of its windows loses only those.
 
 Whole texts that equal one of a smaller doc_id are settled first and not sorted.
 
+Anchors with more than HOT_SHARE of all seeds are split, as edges of a frequent passage bring as
+many unlike stretches as documents: there every window is a stretch of its own and goes to the
+range of its own hash, one of each bucket's equal ones.
+
 Windows of unlike stretches are compared by 64-bit hashes; stretches byte by byte.
 
 Defined results: null texts are empty; texts shorter than a window stay; a null doc_id is larger
@@ -28,8 +32,9 @@ from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
 
 WINDOW_BYTES, ANCHOR_BYTES = 50, 20
 RANGE_ROWS = 4096
+HOT_SHARE, HOT_LEAST = 1e-6, 20_000
 SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 4096
-FLUSH_UNITS = 120_000
+FLUSH_UNITS, PIECE_UNITS, BLOCK_ROWS = 120_000, 30_000, 8192
 UNITS = "spot int, ids binary, place binary, froms binary, sizes binary, stretches binary, spans binary"
 
 
@@ -153,15 +158,52 @@ def deep_shallow_sort(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _stretch_matrix(data: np.ndarray, low: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """Rows data[low : low + size], zero padded, the size in a last byte."""
-    at = low[:, None] + np.arange(width)
-    inside = np.arange(width) < size[:, None]
     out = np.zeros((len(low), -(-(width + 1) // 8) * 8), np.uint8)
-    out[:, :width] = np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0)
+    for i in range(0, len(low), BLOCK_ROWS):  # positions take eight times the bytes
+        at = low[i : i + BLOCK_ROWS, None] + np.arange(width)
+        inside = np.arange(width) < size[i : i + BLOCK_ROWS, None]
+        out[i : i + BLOCK_ROWS, :width] = np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0)
     out[:, width] = size
     return out
 
 
-def _collect(window: int, anchor: int, ranges: int):
+def _frequent(least: float):
+    """Of the seeds of one partition: anchors (as seeds.spot_and_low) that it holds more than `least` times.
+
+    Seeds of an anchor are in two partitions at most: those written aside and the others.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        found, keys, counts, size, at = [], [], [], 0, None
+
+        def reduced():
+            known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            return [known], [np.bincount(inverse, weights=np.concatenate(counts))]
+
+        def done():
+            if keys:
+                (known,), (n,) = reduced()
+                found.append(known[n > least].astype(np.uint64) | np.uint64(at << 32))
+
+        for batch in batches:
+            for spot, raw in zip(batch.column("spot").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                if spot != at:
+                    done()
+                    keys, counts, size, at = [], [], 0, spot
+                keys.append(np.frombuffer(raw, np.uint32))
+                counts.append(np.ones(len(keys[-1])))
+                size += len(keys[-1])
+                if size > 1 << 21:
+                    (keys, counts), size = reduced(), 0
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["number"])
+
+    return run
+
+
+def _collect(window: int, anchor: int, ranges: int, hot: np.ndarray):
     """Stretches of each document's seeds, packed by range; those of bucket b settled here go as spot -1 - b."""
     width = 2 * window - anchor
 
@@ -208,13 +250,24 @@ def _collect(window: int, anchor: int, ranges: int):
             keep = np.isin(numbers, mine)
             if not keep.any():
                 continue
-            low, high = low[keep], high[keep]
-            parts.append(((numbers[keep] >> np.uint64(32)).astype(np.int64), np.full(len(low), len(table)), low, _stretch_matrix(raw, low, high - low + window, width)))
-            table.append(ids[i])
-            size += len(low)
-            if size > FLUSH_UNITS or len(table) > S.FLUSH_ROWS:
-                out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
-                parts, table, size = [], [], 0
+            low, high, numbers = low[keep], high[keep], numbers[keep]
+            spot = (numbers >> np.uint64(32)).astype(np.int64)
+            split = np.isin(numbers, hot)
+            if split.any():  # every window for itself
+                reps = np.where(split, high - low + 1, 1)
+                inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                alone = np.repeat(split, reps)
+                low, high, spot = np.repeat(low, reps) + inner, np.repeat(high, reps), np.repeat(spot, reps)
+                high = np.where(alone, low, high)
+                spot[alone] = (mix(rolling(_BYTE_CODE[raw], low[alone], low[alone] + window), 1) % np.uint64(ranges)).astype(np.int64)
+            for a in range(0, len(low), PIECE_UNITS):
+                b = min(a + PIECE_UNITS, len(low))
+                parts.append((spot[a:b], np.full(b - a, len(table)), low[a:b], _stretch_matrix(raw, low[a:b], high[a:b] - low[a:b] + window, width)))
+                table.append(ids[i])
+                size += b - a
+                if size > FLUSH_UNITS or len(table) > S.FLUSH_ROWS:
+                    out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
+                    parts, table, size = [], [], 0
         if parts:
             out.append(flush(*[np.concatenate(c) for c in zip(*parts, strict=True)], table))
         return pa.Table.from_batches(out, schema=layout)
@@ -246,12 +299,14 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
         # one stretch of each kind, window by window
         shown = order[np.append(True, kind[order][1:] != kind[order][:-1])]
         counts = size[shown] - window + 1
-        row = np.repeat(np.arange(len(shown)), counts)
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        row = np.repeat(np.arange(len(shown), dtype=np.int32), counts)
         lines = np.ascontiguousarray(matrix[shown, :width])
-        begin = row * width + step
+        begin = np.repeat(np.arange(len(shown)) * width - (np.cumsum(counts) - counts), counts)
+        begin += np.arange(len(begin))
         prints = np.concatenate([rolling(_BYTE_CODE[part.ravel()], b, b + window) for part, b in _blocks(lines, begin, row, width)]) if len(shown) else np.zeros(0, np.uint64)
+        del begin, lines, flat, matrix
         known, inverse = np.unique(prints, return_inverse=True)
+        del prints
         earliest = np.full(len(known), S.NO_ID, np.int64)
         np.minimum.at(earliest, inverse, least[kind[shown]][row])
         cover = earliest[inverse] < least[kind[shown]][row]  # for the least document of the kind
@@ -275,10 +330,10 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
     return run
 
 
-def _blocks(lines: np.ndarray, begin: np.ndarray, row: np.ndarray, width: int, rows: int = 8192):
+def _blocks(lines: np.ndarray, begin: np.ndarray, row: np.ndarray, width: int, rows: int = BLOCK_ROWS):
     """Pieces of the matrix of stretches, with window positions made relative to them."""
     for i in range(0, len(lines), rows):
-        a, b = np.searchsorted(row, [i, i + rows])
+        a, b = np.searchsorted(row, np.array([i, i + rows], row.dtype))
         yield lines[i : i + rows], begin[a:b] - i * width
 
 
@@ -294,9 +349,12 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW_BYTES, ancho
     # what equals a text of a smaller doc_id is removed whole; buckets hear of it like of seeds and spans
     raw = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
     told = copies.select(S.bucket(ranges).alias("bucket"), F.concat(raw("ord"), raw("text_key")).alias("ids"))
-    found = S.seeds(rows, _finder(window, anchor), ranges, True)
+    found = checkpoint(S.seeds(rows, _finder(window, anchor), ranges, True))
+    total = found.agg(F.coalesce(F.sum(F.length("keys") / 4), F.lit(0))).first()[0]
+    frequent = found.select("spot", "keys").mapInArrow(_frequent(max(HOT_LEAST, total * HOT_SHARE)), "number long").distinct().collect()  # at most 1 / HOT_SHARE rows
+    hot = np.array([r.number for r in frequent], np.int64).view(np.uint64)
     out = told.select("bucket", F.lit(S.LEFT_OUT).alias("spot"), "ids", F.unhex(F.lit("00000000")).alias("counts"), F.unhex(F.lit("")).alias("keys"))
-    units = S.beside(rows, found.unionByName(out), ranges, _collect(window, anchor, ranges), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+    units = S.beside(rows, found.unionByName(out), ranges, _collect(window, anchor, ranges, hot), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
 
     def settled(rows):
         import pyarrow as pa

@@ -216,6 +216,32 @@ def test_substrings_of_shared_passages(spark, seed):
     same(suffix_dedup.dedup(df).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect(), brute.substring_bytes(rows))
 
 
+def test_frequent_anchors_are_split(spark, monkeypatch, tmp_path):
+    """A line of 31 bytes and the edges of a passage, each in its document's own context, as op3 ranges see them."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 100, raising=False)
+    compare, seen = suffix_dedup._sorted_spans, str(tmp_path)
+
+    def spied(*args):
+        run = compare(*args)
+
+        def counted(table):
+            import uuid
+
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(sum(len(x) for x in table.column("sizes").to_pylist())))
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_spans", spied)
+    passage = prose(300, 30)
+    rows = [(i, f"{prose(1000 + i, 12)} subscribe to our letter for news {prose(5000 + i, 12)}" + (f" {passage} {prose(9000 + i, 12)}" if i % 3 == 0 else "")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same(suffix_dedup.dedup(df).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect(), brute.substring_bytes(rows))
+    counts = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert max(counts) < sum(counts) / 4, sorted(counts)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(spark, odd, empty, stage):
     name, fn = corpus_pipeline.STAGES[stage]
