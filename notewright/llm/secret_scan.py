@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base kinds (assign, access, hex) are found per text. Weak parts - account identifiers, short
-secrets, endpoints - say little alone; an interval join within a scope of code points reports
-a weak part only where both complementary parts lie nearby in the same text.
+secrets, endpoints - say little alone; an interval join within a scope of code points, measured
+between spans, reports a weak part only where both complementary parts lie nearby in the same text.
 
 Spans are code-point positions, end exclusive. Defined results: a null or empty text has no
 spans; rows are keyed by (doc_id, hash of the text), so repeated rows each get the same spans
@@ -84,18 +84,19 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak parts that have both complementary parts within `scope` code points.
+    """Weak parts that have both complementary parts within `scope` code points, from end to start.
 
-    parts: (doc_id, text_key, start, kind, end), distinct. Each part is dealt to the cell of its
-    start; a weak part looks into its own cell and those beside it, so the join is by equality
-    on (document, cell) with a range condition, and a cell holds few parts whatever the document.
+    parts: (doc_id, text_key, start, kind, end, shown), distinct; a part that is not shown only
+    complements others. Each part is dealt to all cells that it covers; a weak part looks into its
+    own cells and those beside them, so the join is by equality on (document, cell) with a range
+    condition, and a cell holds few parts whatever the document.
     """
     part = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(PART[k]))]), F.col("kind"))
-    cells = parts.withColumn("part", part).withColumn("cell", F.expr(f"start div {scope + 1}"))
-    reach = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    weak = cells.where(F.col("kind") >= len(BASE)).withColumn("cell", reach).alias("w")
-    other = cells.alias("o")
-    near = (F.col("o.start") - F.col("w.start") <= scope) & (F.col("w.start") - F.col("o.start") <= scope)
+    named = parts.withColumn("part", part)
+    cells = lambda more: F.explode(F.expr(f"sequence(start div {scope + 1} - {more}, (end - 1) div {scope + 1} + {more})"))
+    weak = named.where((F.col("kind") >= len(BASE)) & F.col("shown")).withColumn("cell", cells(1)).alias("w")
+    other = named.withColumn("cell", cells(0)).alias("o")
+    near = (F.col("o.start") - F.col("w.end") <= scope) & (F.col("w.start") - F.col("o.end") <= scope)
     same = F.col("w.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("w.text_key") == F.col("o.text_key")) & (F.col("w.cell") == F.col("o.cell"))
     return (
         weak.join(other, same & near & (F.col("w.part") != F.col("o.part")))
@@ -112,12 +113,13 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     base = F.concat(*[spans_of(F.col("text"), k) for k in BASE])
     weak = F.concat(*[spans_of(F.col("text"), k) for k in WEAK])
     apart = lambda w, b: (w["end"] <= b["start"]) | (b["end"] <= w["start"])
-    weak_only = F.filter("weak", lambda w: F.forall("base", lambda b: apart(w, b)))
-    found = checkpoint(keyed.select("doc_id", "text_key", base.alias("base"), weak.alias("weak")).withColumn("weak", weak_only))
+    flagged = lambda c, shown: F.transform(c, lambda s: F.struct(*[s[f].alias(f) for f in ("start", "kind", "end")], shown(s).alias("shown")))
+    # a weak span that overlaps a base span is not reported, but still complements others
+    found = checkpoint(keyed.select("doc_id", "text_key", base.alias("base"), weak.alias("weak")).withColumn("weak", flagged("weak", lambda w: F.forall("base", lambda b: apart(w, b)))))
     parts = (
-        found.where(F.size("weak") > 0)
-        .select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s"))
-        .select("doc_id", "text_key", "s.start", "s.kind", "s.end")
+        found.where(F.exists("weak", lambda w: w["shown"]))
+        .select("doc_id", "text_key", F.explode(F.concat(flagged("base", lambda b: F.lit(True)), "weak")).alias("s"))
+        .select("doc_id", "text_key", "s.start", "s.kind", "s.end", "s.shown")
         .distinct()
     )
     linked = (

@@ -172,6 +172,20 @@ def test_links_need_both_parts_near(spark):
     assert [len(r.linked) for r in rows] == [0, 3, 0, 0]
 
 
+def test_links_measure_gaps_and_covered_parts(spark):
+    """Long parts beside their neighbours, gaps of 200 and 201, and endpoints that hold a base span."""
+    long, gap = "z" * 2000, " " + "~" * 198 + " "
+    texts = [
+        f"token={long} user=bob http://h/x", f"user=bob token={long} http://h/x", "user=bob http://h/x?token=abcdefghij", f"user=bob pass={long}{gap}http://h/x",
+        f"user=bob{gap}pass=abcd{gap}http://h/x", f"user=bob{gap}~ pass=abcd http://h/x", "http://h/x?token=abcdefghij",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.scan(df).orderBy("doc_id").collect()
+    kinds = [[secret_scan.KINDS[s.kind] for s in r.linked] for r in rows]
+    assert kinds == [["weak_id", "endpoint"], [], ["weak_id"], ["weak_secret"], ["weak_secret"], [], []]
+    assert secret_scan.redact(df.where("doc_id = 0")).first().text == "<assign> <weak_id> <endpoint>"
+
+
 def test_jaccard(odd, clashing, empty):
     found = parity_join.join(clashing)
     rows = odd_rows()
