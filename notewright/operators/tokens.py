@@ -5,6 +5,7 @@ A tokenizer is a function made once a worker: text -> list of ids.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,16 +14,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from notewright.functions.prompts import chat, response_template
+from notewright.functions.text import let
 
 #: Fixed value: the label that a loss leaves out.
 MASKED = -100
 VOCABULARY = 50_000
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def word_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:
     """Ids of a built-in tokenizer: white-space words, hashed. For tests and where no model is at hand."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % vocabulary).cast("int"))
+    return F.transform(words(text), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % vocabulary).cast("int"))
+
+
+def word_marks(text: str, vocabulary: int = VOCABULARY) -> list[int]:
+    """word_ids() of a fixed text, for a template."""
+    return [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % vocabulary for w in text.split()]
+
+
+def word_count(text: Column) -> Column:
+    """How many ids word_ids() gives; nothing is hashed."""
+    return F.size(words(text))
 
 
 def encoder(make: Callable[[], Callable[[str], Sequence[int]]]):
@@ -36,28 +51,41 @@ def encoder(make: Callable[[], Callable[[str], Sequence[int]]]):
     return F.pandas_udf(run, "array<int>", PandasUDFType.SCALAR_ITER)
 
 
-def mask_labels(ids: Column, template: Column) -> Column:
+def mask_labels(ids: Column, template: Sequence[int]) -> Column:
     """ids as labels, all up to the end of the first template within them masked.
 
-    A template that ends the sequence is not looked for, and without one nothing is masked.
+    A template that ends the sequence is not looked for, and without one nothing is masked. One
+    pass finds it: positions are compared with the template mark by mark, most with its first alone.
     """
-    n, k = F.size(ids), F.size(template)
-    starts = F.when(n > k, F.sequence(F.lit(0), n - k - 1)).otherwise(F.array().cast("array<int>"))
-    at = F.try_element_at(F.filter(starts, lambda i: F.slice(ids, i + 1, k) == template), F.lit(1))
-    until = F.coalesce(at + k, F.lit(0))
-    return F.transform(ids, lambda x, i: F.when(i < until, F.lit(MASKED)).otherwise(x).cast("bigint"))
+    k = len(template)
+
+    def masked(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > k, F.sequence(F.lit(0), F.size(xs) - k - 1)).otherwise(F.array().cast("array<int>"))
+
+        def begins(i: Column) -> Column:
+            found = F.lit(True)
+            for j, mark in enumerate(template):
+                found = found & (F.get(xs, i + j) == mark)
+            return found
+
+        at = F.try_element_at(F.filter(starts, begins), F.lit(1))
+        return let(F.coalesce(at + k, F.lit(0)), lambda until: F.transform(xs, lambda x, i: F.when(i < until, F.lit(MASKED)).otherwise(x).cast("bigint")))
+
+    return let(ids, masked)
 
 
-def features(df: DataFrame, ids: Column, template: Column) -> DataFrame:
-    """(input_ids, attention_mask, labels, length) beside the columns of df."""
-    return df.withColumn("input_ids", ids).withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1).cast("tinyint")), "labels": mask_labels(F.col("input_ids"), template), "length": F.size("input_ids")})
+def features(df: DataFrame, ids: Column, template: Sequence[int]) -> DataFrame:
+    """(input_ids, attention_mask, labels, length) beside the columns of df; ids are made once a row."""
+    one = lambda xs: F.struct(xs.alias("input_ids"), F.transform(xs, lambda _: F.lit(1).cast("tinyint")).alias("attention_mask"), mask_labels(xs, template).alias("labels"), F.size(xs).alias("length"))
+    made = df.withColumn("_made", let(ids, one))
+    return made.select(*df.columns, *[F.col("_made")[c].alias(c) for c in ("input_ids", "attention_mask", "labels", "length")])
 
 
 def training_features(df: DataFrame, model_name: str, make: Callable[[], Callable[[str], Sequence[int]]], source: str = "input", target: str = "output") -> DataFrame:
     """features() of pairs rendered by the model's chat template; the pairs themselves go."""
     marks = [int(x) for x in make()(response_template(model_name))]
-    rendered = chat(model_name, F.col(source), F.col(target))
-    return features(df, encoder(make)(rendered), F.array(*map(F.lit, marks))).select("input_ids", "attention_mask", "labels", "length")
+    rendered = df.select(encoder(make)(chat(model_name, F.col(source), F.col(target))).alias("_ids"))
+    return features(rendered, F.col("_ids"), marks).drop("_ids")
 
 
 def within_length(df: DataFrame, most: int = 16384) -> DataFrame:

@@ -16,7 +16,7 @@ def _sequences(spark, sf_dir):
     """Turns of conversations as token ids, the answer after a mark."""
     turns = table(spark, sf_dir, "conversations")
     said = F.concat("role", F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.lit(f" {MARK} ")), F.col("text"))
-    return tokens.features(turns.select("conv_id", "turn", said.alias("said")), tokens.word_ids(F.col("said")), tokens.word_ids(F.lit(MARK))).drop("said")
+    return tokens.features(turns.select("conv_id", "turn", said.alias("said")), tokens.word_ids(F.col("said")), tokens.word_marks(MARK)).drop("said")
 
 
 def label_mask(spark, sf_dir):
@@ -33,7 +33,7 @@ def typed_sequences(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(tokens.word_ids(F.col("text"))).alias("length"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tokens.word_count(F.col("text")).alias("length"))
 
 
 def length_filter(spark, sf_dir):
@@ -63,7 +63,7 @@ _IDS = lambda s: f"list_transform(list_filter(regexp_split_to_array({s}, '[\\x20
 _SEQUENCES = f"""a AS (SELECT conv_id, turn, {_IDS(f"(role || CASE role WHEN 'system' THEN ' ' ELSE ' {MARK} ' END || text)")} AS ids, {_IDS(f"'{MARK}'")} AS t FROM conversations),
 b AS (SELECT *, len(ids) AS n, list_filter(range(1, len(ids) - 1), lambda i: ids[i] = t[1] AND ids[i + 1] = t[2])[1] AS mark FROM a),
 s AS (SELECT conv_id, turn, ids AS input_ids, list_transform(ids, lambda x: 1::TINYINT) AS attention_mask, list_transform(ids, lambda x, i: (CASE WHEN i <= coalesce(mark + 1, 0) THEN -100 ELSE x END)::BIGINT) AS labels, n::INT AS length FROM b)"""
-_LENGTHS = f"l AS (SELECT doc_id, len({_IDS('text')})::INT AS length FROM documents)"
+_LENGTHS = "l AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::INT AS length FROM documents)"
 _CHAT = lambda name: (lambda u, a, c: f"md5('{u}' || text || '{c}{a}' || answer || '{c}')")(*prompts.TEMPLATES[prompts.family_of(name)])
 
 ORACLES = {

@@ -189,7 +189,7 @@ def test_retry(spark):
 
 def test_mask_and_pad(spark):
     rows = frame(spark, [(1, [9, 1, 2, 5, 6, 1, 2, 7]), (1, [9, 1, 2]), (2, [1]), (2, [])], "b int, ids array<int>")
-    marks = F.array(F.lit(1), F.lit(2))
+    marks = [1, 2]
     masked = rows.select("b", "ids", tokens.mask_labels(F.col("ids"), marks).alias("labels"))
     assert [r.labels for r in masked.collect()] == [[-100, -100, -100, 5, 6, 1, 2, 7], [9, 1, 2], [1], []]
     padded = {(r.b, tuple(r.ids)): r.labels for r in tokens.pad_labels(masked, "b").collect()}
