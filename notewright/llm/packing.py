@@ -1,16 +1,21 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Documents queue by source, in an order that a hash of their id fixes. Deficit round-robin fills
-sequence after sequence in grains: each grain goes to the source whose deficit - its share of
-the tokens dealt so far less what it got - is largest, so every sequence follows the target
-proportions as closely as grains allow and what a source is owed is carried on, across
-sequences and partitions. Shares are whole numbers of grains per period, after which all
-deficits are back to zero; the deal of one period therefore holds for every period, and any
-document's pieces follow from its position in its queue alone, in any task, in any order.
-When a source runs out, one closing period uses it up and the shares of the others are reckoned
-anew. The last, short sequence is cut into sequences of powers of two, so nothing is padded.
-
-Defined results: a null text is an empty one and yields its end token; a null source is a queue
+sequence after sequence in grains, 16 a sequence: each grain goes to the source whose deficit -
+its share of the tokens dealt so far less what it got - is largest. A sequence therefore holds
+its 16 most indebted sources, and what it could not give a source is carried on, across sequences
+and partitions: at any point no source is more than a grain or two off its share of all tokens
+dealt. Shares are whole numbers of grains per period, after which all deficits are back to zero;
+the deal of one period therefore holds for every period, and any document's pieces follow from
+its position in its queue alone, in any task, in any order. When a source runs out, one closing
+period uses it up and the shares of the others are reckoned anew. The last, short sequence is cut
+into sequences of powers of two, so nothing is padded.
+
+MOST_QUEUES sources have queues of their own, those with weights first and then the largest; all
+others share one queue, in hashed order, so the deal's size and the driver's share of the work are
+bounded however many sources there are.
+
+Defined results: a null text is an empty one and yields its end token; a null source is a source
 of its own; rows of one doc_id queue side by side; an empty table gives an empty one; other
 columns are not read.
 """
@@ -25,16 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.common import shared_table, shuffle_parts
+from notewright.llm.common import checkpoint, shared_table, shuffle_parts
 from notewright.llm.tokens import tokenizer
 
-SEQUENCE, GRAIN, PERIOD_SEQUENCES = 2048, 512, 1024
+SEQUENCE, GRAIN, PERIOD_SEQUENCES = 2048, 128, 128
 END_ID = 1
+#: Sources with a queue of their own; a period has some four grains for each.
+MOST_QUEUES = 512
 #: Documents of all sources that share a bucket of the queue order, on average.
 BUCKET_ROWS = 4096
 #: Rows of the table of bucket positions up to which it is broadcast (some 100 bytes each).
 BROADCAST_BUCKETS = 500_000
-NO_SOURCE = "\x00"
+NO_SOURCE, OTHERS = "\x00", "\x01"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -100,9 +107,10 @@ def _apportion(total: int, weights: Mapping[str, float], most: Mapping[str, int]
 
 
 def schedule(totals: Mapping[str, int], weights: Mapping[str, float] | None = None, sequence: int = SEQUENCE, grain: int = GRAIN, period: int = PERIOD_SEQUENCES) -> list[Phase]:
-    """Phases that use up every queue. totals: tokens by source; weights default to totals.
+    """Phases that use up every queue. totals: tokens by queue; weights default to totals, and a
+    queue without one comes last.
 
-    Work and memory follow the number of sources, which the mixture's owner lists, not the corpus.
+    Work and memory follow the number of queues, not the corpus.
     """
     left = {n: int(t) for n, t in totals.items() if t > 0}
     weight = {n: float((weights or totals).get(n, 0) or 1e-9) for n in left}
@@ -120,20 +128,32 @@ def schedule(totals: Mapping[str, int], weights: Mapping[str, float] | None = No
             if not left[n]:
                 del left[n]
 
-    while (all_ := sum(left.values())) >= sequence:
-        sequences = min(period, all_ // sequence)
+    def shares(sequences: int) -> tuple[dict[str, int], int]:
+        """Whole grains of a period for every queue that has one left, and how often that can be dealt."""
         grains = sequences * sequence // grain
-        own = {n: weight[n] for n in left}
         large = [n for n in left if left[n] >= grain]
-        quota = {n: q * grain for n, q in _apportion(grains, {n: own[n] for n in large}, dict.fromkeys(large, grains)).items()}
+        quota = {n: q * grain for n, q in _apportion(grains, {n: weight[n] for n in large}, dict.fromkeys(large, grains)).items()}
         for n in large:  # a small share still gets a grain a period
             if not quota[n] and quota[most := max(quota, key=quota.get)] > grain:
                 quota[n], quota[most] = grain, quota[most] - grain
         repeats = min((left[n] // q for n, q in quota.items() if q), default=0)
-        if repeats and all(quota[n] for n in large) and (repeats > 1 or len(large) == len(left)):
-            add(quota, [sequence] * sequences, repeats - (len(large) < len(left)))
+        if not all(quota.values()):
+            return quota, 0
+        return quota, max(0, repeats - (len(large) < len(left)))
+
+    while (all_ := sum(left.values())) >= sequence:
+        sequences = min(period, all_ // sequence)
+        least = min(sequences, -(-4 * len(left) * grain // sequence))
+        quota, repeats = shares(sequences)
+        while not repeats and sequences > least:  # towards the end of a queue, shorter periods
+            sequences = max(least, sequences // 2)
+            quota, repeats = shares(sequences)
+        if repeats:
+            add(quota, [sequence] * sequences, repeats)
         else:  # use up what is about to end, the rest in proportion
-            add(_apportion(sequences * sequence, own, left), [sequence] * sequences, 1)
+            ending = {n: t for n, t in left.items() if t < grain}
+            others = {n: weight[n] for n in left if n not in ending}
+            add(ending | _apportion(sequences * sequence - sum(ending.values()), others, left), [sequence] * sequences, 1)
     if left:
         rest = sum(left.values())
         rooms = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
@@ -141,22 +161,46 @@ def schedule(totals: Mapping[str, int], weights: Mapping[str, float] | None = No
     return phases
 
 
-def place(phases: list[Phase], source: str, start: int, length: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (start in the document, length, sequence, offset) of queue positions [start, start + length)."""
-    out, end = [], start + length
-    for phase in phases:
-        if source not in phase.per_source:
-            continue
-        first, size, begins, sequences, offsets = phase.per_source[source]
-        x, stop = max(start, first), min(end, first + size * phase.repeats)
-        while x < stop:
-            turn, y = divmod(x - first, size)
-            j = int(np.searchsorted(begins, y, side="right")) - 1
-            until = int(begins[j + 1]) if j + 1 < len(begins) else size
-            n = min(stop - x, until - y)
-            out.append((x - start, n, phase.base + turn * phase.sequences + int(sequences[j]), int(offsets[j]) + y - int(begins[j])))
-            x += n
-    return out
+class Lane:
+    """The segments of one queue, through all phases, as arrays that any position can be looked up in."""
+
+    def __init__(self, phases: list[Phase], name: str):
+        mine = [(p, *p.per_source[name]) for p in phases if name in p.per_source]
+        column = lambda xs: np.array(xs, np.int64)
+        self.base, self.sequences = column([p.base for p, *_ in mine]), column([p.sequences for p, *_ in mine])
+        self.first, self.size = column([m[1] for m in mine]), column([m[2] for m in mine])
+        self.count = column([len(m[3]) for m in mine])
+        before = lambda xs: np.cumsum(xs) - xs
+        repeats = column([p.repeats for p, *_ in mine])
+        self.shift, self.slot, self.number = before(self.size), before(self.count), before(self.count * repeats)
+        self.begins = np.concatenate([m[3] + s for m, s in zip(mine, self.shift, strict=True)])
+        self.sequence, self.offset = np.concatenate([m[4] for m in mine]), np.concatenate([m[5] for m in mine])
+        self.last, self.end = int((self.count * repeats).sum()) - 1, int(self.first[-1] + self.size[-1] * repeats[-1])
+
+    def segment(self, at: np.ndarray) -> np.ndarray:
+        """The number of the segment that holds each queue position."""
+        p = np.searchsorted(self.first, at, side="right") - 1
+        turn, inner = np.divmod(at - self.first[p], self.size[p])
+        j = np.searchsorted(self.begins, self.shift[p] + inner, side="right") - 1
+        return self.number[p] + turn * self.count[p] + j - self.slot[p]
+
+    def where(self, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queue position, sequence, offset there) at which each segment starts."""
+        p = np.searchsorted(self.number, segment, side="right") - 1
+        turn, j = np.divmod(segment - self.number[p], self.count[p])
+        j += self.slot[p]
+        return self.first[p] + turn * self.size[p] + self.begins[j] - self.shift[p], self.base[p] + turn * self.sequences[p] + self.sequence[j], self.offset[j]
+
+    def pieces(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start in the document, length, sequence, offset) of documents at queue positions [at, at + n)."""
+        low = self.segment(at)
+        counts = self.segment(at + n - 1) - low + 1
+        row = np.repeat(np.arange(len(at)), counts)
+        segment = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start, sequence, offset = self.where(segment)
+        stop = np.where(segment < self.last, self.where(np.minimum(segment + 1, self.last))[0], self.end)
+        begin, stop = np.maximum(start, at[row]), np.minimum(stop, at[row] + n[row])
+        return row, begin - at[row], stop - begin, sequence, offset + begin - start
 
 
 def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, text: str = "text", source: str = "source") -> DataFrame:
@@ -195,25 +239,46 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | No
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("bucket"), pa.array(starts, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "source", "bucket", "local", "n", "ids"])
 
     encoded = shared_table(queued.mapInArrow(encode, "doc_id long, source string, bucket long, local long, n long, ids binary"), "packed-ids")
-    sums = encoded.groupBy(*keys).agg(F.sum("n").alias("tokens"))
-    totals = {r.source: r.tokens for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # one row a source
-    phases = schedule(totals, weights, sequence)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    positions = sums.select(*keys, F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    if buckets * max(1, len(totals)) <= BROADCAST_BUCKETS:
+    sums = checkpoint(encoded.groupBy(*keys).agg(F.sum("n").alias("tokens")))
+    listed = list(weights or {})
+    if len(listed) > MOST_QUEUES:
+        raise ValueError(f"at most {MOST_QUEUES} sources can have weights")
+    by_size = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.col("source").isin(listed).desc(), F.col("tokens").desc(), "source")
+    totals = {r.source: r.tokens for r in by_size.limit(MOST_QUEUES).collect()}
+    own = docs.sparkSession.createDataFrame([(n, n) for n in totals], "source string, queue string")
+    named = sums.join(F.broadcast(own), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(OTHERS)))
+    rest = named.where(F.col("queue") == OTHERS).agg(F.sum("tokens")).first()[0]
+    phases = schedule(totals | ({OTHERS: rest} if rest else {}), weights, sequence)
+    lanes = {name: Lane(phases, name) for name in {n for p in phases for n in p.per_source}}
+    # a queue's order: bucket by bucket, and within one source by source
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = named.groupBy("queue", "bucket").agg(F.sum("tokens").alias("tokens")).select("queue", "bucket", F.coalesce(F.sum("tokens").over(before("queue", "bucket")), F.lit(0)).alias("block"))
+    within = named.select("queue", *keys, F.coalesce(F.sum("tokens").over(before("queue", "bucket", "source")), F.lit(0)).alias("within"))
+    positions = within.join(blocks, ["queue", "bucket"]).select(*keys, "queue", (F.col("block") + F.col("within")).alias("base"))
+    if sums.count() <= BROADCAST_BUCKETS:
         positions = F.broadcast(positions)
-    placed = encoded.join(positions, keys).select("doc_id", "source", (F.col("base") + F.col("local")).alias("at"), "n", "ids")
+    placed = encoded.join(positions, keys).select("doc_id", "source", "queue", (F.col("base") + F.col("local")).alias("at"), "n", "ids")
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, name, at, n, raw in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
-                for start, length, sequence_id, offset in place(phases, name, at, n):
-                    rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), n, sequence_id, offset, None if name == NO_SOURCE else name))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 7 else pa.int64()) for i, c in enumerate(columns)], names=[f.split()[0] for f in PIECES.split(", ")])
+            doc_id, name, queue, ids = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            at, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            members: dict[str, list[int]] = {}
+            for i, q in enumerate(queue):
+                members.setdefault(q, []).append(i)
+            found = [np.zeros((5, 0), np.int64)]
+            for q, mine in members.items():
+                i = np.array(mine)
+                row, *rest_ = lanes[q].pieces(at[i], n[i])
+                found.append(np.stack([i[row], *rest_]))
+            row, start, length, sequence_id, offset = np.concatenate(found, axis=1)
+            wide = [np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32).astype("<u4").data.cast("B") for x, k in zip(ids, n.tolist(), strict=True)]
+            rows = row.tolist()
+            crcs = [zlib.crc32(wide[r][4 * a : 4 * b]) for r, a, b in zip(rows, start.tolist(), (start + length).tolist(), strict=True)]
+            sources = [None if x == NO_SOURCE else x for x in name]
+            columns = [pa.array([doc_id[r] for r in rows], pa.int64()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(sequence_id), pa.array(offset), pa.array([sources[r] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
 
     return placed.mapInArrow(cut, PIECES)

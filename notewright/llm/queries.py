@@ -28,12 +28,16 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The target mixture of op4: equal shares of these sources, while they last; any other comes after them.
+PACKING_WEIGHTS = {f"src{i}": 1 for i in range(20)}
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """All documents in sequences of 2048 tokens, sources in proportion to their tokens."""
+    """All documents in sequences of 2048 tokens, each filled towards the target mixture."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return packing.pack(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), PACKING_WEIGHTS)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

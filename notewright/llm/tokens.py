@@ -3,13 +3,15 @@
 Encoding by `tokenizers` word by word equals encoding the text wherever white space always
 separates pre-tokens, so each worker keeps a bounded table of the words it has met and encodes
 only new ones, all new words of a batch in one call. Plain words skip the normaliser; words of
-uncommon scripts, and texts with control separators, go through the tokenizer unchanged.
+uncommon scripts, and texts with control separators or with one of the tokenizer's added tokens,
+go through the tokenizer unchanged.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import numpy as np
 
@@ -35,13 +37,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [spec["pre_tokenizer"]]
         patterns = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         suffix = spec["model"].get("end_of_word_suffix")
+        added = spec.get("added_tokens") or []
+        self.marks = [t["content"] for t in added if not t["normalized"]]
+        self.normal_marks = [unicodedata.normalize("NFC", t["content"]).lower() for t in added if t["normalized"]]
         self.by_word = bool(suffix) and len(patterns) == 1 and [s["type"] for s in steps] == ["Split", "ByteLevel"] and kinds == ["NFC", "Replace", "Lowercase"]
         self.kind = np.dtype(np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
         self.words: dict[str, bytes] = {}
@@ -50,7 +54,6 @@ class WordTokenizer:
 
             self.split = regex.compile(patterns[0])
             self.pieces = Tokenizer.from_file(path)
-            self.pieces.encode_special_tokens = True
             self.pieces.normalizer = None
             self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.letters = _byte_letters()
@@ -85,7 +88,9 @@ class WordTokenizer:
 
     def _split(self, text: str) -> list[str]:
         """Lower-case words; none where the text must be encoded whole."""
-        if not self.by_word or any(c in text for c in _ODD_SPACE):
+        if not self.by_word or any(c in text for c in _ODD_SPACE) or any(m in text for m in self.marks):
+            return []
+        if self.normal_marks and any(m in unicodedata.normalize("NFC", text).lower() for m in self.normal_marks):
             return []
         if text.isascii() or _COMMON.match(text):
             return text.lower().split()

@@ -88,7 +88,6 @@ def test_packing(spark, kept):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     docs, pieces = rows(spark, kept, 4), rows(spark, kept, 5)
     times, spans = Counter(r.doc_id for r in docs), defaultdict(list)
     ids = {r.doc_id: np.array([*t.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for r in docs}

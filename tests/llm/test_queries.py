@@ -54,7 +54,6 @@ def check_packing(rows, texts, sequence=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     encoded = t.encode_batch([x or "" for _, x in texts], add_special_tokens=False)
     ids = {d: np.array([*e.ids, 1], "<u4") for (d, _), e in zip(texts, encoded, strict=True)}
     pieces, filled = defaultdict(list), defaultdict(list)
@@ -84,6 +83,60 @@ def test_packing(spark, texts):
     check_packing(Q.op4_mixture_packing(spark, MEDIUM).collect(), texts[MEDIUM])
 
 
+def test_packing_of_special_tokens(spark):
+    """Ids are those of the tokenizer as its file describes it, added tokens included."""
+    import public_tokenizers
+
+    from notewright.llm import packing
+
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "x<|endoftext|><|endoftext|>y É", "<|ENDOFTEXT|> <|endoftext|", "Ünï<|startoftext|>ñ", "<|\nendoftext|>", "don't 12 \x1c <|endoftext|>"] * 3
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packing(got, rows)
+    assert {r.doc_tokens for r in got if r.doc_id == 0} == {4}
+
+
+def test_packing_keeps_the_mixture(spark):
+    """While all sources last, each is within two grains of its share after any sequence; deficits are carried."""
+    import public_tokenizers
+
+    from notewright.llm import packing
+
+    rows = Q.op4_mixture_packing(spark, MEDIUM).select("source", "length", "sequence_id").collect()
+    got, ends, n = defaultdict(lambda: defaultdict(int)), defaultdict(int), len(Q.PACKING_WEIGHTS)
+    for r in rows:
+        got[r.sequence_id][r.source] += r.length
+        ends[r.source] = max(ends[r.source], r.sequence_id)
+    assert set(ends) == set(Q.PACKING_WEIGHTS)
+    served, whole, short = defaultdict(int), min(ends.values()) - packing.PERIOD_SEQUENCES, 0
+    assert whole > 20
+    for s in range(whole):
+        for source, k in got[s].items():
+            served[source] += k
+        assert sum(got[s].values()) == packing.SEQUENCE
+        short += len(got[s]) < n  # a window holds 16 grains: the others are owed, and served in the next one
+        assert all(abs(served[x] - (s + 1) * packing.SEQUENCE / n) <= 2 * packing.GRAIN for x in ends), s
+    assert short > 0
+    weighted = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("source IN ('src1', 'src2')")
+    first = packing.pack(weighted, public_tokenizers.path("word_bpe_49k.json"), {"src1": 3, "src2": 1}).where("sequence_id < 8").groupBy("source").sum("length").collect()
+    assert {r[0]: r[1] for r in first} == {"src1": 8 * 1536, "src2": 8 * 512}
+
+
+def test_packing_many_sources(spark, monkeypatch):
+    """Sources beyond the queues share one; every id still lies in one piece."""
+    import public_tokenizers
+
+    from notewright.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_QUEUES", 7)
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 60)), f"host{i % 400}" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    pieces = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
+    check_packing(pieces.collect(), [(i, t) for i, t, _ in rows])
+    assert pieces.select("source").distinct().count() == len({s for *_, s in rows})
+
+
 def test_quality(spark):
     label = dict(connect(MEDIUM).execute("SELECT doc_id, quality FROM labels").fetchall())
     rows = Q.op7_pu_quality(spark, MEDIUM).collect()
