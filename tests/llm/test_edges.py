@@ -277,3 +277,28 @@ def test_stage_keeps_extra_columns(spark, clashing):
     for _, fn in corpus_pipeline.STAGES[:4]:
         out = fn(spark, clashing, "")
         assert out.columns == clashing.columns and out.count() > 0
+
+
+@pytest.mark.parametrize("size", [1.0, 1e9, 1e17])
+def test_ball_tree_is_exact(spark, size):
+    """Many shards of clustered vectors, some of them alike, against whole numbers of any size."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, size, (9, 6))
+    points = np.concatenate([centres[rng.integers(0, 9, 500)] + rng.normal(0, size / 20, (500, 6)), np.repeat(centres[:1], 120, 0)])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = [[int(np.floor(x * 256)) for x in v] for _, v in rows]
+    longest = 2**63 - 1
+    want = []
+    for q in range(0, len(rows), 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)
+        want.append((q, [max(-longest - 1, min(longest, -s)) for s, _ in scored[:5]], [i for _, i in scored[:5]]))
+    got = {}
+    for r in balltree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block_queries=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q, scores, ids in want:
+        assert [s for s, _ in got[q]] == scores
+        if max(map(abs, scores)) < longest:
+            assert [i for _, i in got[q]] == ids
