@@ -48,9 +48,10 @@ def test_near_duplicates(spark, kept):
 def all_spans(text):
     base = brute.base_spans(text)
     weak = [(m.start(), len(secret_scan.BASE) + k, m.end()) for k, p in enumerate(secret_scan.WEAK.values()) for m in re.finditer(p, text, re.ASCII)]
-    weak = [w for w in weak if all(w[2] <= b[0] or b[2] <= w[0] for b in base)]
     part = lambda s: secret_scan.PART[secret_scan.KINDS[s[1]]]
-    linked = [w for w in weak if len({part(o) for o in base + weak if abs(o[0] - w[0]) <= secret_scan.SCOPE} | {part(w)}) == 3]
+    near = lambda a, b: b[0] - a[2] <= secret_scan.SCOPE and a[0] - b[2] <= secret_scan.SCOPE
+    shown = [w for w in weak if all(w[2] <= b[0] or b[2] <= w[0] for b in base)]
+    linked = [w for w in shown if len({part(o) for o in base + weak if near(w, o)} | {part(w)}) == 3]
     return sorted(base + linked)
 
 
