@@ -11,6 +11,9 @@ The lexicon's size does not grow with the corpus: at most (mean distinct terms a
 LEAST_SHARE terms reach the band, so it is broadcast while it holds BROADCAST_TERMS or fewer
 and joined by shuffle beyond.
 
+Neighbours by id meet in blocks cut at quantiles of (doc_id, md5 of the text), so blocks hold
+about as many rows however ids are spread, repeated or missing.
+
 Defined results: a null text counts as empty; a text with no term of the lexicon has the sha256
 of the text as fingerprint and a likeness of 1 to an equal fingerprint, else 0; equal texts have
 equal fingerprints; a null doc_id sorts after all others; rows of one doc_id sort by the md5 of
@@ -19,8 +22,6 @@ their text; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ REPLICATES = 8
 #: A 16-bit draw below these keeps a term in subsets of rate 1, 1/4, 1/16, 1/64, 1/256, 1/1024.
 RATES = (65536, 16384, 4096, 1024, 256, 64)
 BROADCAST_TERMS = 1_000_000
-#: Documents a block of neighbouring ids is meant to hold, and heads of blocks up to which they are broadcast.
-BLOCK_ROWS, BROADCAST_HEADS = 1024, 2_000_000
+#: Documents a block of neighbouring ids is meant to hold, the most blocks there are (beyond, blocks grow),
+#: and keys sampled a block to cut them.
+BLOCK_ROWS, MOST_BLOCKS, BLOCK_SAMPLE = 1024, 65_536, 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,17 +49,41 @@ def _digits(hexed: Column, at: int, n: int) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, h, draw_0...): the terms in the band with their hash and random draws."""
+    """(term, levels): the terms in the band and, for each drawing, the sparsest rate that keeps them."""
     counted = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     band = counted.crossJoin(F.broadcast(total)).where((F.col("df") >= F.greatest(F.lit(2.0), F.col("n") * LEAST_SHARE)) & (F.col("df") <= F.greatest(F.lit(2.0), F.col("n") * MOST_SHARE)))
     drawn = F.md5(F.concat(F.lit("draw:"), F.col("term")).cast("binary"))
-    return band.select("term", _digits(F.md5(F.col("term").cast("binary")), 1, 15).alias("h"), *[_digits(drawn, 4 * r + 1, 4).cast("int").alias(f"draw_{r}") for r in range(REPLICATES)])
 
+    def level(r: int) -> Column:
+        draw = _digits(drawn, 4 * r + 1, 4)
+        return sum((F.when(draw < rate, 1).otherwise(0) for rate in RATES[1:]), F.lit(0)).cast("byte")
+
+    return band.select("term", F.array(*[level(r) for r in range(REPLICATES)]).alias("levels"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def subset_hashes(kept: Column) -> Column:
+    """Of a document's sorted lexicon terms, as structs of term and levels: one hash a drawing and rate, 0 where no term is kept."""
+
+    def hashed(ts: Column) -> Column:
+        joined = F.array_join(F.transform(ts, lambda t: t["term"]), " ")
+        return F.when(F.size(ts) > 0, _digits(F.md5(joined.cast("binary")), 1, 15)).otherwise(F.lit(0).cast("long"))
+
+    def drawing(ts: Column, all_: Column, r: int) -> Column:
+        def sparser(xs: Column, rate: int, so_far: list[Column]) -> Column:
+            """Each subset is taken from the one before it, which holds it."""
+            if rate == len(RATES):
+                return F.array(*so_far)
+            return let(F.filter(xs, lambda t: F.get(t["levels"], F.lit(r)) >= rate), lambda ys: sparser(ys, rate + 1, [*so_far, hashed(ys)]))
 
-def subset_hashes() -> list[Column]:
-    """Aggregates over joined terms: one hash a drawing and rate, 0 where no term is kept."""
-    return [F.coalesce(F.bit_xor(F.when(F.col(f"draw_{r}") < rate, F.col("h"))), F.lit(0).cast("long")) for r in range(REPLICATES) for rate in RATES]
+        return sparser(ts, 1, [all_])
+
+    return let(kept, lambda ts: let(hashed(ts), lambda all_: F.concat(*[drawing(ts, all_, r) for r in range(REPLICATES)])))
 
 
 def likeness(a: Column, b: Column, fingerprints_equal: Column) -> Column:
@@ -68,43 +94,55 @@ def likeness(a: Column, b: Column, fingerprints_equal: Column) -> Column:
     return F.when(F.size(agree) > 0, F.size(F.filter(agree, lambda x: x)) / F.size(agree)).otherwise(fingerprints_equal.cast("double"))
 
 
-def _previous_block(blocks: DataFrame) -> DataFrame:
-    """(block, head, target): each block's greatest id and the non-empty block that precedes it
-    in descending order (for the first: the last). Neighbours are found within runs of blocks,
-    and only the ends of runs are put in one order."""
-    runs = blocks.withColumn("run", F.expr("block div 4096"))
-    inner = runs.withColumn("target", F.lead("block").over(Window.partitionBy("run").orderBy("block")))
-    ends = runs.groupBy("run").agg(F.min("block").alias("first"), F.max("block").alias("last"))
-    one = Window.partitionBy(F.lit(0))
-    ends = ends.withColumn("following", F.coalesce(F.lead("first").over(one.orderBy("run")), F.min("first").over(one))).select("last", "following")
-    return inner.join(ends, inner["block"] == ends["last"], "left").select("block", "head", F.coalesce("target", "following").alias("target"))
+def _order(doc_id: Column, text_md5: Column) -> Column:
+    """Ascending order of ids, those without one first; texts of one id by their md5."""
+    return F.struct(doc_id.isNotNull().alias("known"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), text_md5.alias("md5"))
+
+
+def cut_points(keys: DataFrame, n: int) -> list:
+    """Keys at which blocks of some BLOCK_ROWS rows start, by quantiles of a sample of bounded size."""
+    blocks = min(MOST_BLOCKS, n // BLOCK_ROWS)
+    if blocks < 2:
+        return []
+    every = max(1, n // (BLOCK_SAMPLE * blocks))
+    drawn = keys.where(F.pmod(F.xxhash64("key.id", "key.md5"), F.lit(every)) == 0).select("key").limit(4 * BLOCK_SAMPLE * blocks).collect()
+    sample = sorted((r.key.known, r.key.id, r.key.md5) for r in drawn)
+    return sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)}) if sample else []
+
+
+def block_of(key: Column, cuts: list) -> Column:
+    """How many of the cut points are not above key, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    known, ids, md5s = (F.lit(list(c)) for c in zip(*cuts, strict=True))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.expr("0") + F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        at = lambda i: F.struct(F.get(known, i).alias("known"), F.get(ids, i).cast("long").alias("id"), F.get(md5s, i).alias("md5"))
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(let(middle, lambda i: F.when(at(i) <= key, F.struct((i + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), i.alias("high")))))
+
+    turns = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), step, lambda acc: acc["low"])
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     """(block, rn, extra, doc_id, text, next_text): every document and the next by descending id.
 
-    Neighbouring ids share a block of BLOCK_ROWS or so; the head of each block also goes, marked
-    extra, to the end of the block before it. Text is shuffled once.
+    Neighbouring ids share a block; the head of each block also goes, marked extra, to the end of
+    the block before it. Text is shuffled once.
     """
-    ids = docs.select("doc_id")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    span = int(high) - int(low) + 1 if low is not None else 1
-    width = -(-span * BLOCK_ROWS // max(1, n))
-    if width >= span:
-        block = F.lit(0)
-    elif span < 1 << 63:
-        block = F.expr(f"(doc_id - {low}L) div {width}L")
-    else:  # ids over more than half of all there are: their differences need more than 64 bits
-        block = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(int(low)))) / F.lit(Decimal(width)))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(block)
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = rows.withColumn("block", block.cast("long")).withColumn("extra", F.lit(False))
-    heads = checkpoint(_previous_block(ids.select("doc_id", block.cast("long").alias("block")).groupBy("block").agg(F.max("doc_id").alias("head"))))
-    few = heads.count() <= BROADCAST_HEADS
-    heads = heads.select(F.col("head"), F.col("target"))
-    tails = rows.join(F.broadcast(heads) if few else heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("target").alias("block"), F.lit(True).alias("extra"))
+    keyed = rows.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).withColumn("key", _order(F.col("doc_id"), F.col("text_md5")))
+    keys = checkpoint(keyed.select("key"))
+    cuts = cut_points(keys, keys.count())
+    heads = keys.withColumn("block", block_of(F.col("key"), cuts)).groupBy("block").agg(F.max("key").alias("head"))  # MOST_BLOCKS rows at most
+    # in descending order a block's head follows the block above it, and the first of all follows the lowest
+    one = Window.partitionBy(F.lit(0))
+    heads = checkpoint(heads.select("head", F.coalesce(F.lead("block").over(one.orderBy("block")), F.min("block").over(one)).alias("target")))
+    tails = keyed.join(F.broadcast(heads), F.col("key") == F.col("head")).groupBy(F.col("target").alias("block"), "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    placed = keyed.select("doc_id", "text", "text_md5", block_of(F.col("key"), cuts).alias("block"), F.lit(False).alias("extra"))
+    joined = placed.unionByName(tails.select("doc_id", "text", F.col("key.md5").alias("text_md5"), "block", F.lit(True).alias("extra")))
     order = Window.partitionBy("block").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("text_md5").desc())
-    joined = placed.unionByName(tails).withColumn("text_md5", F.md5(F.col("text").cast("binary")))
     return joined.select("block", F.row_number().over(order).alias("rn"), "extra", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
@@ -127,9 +165,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     both = sized.select("block", "rn", "extra", "doc_id", "n_chars", "edited_sha", F.explode(kinds).alias("x"))
     keys = ["block", "rn", "extra", "doc_id", "n_chars", "edited_sha", "kind", "own_sha"]
     spread = both.select(*keys[:6], "x.kind", "x.own_sha", F.posexplode_outer(terms(F.col("x.t"))).alias("pos", "term"))
-    joined = spread.join(F.broadcast(known) if few else known, "term", "left").where(F.col("h").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
-    hashed = joined.groupBy(*keys).agg(*[c.alias(f"s{i}") for i, c in enumerate(subset_hashes())])
-    named = hashed.select(*keys, F.array(*[f"s{i}" for i in range(REPLICATES * len(RATES))]).alias("subsets"))
+    joined = spread.join(F.broadcast(known) if few else known, "term", "left").where(F.col("levels").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    kept = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("levels").isNotNull(), F.struct("term", "levels")))).alias("kept"))
+    named = kept.select(*keys, subset_hashes(F.col("kept")).alias("subsets"))
     order = Window.partitionBy("block").orderBy("rn", "kind")
     ahead = named.select(*keys, "subsets", *[F.lead(c, k).over(order).alias(f"{c}_{k}") for c in ("subsets", "own_sha") for k in (1, 2)])
     own = ahead.where("kind = 0 AND NOT extra").select("*", *[_fingerprint(f"subsets{k}", f"own_sha{k}").alias(f"fingerprint{k}") for k in ("", "_1", "_2")])
@@ -148,7 +186,7 @@ def _fingerprint(subsets: str, own_sha: str) -> Column:
 def oracle() -> str:
     """The same in SQL, with the next document by one ordering of the table."""
     rates = [(r, rate) for r in range(REPLICATES) for rate in RATES]
-    hashes = ",\n    ".join(f"coalesce(bit_xor(CASE WHEN draw[{r + 1}] < {rate} THEN h END), 0) AS s{i}" for i, (r, rate) in enumerate(rates))
+    hashes = ",\n    ".join(f"coalesce(('0x' || substring(md5(string_agg(CASE WHEN draw[{r + 1}] < {rate} THEN term END, ' ' ORDER BY term)), 1, 15))::BIGINT, 0) AS s{i}" for i, (r, rate) in enumerate(rates))
     subsets = "[" + ", ".join(f"s{i}" for i in range(len(rates))) + "]"
     n = len(RATES)
     lists = lambda a, b: ", ".join("coalesce(" + ", ".join(f"CASE WHEN {a}[{r * n + s + 1}] <> 0 OR {b}[{r * n + s + 1}] <> 0 THEN ({a}[{r * n + s + 1}] = {b}[{r * n + s + 1}])::INT END" for s in reversed(range(n))) + ")" for r in range(REPLICATES))
@@ -159,7 +197,7 @@ nx AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(text) OVER w, first_va
 ed AS (SELECT *, substring(text, 1, length(text) - length(text) // 3) || substring(nxt, 1, length(text) // 3) AS edited FROM nx),
 tk AS (SELECT rn, 0 AS kind, text AS t FROM ed UNION ALL SELECT rn, 1, edited FROM ed),
 tt AS (SELECT rn, kind, unnest({split}) AS term FROM tk),
-lex AS (SELECT term, ('0x' || substring(md5(term), 1, 15))::BIGINT AS h, list_transform(range({REPLICATES}), lambda r: ('0x' || substring(md5('draw:' || term), (4 * r + 1)::INT, 4))::BIGINT) AS draw
+lex AS (SELECT term, list_transform(range({REPLICATES}), lambda r: ('0x' || substring(md5('draw:' || term), (4 * r + 1)::INT, 4))::BIGINT) AS draw
   FROM tt WHERE kind = 0 GROUP BY term HAVING count(*) >= greatest(2.0, (SELECT count(*) FROM d) * {LEAST_SHARE}::DOUBLE) AND count(*) <= greatest(2.0, (SELECT count(*) FROM d) * {MOST_SHARE}::DOUBLE)),
 hs AS (SELECT rn, kind, {hashes}
   FROM tt JOIN lex USING (term) GROUP BY rn, kind),
