@@ -35,7 +35,7 @@ RATES = (65536, 16384, 4096, 1024, 256, 64)
 BROADCAST_TERMS = 1_000_000
 #: Documents a block of neighbouring ids is meant to hold, the most blocks there are (beyond, blocks grow),
 #: and keys sampled a block to cut them.
-BLOCK_ROWS, MOST_BLOCKS, BLOCK_SAMPLE = 1024, 65_536, 16
+BLOCK_ROWS, MOST_BLOCKS, BLOCK_SAMPLE = 256, 65_536, 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
