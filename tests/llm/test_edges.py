@@ -328,3 +328,18 @@ def test_ball_tree_is_exact(spark, size):
         assert [s for s, _ in got[q]] == scores
         if max(map(abs, scores)) < longest:
             assert [i for _, i in got[q]] == ids
+
+
+def test_imatch_blocks_hold_as_many_rows(spark, monkeypatch):
+    """Blocks follow the order's quantiles: an outlying id, missing and repeated ids don't fill one."""
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 50)
+    rows = [(i, f"text {i}") for i in range(1500)] + [(10**15, "far"), (-(2**62), "farther")] + [(None, f"none {i}") for i in range(800)] + [(7777, f"same {i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = imatch.with_next(df).where("NOT extra").collect()
+    sizes = Counter(r.block for r in found)
+    assert len(found) == len(rows) and max(sizes.values()) < 400 and len(sizes) > 30
+    import hashlib
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    want = {(i, t): order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order)}
+    assert {(r.doc_id, r.text): r.next_text for r in found} == want
