@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from notewright.llm.common import append_arrow
 
 #: Bound of the labelled sample: one snippet of this many code points from each of so many rows a language.
-SAMPLE_ROWS, SAMPLE_CHARS = 1024, 80
-DICTIONARY_BYTES = 64 << 10
+SAMPLE_ROWS, SAMPLE_CHARS = 768, 80
+#: Of a snippet as it is compared so many bytes count, so that a dictionary holds all of them in 64 KiB.
+SNIPPET_BYTES = 84
 BLOCK_BYTES = 8192
 #: Below this relative gap between the two shortest encodings a decision is rejected.
 MIN_MARGIN = 0.002
@@ -59,10 +60,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
         .groupBy("lang", "bucket")
         .agg(F.min_by("snippet", "rank").alias("snippet"))
     )
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[bytes]] = {}
     for row in sorted(snippets.collect()):  # at most sample_rows short snippets a language
-        found.setdefault(row.lang, []).append(_plain(row.snippet))
-    return LanguageModel({k: " ".join(v).encode()[:DICTIONARY_BYTES] for k, v in sorted(found.items())})
+        found.setdefault(row.lang, []).append(_plain(row.snippet).encode()[:SNIPPET_BYTES])
+    return LanguageModel({k: b" ".join(v) for k, v in sorted(found.items())})
 
 
 def _encoders(model: LanguageModel, fine: bool):
@@ -92,7 +93,7 @@ def classify(text: str | None, coarse, fine) -> tuple[str, float, float]:
     raw = _plain(text).encode()
     sizes = _sizes(raw, coarse)
     best, *rest = sorted(sizes, key=lambda k: (sizes[k], k))
-    if rest and sizes[best] == sizes[rest[0]] and len(raw) <= BLOCK_BYTES:
+    if rest and sizes[best] == sizes[rest[0]]:
         sizes = _sizes(raw, fine)
         best, *rest = sorted(sizes, key=lambda k: (sizes[k], k))
     score = 1 / sum(math.exp(min(0.0, sizes[best] - x)) for x in sizes.values())

@@ -74,6 +74,32 @@ def test_language(clashing, empty):
     assert language_id.predict(empty, model).isEmpty()
 
 
+def test_language_equals_brute_force(spark):
+    """Every language's dictionary, every block of every text: the shortest encoding wins, ties are encoded again."""
+    import zstandard as zstd
+
+    docs = spark.createDataFrame([(i, prose(i, n), "abc"[i % 3], "s", 0) for i, n in enumerate([1, 2, 3, 5, 8, 30, 200, 3000, 9000] * 8)] + [(900, "zz " * 9000, None, "s", 0), (901, "q", None, "s", 0)], SCHEMA)
+    model = language_id.fit(docs)
+    assert all(len(d) <= 64 << 10 for d in model.dictionaries.values())
+
+    def size(raw, dictionary, **how):
+        params = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, write_content_size=False, **how)
+        one = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+        return sum(len(one.compress(raw[i : i + language_id.BLOCK_BYTES])) for i in range(0, len(raw), language_id.BLOCK_BYTES))
+
+    ties = 0
+    for r in language_id.predict(docs, model).collect():
+        raw = " ".join("".join(c if not c.isascii() or c.isalpha() else " " for c in r.text.lower()).split()).encode()
+        sizes = {k: size(raw, d, strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=2) for k, d in model.dictionaries.items()}
+        if sorted(sizes.values())[0] == sorted(sizes.values())[1]:
+            ties += len(raw) > language_id.BLOCK_BYTES
+            sizes = {k: size(raw, d, strategy=zstd.STRATEGY_BTULTRA2, min_match=3, search_log=6) for k, d in model.dictionaries.items()}
+        best, second = sorted(sizes, key=lambda k: (sizes[k], k))[:2]
+        assert r.lang_pred == best and abs(r.margin - (sizes[second] - sizes[best]) / sizes[best]) < 1e-12
+        assert r.rejected == (r.margin < language_id.MIN_MARGIN)
+    assert ties
+
+
 def test_substring(clashing, empty):
     found = substring_dedup.repeats(clashing).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
     same(found.collect(), brute.substring_words(pairs(odd_rows())))
