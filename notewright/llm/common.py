@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -21,24 +18,48 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of this machine only where all run on it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared checkpoint folder, compressed and free of its lineage."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents and bytes of text that share a range or bucket, on average.
+RANGE_ROWS, RANGE_BYTES = 4096, 16 << 20
+#: Partitions that ranges are dealt to at most, many to one beyond.
+MOST_PARTITIONS = 20_000
+
+
+def ranges_of(docs: DataFrame, text: str = "text") -> int:
+    """Ranges for work on all texts: as many as the shuffle has partitions, or rows or bytes ask for."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(shuffle_parts(docs.sparkSession), rows // RANGE_ROWS, size // RANGE_BYTES)
+
+
+def by_spot(packed: DataFrame, ranges: int) -> DataFrame:
+    """Packed rows of one range together, ranges in order of `spot`; rows written aside go by theirs."""
+    return packed.repartition(min(ranges, MOST_PARTITIONS), F.abs("spot")).sortWithinPartitions("spot")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fixed test fold: crc32 of the decimal doc_id leaves 2 when divided by 4."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
@@ -63,20 +84,21 @@ def append_arrow(df: DataFrame, fn, fields: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType(kept + new.fields))
 
 
-#: What was written aside is gathered to about so many bytes.
-APART_BYTES = 16 << 20
+#: What was written aside is gathered to about so many bytes; a range of more is thinned.
+APART_BYTES, THIN_BYTES = 16 << 20, 64 << 20
 
 
-def in_ranges(together, apart):
+def in_ranges(together, apart, thin=None):
     """For mapInArrow over partitions sorted by `spot`: together(table) of the rows of each spot from 0
     on, one spot held at a time, and apart(table) of the rows of each negative spot, in pieces of
-    APART_BYTES, as those of one spot have no bound."""
+    APART_BYTES, as those of one spot have no bound. thin(table) gives what can be told of a spot
+    already and the rows that must still be held; it is asked whenever they have doubled beyond THIN_BYTES."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, at, size = [], None, 0
+        held, at, size, most = [], None, 0, THIN_BYTES
 
         def done():
             if held:
@@ -88,9 +110,15 @@ def in_ranges(together, apart):
             for a, b in zip(cuts, cuts[1:]):
                 if spots[a] != at or (at < 0 and size > APART_BYTES):
                     yield from done()
-                    held, at, size = [], spots[a], 0
+                    held, at, size, most = [], spots[a], 0, THIN_BYTES
                 held.append(batch.slice(a, b - a))
                 size += held[-1].nbytes
+                if thin is not None and at >= 0 and size > most:
+                    told, kept = thin(pa.Table.from_batches(held))
+                    yield from told.to_batches()
+                    held = kept.to_batches()
+                    size = sum(x.nbytes for x in held)
+                    most = max(THIN_BYTES, 2 * size)
         yield from done()
 
     return run

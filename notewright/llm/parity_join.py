@@ -2,18 +2,23 @@
 
 Each shingle toggles one bit of a wide bit sketch, so the Hamming distance of two sketches never
 exceeds the symmetric difference of the two sets, and that is at most (a + b) / 9 for linked sets
-of a and b shingles. Per size band the sketch is cut into parts; one part more than the bound
-would have to agree. Of its parts with a set bit a set joins on the floor(a / 4) + 1 that hold
-most bits: if at most D parts differ, the first D + 1 parts of either in any order common to
-both must meet, and fuller parts are the rarer ones. Parts are stored by a 47-bit digest (the
-exclusive or of their bits' hashes); what meets by chance is sorted out by the Hamming bound of
-a second, 1024-bit sketch and by exact verification of the texts.
+of a and b shingles. Per size band, from 8 shingles up, the sketch is cut into half as many parts
+as a set of the band has shingles at most; one part more than the bound would have to agree. Of
+its parts with a set bit a set joins on the floor(a / 4) + 1 that hold most bits: if at most D
+parts differ, the first D + 1 parts of either in any order common to both must meet, and fuller
+parts are the rarer ones. A set whose shingles fall in so few parts that all of them may differ
+also joins on finer parts; a partner that shares no part with it is in the same case, so both meet
+there. Parts are stored by a 47-bit digest (the exclusive or of their bits' hashes); what meets by
+chance is sorted out by the Hamming bound of a second, 1024-bit sketch and by exact verification.
 
 Equal sets are one class from the start. A part shared by few classes yields all its pairs; of a
-part shared by many, each is first compared with a centre (the class in most of such parts), and
-once that has joined most of them into components, only pairs across components that pass the
-size and Hamming bounds are compared too. That keeps every link that can change a component
-without listing the pairs within groups of near copies.
+part shared by many, each is first compared with a centre (the class in most of such parts). That
+joins groups of near copies. Parts that are still shared by several components - a passage or a
+line that unlike documents have in common - are then put last in the common order of parts, and
+sets join once more, on what else they hold. Only sets that consist of such parts almost wholly
+still meet in them: there, pairs across components that pass the size and Hamming bounds are
+compared. That keeps every link that can change a component without listing the pairs within
+groups of near copies or within those that share a passage.
 
 A class is known by a 64-bit sum of its shingles' hashes, shingles by 64-bit hashes.
 
@@ -31,21 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.arrowtext import Words, groups, mix, text_bytes
-from notewright.llm.common import checkpoint, in_ranges, shared_table, shuffle_parts
+from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of, shared_table
 from notewright.llm.components import components
 from notewright.llm.tokens import forget
 
 SHINGLE_WORDS = 5
 SKETCH_BITS = 1024
-#: Sets below this many shingles are one band, whose parts hold a bit or so; above, bands double.
-SMALL_BAND, SMALL_PARTS = 64, 1 << 16
+#: Sets below this many shingles are one band; above, bands double. Finer parts are so many times as many.
+FIRST_BAND, FINER = 8, 1 << 12
+#: Parts that are put last in the order, at most: those of the most classes, as 8 bytes each in every task.
+MOST_LAST = 100_000
 #: Classes that share a part, up to which all their pairs are compared at once.
 FEW = 16
 #: Texts (bytes) and classes a task gathers before it writes its keys.
 FLUSH_BYTES, FLUSH_CLASSES = 24 << 20, 60_000
-#: Documents per range of part digests, on average.
-RANGE_ROWS = 4096
-
 
 def shingle_sets(column, k: int = SHINGLE_WORDS):
     """Yields (first row, n rows, row of each shingle, shingle), by row and ascending, distinct."""
@@ -83,35 +87,48 @@ def _classes(n: int, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray,
 
 
 def band(sizes: np.ndarray) -> np.ndarray:
-    return np.where(sizes < SMALL_BAND, 0, np.floor(np.log2(np.maximum(sizes, 1) / SMALL_BAND) + 1e-12).astype(np.int64) + 1)
-
-
-def part_keys(n: int, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the parts each set joins on: those of its own band, and of the next where a linked set may lie there."""
-    found = []
+    return np.where(sizes < FIRST_BAND, 0, np.floor(np.log2(np.maximum(sizes, 1) / FIRST_BAND) + 1e-12).astype(np.int64) + 1)
+
+
+def _digest(key: np.ndarray) -> np.ndarray:
+    """47 bits of a key, the lowest bit of the result left free."""
+    return key << np.uint64(1) >> np.uint64(17) << np.uint64(1)
+
+
+def _parts(r: np.ndarray, v: np.ndarray, layout: np.ndarray, parts: np.ndarray, sizes: np.ndarray, last: np.ndarray):
+    """(row, digest) of the parts that come first in each row's order, and how many parts each row has."""
+    part = ((v >> np.uint64(32)) * parts) >> np.uint64(32)
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+    starts = np.flatnonzero(first)
+    bits = np.diff(np.append(starts, len(r)))
+    key = _digest(mix(np.bitwise_xor.reduceat(mix(v, 3), starts) ^ mix((part[starts] << np.uint64(8)) | layout[starts], 6), 8))
+    pr = r[starts]
+    late = np.isin(key, last) if len(last) else np.zeros(len(key), bool)
+    order = np.lexsort((key, -bits, late, pr))
+    pr, key = pr[order], key[order]
+    rank = np.arange(len(pr)) - np.searchsorted(pr, pr)
+    take = rank <= sizes[pr] // 4
+    return pr[take], key[take], np.bincount(pr, minlength=len(sizes))
+
+
+def part_keys(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest) of the parts each set joins on: those of its own band, and of the next where a linked
+    set may lie there. Parts in last come after all others."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     own, upper = band(sizes), band((sizes * 5) // 4)
     for more in (0, 1):
         use = sizes > 0 if not more else (sizes > 0) & (upper != own)
-        keep = use[rows]
-        r, v = rows[keep], values[keep]
+        r, v = rows[use[rows]], values[use[rows]]
         if not len(r):
             continue
         b = (upper if more else own)[r]
-        parts = np.where(b == 0, SMALL_PARTS, SMALL_BAND << np.maximum(b - 1, 0)).astype(np.uint64)  # half as many parts as the band's largest set has bits
-        part = ((v >> np.uint64(32)) * parts) >> np.uint64(32)
-        first = np.ones(len(r), bool)
-        first[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-        starts = np.flatnonzero(first)
-        bits = np.diff(np.append(starts, len(r)))
-        key = mix(np.bitwise_xor.reduceat(mix(v, 3), starts) ^ mix((part[starts] << np.uint64(8)) | b[starts].astype(np.uint64), 6), 8)
-        pr = r[starts]
-        order = np.lexsort((key, -bits, pr))
-        pr, key = pr[order], key[order]
-        rank = np.arange(len(pr)) - np.searchsorted(pr, pr)
-        take = rank <= sizes[pr] // 4
-        found.append((pr[take], key[take]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        parts = np.uint64(FIRST_BAND // 2) << b.astype(np.uint64)
+        pr, key, n = _parts(r, v, b.astype(np.uint64), parts, sizes, last)
+        found.append((pr, key))
+        few = (n <= sizes // 4)[r]
+        if few.any():
+            found.append(_parts(r[few], v[few], b[few].astype(np.uint64) | np.uint64(128), parts[few] * np.uint64(FINER), sizes, last)[:2])
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
@@ -140,7 +157,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_key long, n long, cls long, sketch array<long>")
 
 
-def _key_blobs(docs: DataFrame, ranges: int) -> DataFrame:
+def _key_blobs(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
     """(spot, keys, index, classes): part keys of many documents, packed by range of the key.
 
     Within what one task gathers, equal sets count once, and a key that many of them share goes
@@ -188,8 +205,8 @@ def _key_blobs(docs: DataFrame, ranges: int) -> DataFrame:
                 for r, c in enumerate(cls.tolist()):
                     if c and c not in seen:
                         new[r], slot[r], seen[c] = True, len(seen), len(seen)
-                pr, key = part_keys(n, rows[new[rows]], values[new[rows]], np.where(new, sizes, 0))
-                keys.append(key << np.uint64(1) >> np.uint64(17) << np.uint64(1))
+                pr, key = part_keys(rows[new[rows]], values[new[rows]], np.where(new, sizes, 0), last)
+                keys.append(key)
                 index.append(slot[pr])
                 size += len(pr)
                 if size > FLUSH_BYTES // 10 or len(seen) > FLUSH_CLASSES:
@@ -245,6 +262,27 @@ def _meet(table):
     return pa.table([pa.array(kind), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
 
+def _thin(table):
+    """Of part of one range: (kind 1) members of parts that are crowded by now, and all other rows with one of each crowded part, marked."""
+    import pyarrow as pa
+
+    marked, cls = _unpack(table)
+    keys = marked >> np.uint64(1)
+    order = np.lexsort((cls, keys))
+    marked, keys, cls = marked[order], keys[order], cls[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]))
+    first = np.append(True, keys[1:] != keys[:-1])
+    run = np.cumsum(first) - 1
+    crowded = (np.bincount(run, weights=fresh) > FEW) | (np.bincount(run, weights=marked & np.uint64(1)) > 0)
+    told = fresh & crowded[run]
+    keep = (fresh & ~crowded[run]) | (first & crowded[run])
+    k, c = (keys << np.uint64(1) | crowded[run].astype(np.uint64))[keep], cls[keep]
+    spot = table.column("spot")[0].as_py()
+    rows = [(spot, k[i : i + FLUSH_CLASSES].tobytes(), np.arange(len(k[i : i + FLUSH_CLASSES]), dtype=np.uint16).tobytes(), c[i : i + FLUSH_CLASSES].tobytes()) for i in range(0, len(k), FLUSH_CLASSES)]
+    kept = pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["spot", "keys", "index", "classes"])
+    return pa.table([pa.array(np.ones(int(told.sum()), np.int32)), pa.array(keys[told].view(np.int64)), pa.array(cls[told].view(np.int64))], names=["kind", "a", "b"]), kept
+
+
 def _members(table):
     """Of rows written aside: (kind 1) members of crowded parts."""
     import pyarrow as pa
@@ -293,47 +331,60 @@ def text_key(text: Column) -> Column:
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, class_id, component_id) of every row; class_id is the least doc_id of an equal set."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = checkpoint(_sets(docs))
-    ranges = max(shuffle_parts(spark), docs.count() // RANGE_ROWS)
+    ranges = ranges_of(docs)
     classes = checkpoint(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")).where("rep IS NOT NULL"))
-    packed = _key_blobs(docs, ranges).repartition(ranges, "spot").sortWithinPartitions("spot")
-    met = checkpoint(packed.mapInArrow(in_ranges(_meet, _members), "kind int, a long, b long"))
-    crowded = checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).distinct())
 
     info = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
+    def meeting(last: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """(pairs of classes that share a part, members of crowded parts)."""
+        met = checkpoint(by_spot(_key_blobs(docs, ranges, last), ranges).mapInArrow(in_ranges(_meet, _members, _thin), "kind int, a long, b long"))
+        return met.where("kind = 0").select("a", "b"), checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).distinct())
+
+    def stars(crowded: DataFrame) -> DataFrame:
+        """Pairs of each crowded part's members with its centre."""
+        support = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("support"))
+        centre = crowded.join(support, "cls").groupBy("part").agg(F.max(F.struct(F.col("support"), (-F.col("cls")).alias("least"))).alias("top")).select("part", (-F.col("top.least")).alias("centre"))
+        return crowded.join(centre, "part").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"))
+
     def near(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, those within the bounds, with their representatives."""
         return checkpoint(pairs.join(info("a"), "a").join(info("b"), "b").where(_hamming_ok()).select("a", "b", "rep_a", "rep_b"))
 
-    def linked(close: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of near() pairs, the linked ones as (u, v) of their representatives."""
+    def linked(close: DataFrame) -> DataFrame:
+        """Of near() pairs, the linked ones as (u, v) of their representatives; one text of each class is moved for it."""
+        compared = close.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("cls")).unionByName(close.select(F.col("rep_b").alias("doc_id"), F.col("b").alias("cls"))).distinct()
+        texts = shared_table(docs.join(compared, "doc_id").select("cls", "text"), "compared-texts")
         both = close.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        return _verify(both).distinct().join(close, ["a", "b"]).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-
-    support = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("support"))
-    centre = crowded.join(support, "cls").groupBy("part").agg(F.max(F.struct(F.col("support"), (-F.col("cls")).alias("least"))).alias("top")).select("part", (-F.col("top.least")).alias("centre"))
-    stars = crowded.join(centre, "part").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    pairs = met.where("kind = 0").select("a", "b").unionByName(stars).distinct()
-    close = near(pairs)
-    # one text of each class that is compared, now or across components later: all texts are moved for it once
-    compared = close.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("cls")).unionByName(close.select(F.col("rep_b").alias("doc_id"), F.col("b").alias("cls"))).unionByName(crowded.join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls")).distinct()
-    texts = shared_table(docs.join(compared, "doc_id").select("cls", "text"), "compared-texts")
-    edges = checkpoint(linked(close, texts))
-    found = components(edges)
-    if not crowded.isEmpty():
+        return checkpoint(_verify(both).distinct().join(close, ["a", "b"]).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")))
+
+    def still_open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+        """(part, cls, component): members of crowded parts that several components share."""
         label = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
         labelled = crowded.join(label, "cls")
-        open_parts = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-        rest = checkpoint(labelled.join(open_parts, "part"))
-        if not rest.isEmpty():
-            left = rest.select("part", F.col("cls").alias("a"), F.col("component").alias("c_a")).join(info("a"), "a")
-            right = rest.select(F.col("part").alias("p_b"), F.col("cls").alias("b"), F.col("component").alias("c_b")).join(info("b"), "b")
-            across = left.join(right, (F.col("part") == F.col("p_b")) & (F.col("c_a") < F.col("c_b")) & _hamming_ok())
-            more = linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts)
-            found = components(edges.unionByName(more))
+        parts = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
+        return checkpoint(labelled.join(parts, "part").select("part", "cls", "component"))
+
+    pairs, crowded = meeting(np.zeros(0, np.uint64))
+    pairs = checkpoint(pairs.unionByName(stars(crowded)).distinct())
+    edges = linked(near(pairs))
+    found = components(edges)
+    rest = still_open(crowded, found)
+    if not rest.isEmpty():  # what unlike documents share is put last, and all meet again
+        last = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "part").limit(MOST_LAST).collect()
+        more, crowded = meeting(np.array([r.part for r in last], np.int64).view(np.uint64) << np.uint64(1))
+        rest = still_open(crowded, found)
+        new = more.unionByName(stars(rest.select("part", "cls"))).distinct().join(pairs, ["a", "b"], "left_anti")
+        edges = edges.unionByName(linked(near(new)))
+        found = components(edges)
+        rest = still_open(rest.select("part", "cls"), found)
+    if not rest.isEmpty():
+        left = rest.select("part", F.col("cls").alias("a"), F.col("component").alias("c_a")).join(info("a"), "a")
+        right = rest.select(F.col("part").alias("p_b"), F.col("cls").alias("b"), F.col("component").alias("c_b")).join(info("b"), "b")
+        across = left.join(right, (F.col("part") == F.col("p_b")) & (F.col("c_a") < F.col("c_b")) & _hamming_ok())
+        found = components(edges.unionByName(linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))))
     by_class = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -269,6 +269,30 @@ def test_jaccard_near_threshold(spark, seed):
     assert sorted(got) == sorted(brute.jaccard_components(rows))
 
 
+def test_jaccard_of_a_passage_that_unlike_documents_share(spark, monkeypatch):
+    """A line in thousands of unlike documents, a passage in others, with near copies among them; ranges are thinned on the way."""
+    from notewright.llm import common
+
+    monkeypatch.setattr(common, "THIN_BYTES", 1 << 14)
+    r, docs = random.Random(7), []
+    line, passage = "subscribe to our weekly letter for all the news of town", prose(77, 60)
+    for i in range(2500):
+        own = prose(10_000 + i, r.choice((8, 20, 60)))
+        docs.append(f"{own} {line}")
+        if i % 50 == 0:
+            docs.append(f"{own} x{i} {line}")
+    for i in range(300):
+        own = prose(50_000 + i, r.choice((5, 16, 30)))
+        docs += [f"{passage} {own}", f"{passage} {own} z"][: 1 + (i % 10 == 0)]
+    rows = list(enumerate(docs))
+    seen = []
+    compare = parity_join._verify
+    monkeypatch.setattr(parity_join, "_verify", lambda rows_: (seen.append(rows_.count()), compare(rows_))[1])
+    got = [(x.doc_id, x.n_shingles, x.component_id) for x in parity_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()]
+    assert sorted(got) == sorted(brute.jaccard_components(rows))
+    assert sum(seen) < 40 * len(rows), seen
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_substrings_of_shared_passages(spark, seed):
     """Passages within, across and at the ends of documents, and periodic texts."""
