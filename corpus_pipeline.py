@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.llm import language_id, mixing, packing, parity_join, secret_scan
-from notewright.llm.common import LOCAL_CHECKPOINTS, held_out
+from notewright.llm.common import held_out, shared_folder
 
 
 def _row(docs: DataFrame):
@@ -75,12 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
