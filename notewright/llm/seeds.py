@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.arrowtext import groups, text_bytes, window_minima
-from notewright.llm.common import in_ranges
+from notewright.llm.common import by_spot, in_ranges
 
 FLUSH_BYTES, FLUSH_ROWS = 24 << 20, 60_000
 NO_ID = (1 << 63) - 1
@@ -186,7 +186,7 @@ def seeds(docs: DataFrame, find, ranges: int, once_a_doc: bool) -> DataFrame:
     once_a_doc, an anchor must occur in two rows of docs; else two places of one row will do.
     There are as many buckets as ranges, so a row holds the seeds of several documents.
     """
-    packed = docs.select("ord", "text_key", "text").mapInArrow(_pack(find, ranges, once_a_doc), PACKED).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+    packed = by_spot(docs.select("ord", "text_key", "text").mapInArrow(_pack(find, ranges, once_a_doc), PACKED), ranges)
     return packed.mapInArrow(in_ranges(_repeated(ranges), _settled(ranges)), SEEDS)
 
 
@@ -256,5 +256,5 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def beside(docs: DataFrame, rows: DataFrame, buckets: int, run, schema: str) -> DataFrame:
-    """run(documents, packed rows) of each bucket; every document is in one, some 4,096 together."""
+    """run(documents, packed rows) of each bucket; every document is in one, some 4,096 or 16 MB together."""
     return docs.withColumn("bucket", bucket(buckets)).groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, schema)

@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from notewright.llm import seeds as S
 from notewright.llm.arrowtext import Words, text_bytes
-from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
+from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of
 
 WINDOW_WORDS, ANCHOR_WORDS = 35, 10
 HOT_SHARE, HOT_LEAST = 1e-6, 20_000
-RANGE_ROWS = 4096
 FLUSH_WINDOWS = 1 << 20
 UNITS = "spot int, wholes binary, marks binary, ids binary, froms binary, counts binary, windows binary"
 
@@ -168,13 +167,13 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW_WORDS, anc
     if not anchor < window <= 255:
         raise ValueError("a window must be longer than its anchor and at most 255 words")
     rows = S.keyed(docs, text)
-    ranges = max(shuffle_parts(docs.sparkSession), docs.count() // RANGE_ROWS)
+    ranges = ranges_of(rows)
     found = checkpoint(S.seeds(rows, _finder(window, anchor), ranges, False))
     counted = found.select(F.explode(F.sequence(F.lit(0), (F.length("keys") / 4).cast("int") - 1)).alias("i"), "spot", "keys").select("spot", F.substring("keys", F.col("i") * 4 + 1, F.lit(4)).alias("low"))
     total = found.agg(F.coalesce(F.sum(F.length("keys") / 4), F.lit(0))).first()[0]
     frequent = counted.groupBy("spot", "low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_LEAST, total * HOT_SHARE)).collect()  # at most 1 / HOT_SHARE rows
     hot = np.array([(r.spot << 32) | int.from_bytes(r.low, "little") for r in frequent], np.uint64)
-    units = S.beside(rows, found, ranges, _extend(window, anchor, ranges, hot), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+    units = by_spot(S.beside(rows, found, ranges, _extend(window, anchor, ranges, hot), UNITS), ranges)
     spans = units.mapInArrow(in_ranges(_compare(window, ranges), settled_spans), S.SPANS)
 
     def cut(docs_, rows_):

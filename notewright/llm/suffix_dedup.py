@@ -3,17 +3,21 @@
 Anchors pick the suffixes to sort (see seeds): of each repeated anchor, the stretch of text that
 holds all the windows it anchors. Stretches with the same anchor meet in one range and are
 sorted: multikey quicksort over 8-byte characters to a shallow depth, then, for groups still
-equal there, a blind trie over the rest. Equal stretches end side by side, and all but those of
-the least doc_id are covered whole. What is left - one stretch of each kind - is compared window
-by window, so a stretch that shares only some of its windows loses only those.
+equal there, blind tries over the rest. Equal stretches end side by side, and all but those of
+the least doc_id are covered whole; a task sorts what it gathers in the same way before it sends
+on one stretch of each kind and document. What is left of a range - one stretch of each kind -
+gives its suffixes, one a window, which are sorted likewise: where neighbours in that order have
+a window's length in common, those of larger doc_ids are covered. So a stretch that shares only
+some of its windows loses only those.
 
-Whole texts that equal one of a smaller doc_id are settled first and not sorted.
+Whole texts that equal one of a smaller doc_id, by size and two hashes, are settled first and not
+sorted: a large group of copies would otherwise bring all its stretches to be compared.
 
 Anchors with more than HOT_SHARE of all seeds are split, as edges of a frequent passage bring as
 many unlike stretches as documents: there every window is a stretch of its own and goes to the
 range of its own hash, one of each bucket's equal ones.
 
-Windows of unlike stretches are compared by 64-bit hashes; stretches byte by byte.
+Stretches and windows are compared byte by byte.
 
 Defined results: null texts are empty; texts shorter than a window stay; a null doc_id is larger
 than all others and such rows leave each other alone, as do rows of one doc_id; an empty table
@@ -28,12 +32,11 @@ from pyspark.sql import functions as F
 
 from notewright.llm import seeds as S
 from notewright.llm.arrowtext import _BYTE_CODE, mix, rolling, text_bytes
-from notewright.llm.common import checkpoint, in_ranges, shuffle_parts
+from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of
 
 WINDOW_BYTES, ANCHOR_BYTES = 50, 20
-RANGE_ROWS = 4096
 HOT_SHARE, HOT_LEAST = 1e-6, 20_000
-SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 4096
+SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 32
 FLUSH_UNITS, PIECE_UNITS, BLOCK_ROWS = 120_000, 30_000, 8192
 UNITS = "spot int, ids binary, place binary, froms binary, sizes binary, stretches binary, spans binary"
 
@@ -69,91 +72,75 @@ def multikey_quicksort(columns: np.ndarray, order: np.ndarray, depth: int = 0) -
     return np.concatenate(done) if done else order
 
 
-class BlindTrie:
-    """Orders strings that share a long prefix: nodes hold only where their strings first differ.
+def blind_tries(strings: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): rows of a byte matrix sorted within the groups that heads start, and where one differs from the row before.
 
-    A string is led down blindly, compared once with the leaf it reaches, and branches off at the
-    first byte that differs. A string that ends counts as smaller than any that goes on.
+    One blind trie a group, all grown together, level by level: a node looks only at the byte
+    where its strings first differ, and its children share all before. A group without such a
+    byte is a leaf.
     """
-
-    def __init__(self, string: bytes, row: int):
-        self.root: list = [string, [row]]  # leaf: [string, rows]; node: (depth, {byte: child}, leaf below)
-
-    def add(self, string: bytes, row: int) -> None:
-        node = self.root
-        while isinstance(node, tuple):
-            depth, children, below = node
-            node = children.get(string[depth] if depth < len(string) else -1) or below
-        if node[0] == string:
-            node[1].append(row)
-            return
-        other = node[0]
-        most = min(len(string), len(other))
-        depth = next((i for i in range(most) if string[i] != other[i]), most)
-        at = lambda s: s[depth] if depth < len(s) else -1
-        parent, link, node = None, None, self.root
-        while isinstance(node, tuple) and node[0] < depth:
-            parent, link = node, string[node[0]] if node[0] < len(string) else -1
-            node = parent[1][link]
-        if isinstance(node, tuple) and node[0] == depth:
-            node[1][at(string)] = [string, [row]]
-            return
-        fresh = (depth, {at(string): [string, [row]], at(other): node}, self._leaf(node))
-        if parent is None:
-            self.root = fresh
-        else:
-            parent[1][link] = fresh
-
-    @staticmethod
-    def _leaf(node):
-        return node[2] if isinstance(node, tuple) else node
-
-    def ordered(self):
-        """Rows of equal strings together, in string order."""
-        todo = [self.root]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, tuple):
-                todo += [node[1][b] for b in sorted(node[1], reverse=True)]
-            else:
-                yield node[1]
-
-
-def deep_shallow_sort(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, kind) of the rows of a byte matrix padded with zeros: kind numbers equal rows alike, in order.
-
-    Rows of one kind must have the same true length; callers make sure by a length byte.
+    n, width = strings.shape
+    order, heads = np.arange(n), heads.copy()
+    open_ = np.arange(n)
+    while len(open_):
+        first = np.flatnonzero(heads[open_])
+        sizes = np.diff(np.append(first, len(open_)))
+        many = np.repeat(sizes > 1, sizes)
+        open_ = open_[many]
+        if not len(open_):
+            break
+        first = np.flatnonzero(heads[open_])
+        node = np.cumsum(heads[open_]) - 1
+        depth = np.full(len(open_), width)
+        for i in range(0, len(open_), BLOCK_ROWS):
+            rows, own = strings[order[open_[i : i + BLOCK_ROWS]]], strings[order[open_[first[node[i : i + BLOCK_ROWS]]]]]
+            differs = rows != own
+            depth[i : i + BLOCK_ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        depth = np.minimum.reduceat(depth, first)[node]
+        branching = depth < width
+        open_, node, depth = open_[branching], node[branching], depth[branching]
+        byte = strings[order[open_], depth]
+        along = np.lexsort((byte, node))
+        order[open_], byte = order[open_[along]], byte[along]
+        heads[open_[1:]] |= byte[1:] != byte[:-1]
+    return order, heads
+
+
+def deep_shallow_sort(head: np.ndarray, tail) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads) of strings: their order, and where one differs from the string before it in that order.
+
+    head: the first characters of 8 bytes of each, as numbers; tail(rows) the bytes that follow,
+    as a matrix, asked only for strings that share their head with another.
     """
-    n, width = stretches.shape
-    head = np.ascontiguousarray(stretches[:, : 8 * SHALLOW_CHARACTERS]).view(">u8").astype(np.uint64)
+    n = len(head)
     order = multikey_quicksort(head, np.arange(n))
-    sorted_head = head[order]
-    first = np.append(True, (sorted_head[1:] != sorted_head[:-1]).any(axis=1)) if n else np.zeros(0, bool)
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, n))
-    kind = np.empty(n, np.int64)
-    single = sizes == 1
-    out, number = order.copy(), np.zeros(len(starts), np.int64)
-    kinds_in = np.ones(len(starts), np.int64)
-    tail = np.ascontiguousarray(stretches[:, 8 * SHALLOW_CHARACTERS :])
-    groups = []
-    for g in np.flatnonzero(~single).tolist():
-        a, b = int(starts[g]), int(starts[g] + sizes[g])
-        rows = order[a:b].tolist()
-        trie = BlindTrie(tail[rows[0]].tobytes(), rows[0])
-        for r in rows[1:]:
-            trie.add(tail[r].tobytes(), r)
-        leaves = list(trie.ordered())
-        out[a:b] = [r for leaf in leaves for r in leaf]
-        kinds_in[g] = len(leaves)
-        groups.append((g, a, [len(leaf) for leaf in leaves]))
-    number = np.cumsum(kinds_in) - kinds_in
-    place = np.repeat(number, sizes)
-    for g, a, counts in groups:
-        if len(counts) > 1:
-            place[a : a + int(sizes[g])] = number[g] + np.repeat(np.arange(len(counts)), counts)
-    kind[out] = place
-    return out, kind
+    heads = np.ones(n, bool)
+    if n > 1:
+        heads[1:] = (head[order[1:]] != head[order[:-1]]).any(axis=1)
+    sizes = np.diff(np.append(np.flatnonzero(heads), n))
+    deep = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if len(deep):
+        inner, marks = blind_tries(tail(order[deep]), heads[deep])
+        order[deep], heads[deep] = order[deep[inner]], marks
+    return order, heads
+
+
+def _kinds(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, kind) of the rows of a matrix whose last byte used is their size: kind numbers equal rows alike, in order."""
+    head = np.ascontiguousarray(stretches[:, : 8 * SHALLOW_CHARACTERS]).view(">u8").astype(np.uint64)
+    order, heads = deep_shallow_sort(head, lambda rows: stretches[rows, 8 * SHALLOW_CHARACTERS :])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(heads) - 1
+    return order, kind
+
+
+def _characters(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one number; short of them at the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        out = (out << np.uint64(8)) | padded[j : j + len(data)]
+    return out
 
 
 def _stretch_matrix(data: np.ndarray, low: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -211,8 +198,7 @@ def _collect(window: int, anchor: int, ranges: int, hot: np.ndarray):
         import pyarrow as pa
 
         ids = np.array(table, np.int64).reshape(-1, 2)
-        view = np.ascontiguousarray(matrix).view(f"V{matrix.shape[1]}").ravel()
-        _, kind = np.unique(view, return_inverse=True)
+        _, kind = _kinds(matrix)
         order = np.lexsort((ids[doc, 0], kind))
         first = np.append(True, kind[order][1:] != kind[order][:-1])
         least = np.empty(len(kind), np.int64)
@@ -291,7 +277,7 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
         size = np.concatenate([np.frombuffer(x, np.uint8) for x in cols["sizes"]]).astype(np.int64)
         flat = np.frombuffer(b"".join(cols["stretches"]), np.uint8)
         matrix = _stretch_matrix(flat, np.cumsum(size) - size, size, width)
-        order, kind = deep_shallow_sort(matrix)
+        order, kind = _kinds(matrix)
         number = ids[doc, 0]
         least = np.full(int(kind.max()) + 1, S.NO_ID, np.int64)
         np.minimum.at(least, kind, number)
@@ -299,17 +285,22 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
         # one stretch of each kind, window by window
         shown = order[np.append(True, kind[order][1:] != kind[order][:-1])]
         counts = size[shown] - window + 1
-        row = np.repeat(np.arange(len(shown), dtype=np.int32), counts)
-        lines = np.ascontiguousarray(matrix[shown, :width])
+        lines = np.ascontiguousarray(matrix[shown, :width]).ravel()
+        del flat, matrix
         begin = np.repeat(np.arange(len(shown)) * width - (np.cumsum(counts) - counts), counts)
         begin += np.arange(len(begin))
-        prints = np.concatenate([rolling(_BYTE_CODE[part.ravel()], b, b + window) for part, b in _blocks(lines, begin, row, width)]) if len(shown) else np.zeros(0, np.uint64)
-        del begin, lines, flat, matrix
-        known, inverse = np.unique(prints, return_inverse=True)
-        del prints
-        earliest = np.full(len(known), S.NO_ID, np.int64)
-        np.minimum.at(earliest, inverse, least[kind[shown]][row])
-        cover = earliest[inverse] < least[kind[shown]][row]  # for the least document of the kind
+        row = np.repeat(np.arange(len(shown), dtype=np.int32), counts)
+        characters, shallow = _characters(lines), 8 * SHALLOW_CHARACTERS
+        head = np.stack([characters[begin + 8 * d] for d in range(SHALLOW_CHARACTERS)], axis=1)
+        del characters
+        along, heads = deep_shallow_sort(head, lambda rows: lines[begin[rows][:, None] + np.arange(shallow, window)])
+        del head
+        # neighbours that are no heads have a whole window in common
+        owner = least[kind[shown]][row[along]]
+        earliest = np.minimum.reduceat(owner, np.flatnonzero(heads))[np.cumsum(heads) - 1]
+        cover = np.zeros(len(begin), bool)
+        cover[along] = earliest < owner  # for the least document of the kind
+        del begin, lines, along, heads, owner, earliest
         # every stretch of the least document takes its kind's windows
         slot = np.full(len(least), -1, np.int64)
         slot[kind[shown]] = np.arange(len(shown))
@@ -330,19 +321,12 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
     return run
 
 
-def _blocks(lines: np.ndarray, begin: np.ndarray, row: np.ndarray, width: int, rows: int = BLOCK_ROWS):
-    """Pieces of the matrix of stretches, with window positions made relative to them."""
-    for i in range(0, len(lines), rows):
-        a, b = np.searchsorted(row, np.array([i, i + rows], row.dtype))
-        yield lines[i : i + rows], begin[a:b] - i * width
-
-
 def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW_BYTES, anchor: int = ANCHOR_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): spans are the byte intervals [from, to) removed, kept what remains."""
-    if not anchor < window <= 255 - window + anchor:
+    if not 8 * SHALLOW_CHARACTERS < window or not anchor < window <= 255 - window + anchor:
         raise ValueError("a stretch, 2 * window - anchor bytes, must fit in 255")
     rows = S.keyed(docs, text)
-    ranges = max(shuffle_parts(docs.sparkSession), docs.count() // RANGE_ROWS)
+    ranges = ranges_of(rows)
     same = ["text_key", "size", "crc"]
     ident = checkpoint(rows.select("ord", "text_key", F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")))
     copies = checkpoint(ident.join(ident.groupBy(*same).agg(F.min("ord").alias("first")), same).where("ord > first").select("ord", "text_key").distinct())
@@ -354,7 +338,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW_BYTES, ancho
     frequent = found.select("spot", "keys").mapInArrow(_frequent(max(HOT_LEAST, total * HOT_SHARE)), "number long").distinct().collect()  # at most 1 / HOT_SHARE rows
     hot = np.array([r.number for r in frequent], np.int64).view(np.uint64)
     out = told.select("bucket", F.lit(S.LEFT_OUT).alias("spot"), "ids", F.unhex(F.lit("00000000")).alias("counts"), F.unhex(F.lit("")).alias("keys"))
-    units = S.beside(rows, found.unionByName(out), ranges, _collect(window, anchor, ranges, hot), UNITS).repartition(ranges, F.abs("spot")).sortWithinPartitions("spot")
+    units = by_spot(S.beside(rows, found.unionByName(out), ranges, _collect(window, anchor, ranges, hot), UNITS), ranges)
 
     def settled(rows):
         import pyarrow as pa
