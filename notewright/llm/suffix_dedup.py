@@ -5,10 +5,11 @@ holds all the windows it anchors. Stretches with the same anchor meet in one ran
 sorted: multikey quicksort over 8-byte characters to a shallow depth, then, for groups still
 equal there, blind tries over the rest. Equal stretches end side by side, and all but those of
 the least doc_id are covered whole; a task sorts what it gathers in the same way before it sends
-on one stretch of each kind and document. What is left of a range - one stretch of each kind -
-gives its suffixes, one a window, which are sorted likewise: where neighbours in that order have
-a window's length in common, those of larger doc_ids are covered. So a stretch that shares only
-some of its windows loses only those.
+on one stretch of each kind and document. Of what is left, one stretch of each kind in order, the
+common prefix of neighbours tells which windows they share; only the first of such a chain goes on
+as a suffix of its own. These suffixes are sorted likewise, and where neighbours in that order
+have a window's length in common, those of larger doc_ids are covered. So a stretch that shares
+only some of its windows loses only those.
 
 Whole texts that equal one of a smaller doc_id, by size and two hashes, are settled first and not
 sorted: a large group of copies would otherwise bring all its stretches to be compared.
@@ -36,9 +37,9 @@ from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of
 
 WINDOW_BYTES, ANCHOR_BYTES = 50, 20
 HOT_SHARE, HOT_LEAST = 1e-6, 20_000
-SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 32
+SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 64
 FLUSH_UNITS, PIECE_UNITS, BLOCK_ROWS = 120_000, 30_000, 8192
-UNITS = "spot int, ids binary, place binary, froms binary, sizes binary, stretches binary, spans binary"
+UNITS = "spot int, ids binary, place binary, froms binary, sizes binary, anchors binary, stretches binary, spans binary"
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -56,20 +57,28 @@ def _finder(window: int, anchor: int):
 
 
 def multikey_quicksort(columns: np.ndarray, order: np.ndarray, depth: int = 0) -> np.ndarray:
-    """order sorted by columns[:, depth:], by ternary partitions; small segments are sorted outright."""
-    done, todo = [], [(order, depth)]
+    """order sorted by columns[:, depth:], by ternary partitions; what is left of SMALL_SEGMENT rows or fewer is sorted at the end."""
+    done, small, todo = [], [], [(order, depth)]
     while todo:
         rows, d = todo.pop()
         if d == columns.shape[1] or len(rows) < 2:
             done.append(rows)
+            small.append(False)
         elif len(rows) <= SMALL_SEGMENT:
-            done.append(rows[np.lexsort(columns[rows, d:].T[::-1])])
+            done.append(rows)
+            small.append(True)
         else:
             key = columns[rows, d]
             pivot = np.sort(key[[0, len(key) // 4, len(key) // 2, 3 * len(key) // 4, -1]])[2]
             less, more = key < pivot, key > pivot
             todo += [(rows[more], d), (rows[~(less | more)], d + 1), (rows[less], d)]
-    return np.concatenate(done) if done else order
+    if not done:
+        return order
+    out, sizes = np.concatenate(done), np.array(list(map(len, done)))
+    at = np.flatnonzero(np.repeat(small, sizes))
+    segment = np.repeat(np.arange(len(done)), sizes)[at]
+    out[at] = out[at][np.lexsort((*columns[out[at]].T[::-1], segment))]
+    return out
 
 
 def blind_tries(strings: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +143,16 @@ def _kinds(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, kind
 
 
+def _common_prefixes(lines: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many bytes each row of a padded matrix has in common with the row before it."""
+    out = np.zeros(len(lines), np.int64)
+    for i in range(1, len(lines), BLOCK_ROWS):
+        differs = lines[i : i + BLOCK_ROWS] != lines[i - 1 : i - 1 + len(lines[i : i + BLOCK_ROWS])]
+        out[i : i + BLOCK_ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), lines.shape[1])
+    out[1:] = np.minimum(out[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return out
+
+
 def _characters(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one number; short of them at the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -194,7 +213,7 @@ def _collect(window: int, anchor: int, ranges: int, hot: np.ndarray):
     """Stretches of each document's seeds, packed by range; those of bucket b settled here go as spot -1 - b."""
     width = 2 * window - anchor
 
-    def flush(spot, doc, low, matrix, table):
+    def flush(spot, doc, low, mark, matrix, table):
         import pyarrow as pa
 
         ids = np.array(table, np.int64).reshape(-1, 2)
@@ -206,15 +225,15 @@ def _collect(window: int, anchor: int, ranges: int, hot: np.ndarray):
         later = ids[doc, 0] > least
         size = matrix[:, width].astype(np.int64)
         settled = S.span_table(doc[later], low[later], low[later] + size[later], ids, ranges)
-        rows = [(-1 - home, i, b"", b"", n, b"", s) for home, i, n, s in zip(*[c.to_pylist() for c in settled.columns], strict=True)]
+        rows = [(-1 - home, i, b"", b"", n, b"", b"", s) for home, i, n, s in zip(*[c.to_pylist() for c in settled.columns], strict=True)]
         go = np.flatnonzero(~later)
         go = go[np.argsort(spot[go], kind="stable")]
         cuts = np.searchsorted(spot[go], np.arange(ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)):
             u = go[cuts[r] : cuts[r + 1]]
             used, place = np.unique(doc[u], return_inverse=True)
-            rows.append((int(r), ids[used].tobytes(), place.astype(np.uint16).tobytes(), low[u].astype(np.int32).tobytes(), size[u].astype(np.uint8).tobytes(), matrix[u, :width][np.arange(width) < size[u][:, None]].tobytes(), b""))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            rows.append((int(r), ids[used].tobytes(), place.astype(np.uint16).tobytes(), low[u].astype(np.int32).tobytes(), size[u].astype(np.uint8).tobytes(), mark[u].tobytes(), matrix[u, :width][np.arange(width) < size[u][:, None]].tobytes(), b""))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=[f.split()[0] for f in UNITS.split(", ")])
 
     def run(docs, rows):
@@ -236,19 +255,19 @@ def _collect(window: int, anchor: int, ranges: int, hot: np.ndarray):
             keep = np.isin(numbers, mine)
             if not keep.any():
                 continue
-            low, high, numbers = low[keep], high[keep], numbers[keep]
+            at, low, high, numbers = at[keep], low[keep], high[keep], numbers[keep]
             spot = (numbers >> np.uint64(32)).astype(np.int64)
             split = np.isin(numbers, hot)
             if split.any():  # every window for itself
                 reps = np.where(split, high - low + 1, 1)
                 inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
                 alone = np.repeat(split, reps)
-                low, high, spot = np.repeat(low, reps) + inner, np.repeat(high, reps), np.repeat(spot, reps)
+                at, low, high, spot = np.repeat(at, reps), np.repeat(low, reps) + inner, np.repeat(high, reps), np.repeat(spot, reps)
                 high = np.where(alone, low, high)
                 spot[alone] = (mix(rolling(_BYTE_CODE[raw], low[alone], low[alone] + window), 1) % np.uint64(ranges)).astype(np.int64)
             for a in range(0, len(low), PIECE_UNITS):
                 b = min(a + PIECE_UNITS, len(low))
-                parts.append((spot[a:b], np.full(b - a, len(table)), low[a:b], _stretch_matrix(raw, low[a:b], high[a:b] - low[a:b] + window, width)))
+                parts.append((spot[a:b], np.full(b - a, len(table)), low[a:b], (at[a:b] - low[a:b]).astype(np.uint8), _stretch_matrix(raw, low[a:b], high[a:b] - low[a:b] + window, width)))
                 table.append(ids[i])
                 size += b - a
                 if size > FLUSH_UNITS or len(table) > S.FLUSH_ROWS:
@@ -266,7 +285,7 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
     width = 2 * window - anchor
 
     def run(table):
-        cols = {n: table.column(n).to_pylist() for n in ("ids", "place", "froms", "sizes", "stretches")}
+        cols = {n: table.column(n).to_pylist() for n in ("ids", "place", "froms", "sizes", "anchors", "stretches")}
         doc, ids, base = [], [], 0
         for d, p in zip(cols["ids"], cols["place"], strict=True):
             ids.append(np.frombuffer(d, np.int64).reshape(-1, 2))
@@ -282,39 +301,55 @@ def _sorted_spans(window: int, anchor: int, buckets: int):
         least = np.full(int(kind.max()) + 1, S.NO_ID, np.int64)
         np.minimum.at(least, kind, number)
         whole = number > least[kind]
-        # one stretch of each kind, window by window
+        # one stretch of each kind, in order, and of these the ones that share their anchor: equal windows have equal anchors
         shown = order[np.append(True, kind[order][1:] != kind[order][:-1])]
-        counts = size[shown] - window + 1
-        lines = np.ascontiguousarray(matrix[shown, :width]).ravel()
+        mark = np.frombuffer(b"".join(cols["anchors"]), np.uint8)[shown].astype(np.int64)
+        flat = matrix[shown, :width].ravel()
+        place = np.arange(len(shown)) * width + mark
+        _, named, many = np.unique(rolling(_BYTE_CODE[flat], place, place + anchor), return_inverse=True, return_counts=True)
+        unlike = np.flatnonzero(many[named] > 1)
+        slot = np.full(len(shown) + 1, len(unlike))  # of each kind; the others have no windows to compare
+        slot[unlike] = np.arange(len(unlike))
+        slot = slot[kind]
+        shown = shown[unlike]
+        if not len(shown):
+            known, index = np.unique(ids, axis=0, return_inverse=True)
+            return S.span_table(index.ravel()[doc[whole]], low[whole], low[whole] + size[whole], known, buckets)
+        own, counts = least[unlike], size[shown] - window + 1
+        lines = np.ascontiguousarray(matrix[shown, :width])
+        fresh = np.maximum(0, np.minimum(counts, _common_prefixes(lines, size[shown]) - window + 1))  # windows before it are the neighbour's too
+        lines = lines.ravel()
         del flat, matrix
-        begin = np.repeat(np.arange(len(shown)) * width - (np.cumsum(counts) - counts), counts)
-        begin += np.arange(len(begin))
-        row = np.repeat(np.arange(len(shown), dtype=np.int32), counts)
+        chains = []  # for each offset: stretches that have a window there, the number of its chain, and the chains' first ones
+        for j in range(int(counts.max())):
+            has = np.flatnonzero(j < counts)
+            starts = np.flatnonzero(j >= fresh[has])
+            chains.append((has, np.cumsum(j >= fresh[has]) - 1, has[starts], np.minimum.reduceat(own[has], starts)))
+        begin = np.concatenate([first * width + j for j, (_, _, first, _) in enumerate(chains)])
+        owner = np.concatenate([c[3] for c in chains])
         characters, shallow = _characters(lines), 8 * SHALLOW_CHARACTERS
         head = np.stack([characters[begin + 8 * d] for d in range(SHALLOW_CHARACTERS)], axis=1)
         del characters
         along, heads = deep_shallow_sort(head, lambda rows: lines[begin[rows][:, None] + np.arange(shallow, window)])
-        del head
         # neighbours that are no heads have a whole window in common
-        owner = least[kind[shown]][row[along]]
-        earliest = np.minimum.reduceat(owner, np.flatnonzero(heads))[np.cumsum(heads) - 1]
-        cover = np.zeros(len(begin), bool)
-        cover[along] = earliest < owner  # for the least document of the kind
-        del begin, lines, along, heads, owner, earliest
+        earliest = np.empty(len(begin), np.int64)
+        earliest[along] = np.minimum.reduceat(owner[along], np.flatnonzero(heads))[np.cumsum(heads) - 1]
+        del head, along, heads, begin, lines
+        covered, at, done = [], [], 0
+        for j, (has, chain, first, _) in enumerate(chains):
+            hit = has[earliest[done + chain] < own[has]]  # for the least document of the kind
+            covered.append(hit)
+            at.append(np.full(len(hit), j))
+            done += len(first)
+        covered, at = np.concatenate(covered), np.concatenate(at)
+        by_kind = np.argsort(covered, kind="stable")
+        at, edges = at[by_kind], np.searchsorted(covered[by_kind], np.arange(len(own) + 2))
         # every stretch of the least document takes its kind's windows
-        slot = np.full(len(least), -1, np.int64)
-        slot[kind[shown]] = np.arange(len(shown))
-        touched = np.zeros(len(shown), bool)
-        touched[row[cover]] = True
-        some = np.flatnonzero(~whole & touched[slot[kind]])
-        at = np.cumsum(counts) - counts
-        docs, begins, stops = [doc[whole]], [low[whole]], [low[whole] + size[whole]]
-        for u in some.tolist():
-            s = int(slot[kind[u]])
-            hit = np.flatnonzero(cover[at[s] : at[s] + counts[s]]) + low[u]
-            docs.append(np.full(len(hit), doc[u]))
-            begins.append(hit)
-            stops.append(hit + window)
+        some = np.flatnonzero(~whole & (edges[slot + 1] > edges[slot]))
+        reps = edges[slot[some] + 1] - edges[slot[some]]
+        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        hits = at[np.repeat(edges[slot[some]], reps) + inner] + np.repeat(low[some], reps)
+        docs, begins, stops = [doc[whole], np.repeat(doc[some], reps)], [low[whole], hits], [low[whole] + size[whole], hits + window]
         uniq, index = np.unique(ids, axis=0, return_inverse=True)
         return S.span_table(index.ravel()[np.concatenate(docs)], np.concatenate(begins), np.concatenate(stops), uniq, buckets)
 
