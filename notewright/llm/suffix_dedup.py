@@ -37,7 +37,7 @@ from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of
 
 WINDOW_BYTES, ANCHOR_BYTES = 50, 20
 HOT_SHARE, HOT_LEAST = 1e-6, 20_000
-SHALLOW_CHARACTERS, SMALL_SEGMENT = 3, 64
+SHALLOW_CHARACTERS = 3
 FLUSH_UNITS, PIECE_UNITS, BLOCK_ROWS = 120_000, 30_000, 8192
 UNITS = "spot int, ids binary, place binary, froms binary, sizes binary, anchors binary, stretches binary, spans binary"
 
@@ -56,29 +56,26 @@ def _finder(window: int, anchor: int):
     return find
 
 
-def multikey_quicksort(columns: np.ndarray, order: np.ndarray, depth: int = 0) -> np.ndarray:
-    """order sorted by columns[:, depth:], by ternary partitions; what is left of SMALL_SEGMENT rows or fewer is sorted at the end."""
-    done, small, todo = [], [], [(order, depth)]
-    while todo:
-        rows, d = todo.pop()
-        if d == columns.shape[1] or len(rows) < 2:
-            done.append(rows)
-            small.append(False)
-        elif len(rows) <= SMALL_SEGMENT:
-            done.append(rows)
-            small.append(True)
-        else:
-            key = columns[rows, d]
-            pivot = np.sort(key[[0, len(key) // 4, len(key) // 2, 3 * len(key) // 4, -1]])[2]
-            less, more = key < pivot, key > pivot
-            todo += [(rows[more], d), (rows[~(less | more)], d + 1), (rows[less], d)]
-    if not done:
-        return order
-    out, sizes = np.concatenate(done), np.array(list(map(len, done)))
-    at = np.flatnonzero(np.repeat(small, sizes))
-    segment = np.repeat(np.arange(len(done)), sizes)[at]
-    out[at] = out[at][np.lexsort((*columns[out[at]].T[::-1], segment))]
-    return out
+def multikey_quicksort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): the rows sorted by their characters, and where one differs from the row before it.
+
+    A quicksort by the first character of all; after that only rows that are equal so far are
+    sorted, within their groups, by the next.
+    """
+    n, depth = columns.shape
+    order = np.argsort(columns[:, 0])
+    heads = np.ones(n, bool)
+    heads[1:] = np.diff(columns[order, 0]) != 0
+    for d in range(1, depth):
+        sizes = np.diff(np.append(np.flatnonzero(heads), n))
+        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if not len(open_):
+            break
+        key, group = columns[order[open_], d], np.cumsum(heads[open_])
+        along = np.lexsort((key, group))
+        order[open_], key = order[open_[along]], key[along]
+        heads[open_[1:]] |= key[1:] != key[:-1]
+    return order, heads
 
 
 def blind_tries(strings: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +118,8 @@ def deep_shallow_sort(head: np.ndarray, tail) -> tuple[np.ndarray, np.ndarray]:
     head: the first characters of 8 bytes of each, as numbers; tail(rows) the bytes that follow,
     as a matrix, asked only for strings that share their head with another.
     """
-    n = len(head)
-    order = multikey_quicksort(head, np.arange(n))
-    heads = np.ones(n, bool)
-    if n > 1:
-        heads[1:] = (head[order[1:]] != head[order[:-1]]).any(axis=1)
-    sizes = np.diff(np.append(np.flatnonzero(heads), n))
+    order, heads = multikey_quicksort(head)
+    sizes = np.diff(np.append(np.flatnonzero(heads), len(head)))
     deep = np.flatnonzero(np.repeat(sizes > 1, sizes))
     if len(deep):
         inner, marks = blind_tries(tail(order[deep]), heads[deep])
