@@ -29,3 +29,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("k"))
         pairs = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
     raise RuntimeError("components did not settle")
+
+
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of a graph that had `found` and gets more edges: only components that an edge joins are settled anew."""
+    for end in ("u", "v"):
+        label = found.select(F.col("node").alias(end), F.col("component").alias("label"))
+        edges = edges.join(label, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    merged = checkpoint(components(edges))
+    if merged.isEmpty():
+        return found
+    further = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return checkpoint(found.join(further, "component", "left").select("node", F.coalesce("least", "component").alias("component")).unionByName(merged.join(found, "node", "left_anti")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm.arrowtext import Words, groups, mix, text_bytes
 from notewright.llm.common import by_spot, checkpoint, in_ranges, ranges_of, shared_table
-from notewright.llm.components import components
+from notewright.llm.components import components, joined
 from notewright.llm.tokens import forget
 
 SHINGLE_WORDS = 5
@@ -370,21 +370,20 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs, crowded = meeting(np.zeros(0, np.uint64))
     pairs = checkpoint(pairs.unionByName(stars(crowded)).distinct())
     edges = linked(near(pairs))
-    found = components(edges)
+    found = checkpoint(components(edges))
     rest = still_open(crowded, found)
     if not rest.isEmpty():  # what unlike documents share is put last, and all meet again
         last = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "part").limit(MOST_LAST).collect()
         more, crowded = meeting(np.array([r.part for r in last], np.int64).view(np.uint64) << np.uint64(1))
         rest = still_open(crowded, found)
         new = more.unionByName(stars(rest.select("part", "cls"))).distinct().join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(linked(near(new)))
-        found = components(edges)
+        found = joined(found, linked(near(new)))
         rest = still_open(rest.select("part", "cls"), found)
     if not rest.isEmpty():
         left = rest.select("part", F.col("cls").alias("a"), F.col("component").alias("c_a")).join(info("a"), "a")
         right = rest.select(F.col("part").alias("p_b"), F.col("cls").alias("b"), F.col("component").alias("c_b")).join(info("b"), "b")
         across = left.join(right, (F.col("part") == F.col("p_b")) & (F.col("c_a") < F.col("c_b")) & _hamming_ok())
-        found = components(edges.unionByName(linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))))
+        found = joined(found, linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     by_class = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
