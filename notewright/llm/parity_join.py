@@ -13,11 +13,12 @@ chance is sorted out by the Hamming bound of a second, 1024-bit sketch and by ex
 
 Equal sets are one class from the start. A part shared by few classes yields all its pairs; of a
 part shared by many, each is first compared with a centre (the class in most of such parts). That
-joins groups of near copies. Parts that are still shared by several components - a passage or a
-line that unlike documents have in common - are then put last in the common order of parts, and
-sets join once more, on what else they hold. Only sets that consist of such parts almost wholly
-still meet in them: there, pairs across components that pass the size and Hamming bounds are
-compared. That keeps every link that can change a component without listing the pairs within
+joins groups of near copies. Where parts that are still shared by several components - a passage
+or a line that unlike documents have in common - would make more than PAIRS_A_CLASS pairs a class,
+they are put last in the common order of parts, and sets join once more, on what else they hold;
+only sets that consist of such parts almost wholly still meet in them. In the parts that remain,
+pairs across components that pass the size and Hamming bounds are compared; either way gives the
+same links. That keeps every link that can change a component without listing the pairs within
 groups of near copies or within those that share a passage.
 
 A class is known by a 64-bit sum of its shingles' hashes, shingles by 64-bit hashes.
@@ -48,6 +49,8 @@ FIRST_BAND, FINER = 8, 1 << 12
 MOST_LAST = 100_000
 #: Classes that share a part, up to which all their pairs are compared at once.
 FEW = 16
+#: Pairs to compare within crowded parts, for each class there is, beyond which meeting once more costs less.
+PAIRS_A_CLASS = 256
 #: Texts (bytes) and classes a task gathers before it writes its keys.
 FLUSH_BYTES, FLUSH_CLASSES = 24 << 20, 60_000
 
@@ -372,7 +375,8 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     edges = linked(near(pairs))
     found = checkpoint(components(edges))
     rest = still_open(crowded, found)
-    if not rest.isEmpty():  # what unlike documents share is put last, and all meet again
+    pairs_left = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    if pairs_left > PAIRS_A_CLASS * classes.count():  # what unlike documents share is put last, and all meet again
         last = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "part").limit(MOST_LAST).collect()
         more, crowded = meeting(np.array([r.part for r in last], np.int64).view(np.uint64) << np.uint64(1))
         rest = still_open(crowded, found)
