@@ -24,7 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("k"))
         pairs = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())

@@ -11,15 +11,18 @@ also joins on finer parts; a partner that shares no part with it is in the same
 there. Parts are stored by a 47-bit digest (the exclusive or of their bits' hashes); what meets by
 chance is sorted out by the Hamming bound of a second, 1024-bit sketch and by exact verification.
 
+Parts that many documents hold - those of a passage or a line that unlike documents have in common -
+come after all others in the order, whatever bits they hold: all parts of all documents are counted
+in CELLS cells by their digest, where sketches are made, and the fullest cells come last. As any
+common order gives the same links, shared cells only cost later work. So only sets that consist of
+such parts almost wholly still meet in them.
+
 Equal sets are one class from the start. A part shared by few classes yields all its pairs; of a
 part shared by many, each is first compared with a centre (the class in most of such parts). That
-joins groups of near copies. Where parts that are still shared by several components - a passage
-or a line that unlike documents have in common - would make more than PAIRS_A_CLASS pairs a class,
-they are put last in the common order of parts, and sets join once more, on what else they hold;
-only sets that consist of such parts almost wholly still meet in them. In the parts that remain,
-pairs across components that pass the size and Hamming bounds are compared; either way gives the
-same links. That keeps every link that can change a component without listing the pairs within
-groups of near copies or within those that share a passage.
+joins groups of near copies. In parts that are still shared by several components, pairs across
+components that pass the size and Hamming bounds are compared. That keeps every link that can
+change a component without listing the pairs within groups of near copies or within those that
+share a passage.
 
 A class is known by a 64-bit sum of its shingles' hashes, shingles by 64-bit hashes.
 
@@ -45,12 +48,12 @@ SHINGLE_WORDS = 5
 SKETCH_BITS = 1024
 #: Sets below this many shingles are one band; above, bands double. Finer parts are so many times as many.
 FIRST_BAND, FINER = 8, 1 << 12
-#: Parts that are put last in the order, at most: those of the most classes, as 8 bytes each in every task.
-MOST_LAST = 100_000
+#: Cells that count parts, and how many of them are put last at most, as 4 bytes each in every task.
+CELLS, MOST_LAST = 1 << 20, 65_536
+#: A task tells of cells that hold so many parts more than so many times the mean.
+CELL_LEAST, CELL_TIMES = 4, 4
 #: Classes that share a part, up to which all their pairs are compared at once.
 FEW = 16
-#: Pairs to compare within crowded parts, for each class there is, beyond which meeting once more costs less.
-PAIRS_A_CLASS = 256
 #: Texts (bytes) and classes a task gathers before it writes its keys.
 FLUSH_BYTES, FLUSH_CLASSES = 24 << 20, 60_000
 
@@ -98,54 +101,66 @@ def _digest(key: np.ndarray) -> np.ndarray:
     return key << np.uint64(1) >> np.uint64(17) << np.uint64(1)
 
 
-def _parts(r: np.ndarray, v: np.ndarray, layout: np.ndarray, parts: np.ndarray, sizes: np.ndarray, last: np.ndarray):
-    """(row, digest) of the parts that come first in each row's order, and how many parts each row has."""
+def _cell(key: np.ndarray) -> np.ndarray:
+    return ((key >> np.uint64(27)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _split(r: np.ndarray, v: np.ndarray, layout: np.ndarray, parts: np.ndarray):
+    """(row, digest, bits) of every part that has a bit."""
     part = ((v >> np.uint64(32)) * parts) >> np.uint64(32)
     first = np.ones(len(r), bool)
     first[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
     starts = np.flatnonzero(first)
-    bits = np.diff(np.append(starts, len(r)))
     key = _digest(mix(np.bitwise_xor.reduceat(mix(v, 3), starts) ^ mix((part[starts] << np.uint64(8)) | layout[starts], 6), 8))
-    pr = r[starts]
-    late = np.isin(key, last) if len(last) else np.zeros(len(key), bool)
-    order = np.lexsort((key, -bits, late, pr))
-    pr, key = pr[order], key[order]
-    rank = np.arange(len(pr)) - np.searchsorted(pr, pr)
-    take = rank <= sizes[pr] // 4
-    return pr[take], key[take], np.bincount(pr, minlength=len(sizes))
-
-
-def part_keys(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, digest) of the parts each set joins on: those of its own band, and of the next where a linked
-    set may lie there. Parts in last come after all others."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    return r[starts], key, np.diff(np.append(starts, len(r)))
+
+
+def _layouts(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+    """Yields _split() of the layouts each set is cut by: that of its own band, that of the next where a
+    linked set may lie there, and the finer ones of either where all parts may differ."""
     own, upper = band(sizes), band((sizes * 5) // 4)
     for more in (0, 1):
         use = sizes > 0 if not more else (sizes > 0) & (upper != own)
         r, v = rows[use[rows]], values[use[rows]]
         if not len(r):
             continue
-        b = (upper if more else own)[r]
-        parts = np.uint64(FIRST_BAND // 2) << b.astype(np.uint64)
-        pr, key, n = _parts(r, v, b.astype(np.uint64), parts, sizes, last)
-        found.append((pr, key))
-        few = (n <= sizes // 4)[r]
+        b = (upper if more else own)[r].astype(np.uint64)
+        parts = np.uint64(FIRST_BAND // 2) << b
+        found = _split(r, v, b, parts)
+        yield found
+        few = (np.bincount(found[0], minlength=len(sizes)) <= sizes // 4)[r]
         if few.any():
-            found.append(_parts(r[few], v[few], b[few].astype(np.uint64) | np.uint64(128), parts[few] * np.uint64(FINER), sizes, last)[:2])
+            yield _split(r[few], v[few], b[few] | np.uint64(128), parts[few] * np.uint64(FINER))
+
+
+def part_keys(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest) of the parts each set joins on: of each layout, those that come first. late marks the cells whose parts come last."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for pr, key, bits in _layouts(rows, values, sizes):
+        order = np.lexsort((key, -bits, late[_cell(key)], pr))
+        pr, key = pr[order], key[order]
+        take = np.arange(len(pr)) - np.searchsorted(pr, pr) <= sizes[pr] // 4
+        found.append((pr[take], key[take]))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, cls, sketch) of every row."""
+    """(doc_id, text_key, n, cls, sketch) of every row, and cells that many parts of a task are in: n is minus their number, cls the cell."""
 
     def run(batches):
         import pyarrow as pa
 
         forget()
+        held = np.zeros(CELLS, np.int64)
+        names = ["doc_id", "text_key", "n", "cls", "sketch"]
         for batch in batches:
             sizes, classes, sketches = [], [], []
             for _, n, rows, values in shingle_sets(batch.column("text")):
                 size, cls = _classes(n, rows, values)
+                new = np.zeros(n, bool)
+                new[np.unique(cls, return_index=True)[1]] = True
+                for _, key, _ in _layouts(rows[new[rows]], values[new[rows]], np.where(new, size, 0)):
+                    np.add.at(held, _cell(key), 1)
                 bits = np.bincount(rows * SKETCH_BITS + (mix(values, 10) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
                 sizes.append(size)
                 classes.append(cls.view(np.int64))
@@ -153,8 +168,11 @@ def _sets(docs: DataFrame) -> DataFrame:
             words = np.concatenate(sketches).ravel() if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(sizes).astype(np.int64) if sizes else [], pa.int64()), pa.array(np.concatenate(classes) if classes else [], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(words))],
-                names=["doc_id", "text_key", "n", "cls", "sketch"],
+                names=names,
             )
+        full = np.flatnonzero(held >= CELL_LEAST + CELL_TIMES * held.mean())
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(-held[full]), pa.array(full), pa.nulls(len(full), pa.list_(pa.int64()))], names=names)
 
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     return keyed.mapInArrow(run, "doc_id long, text_key long, n long, cls long, sketch array<long>")
@@ -198,6 +216,8 @@ def _key_blobs(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
 
     def run(batches):
         forget()
+        late = np.zeros(CELLS, bool)
+        late[last] = True
         seen: dict[int, int] = {}
         keys, index, size = [], [], 0
         for batch in batches:
@@ -208,7 +228,7 @@ def _key_blobs(docs: DataFrame, ranges: int, last: np.ndarray) -> DataFrame:
                 for r, c in enumerate(cls.tolist()):
                     if c and c not in seen:
                         new[r], slot[r], seen[c] = True, len(seen), len(seen)
-                pr, key = part_keys(rows[new[rows]], values[new[rows]], np.where(new, sizes, 0), last)
+                pr, key = part_keys(rows[new[rows]], values[new[rows]], np.where(new, sizes, 0), late)
                 keys.append(key)
                 index.append(slot[pr])
                 size += len(pr)
@@ -322,7 +342,8 @@ def _verify(rows: DataFrame) -> DataFrame:
 
 
 def _hamming_ok():
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    word = lambda i: F.bit_count(F.get(F.col("sketch_a"), F.lit(i)).bitwiseXOR(F.get(F.col("sketch_b"), F.lit(i))))
+    apart = sum((word(i) for i in range(1, SKETCH_BITS // 64)), word(0))  # spelt out, so that it is compiled
     near_size = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
     return near_size & (9 * apart <= F.col("n_a") + F.col("n_b"))
 
@@ -341,11 +362,6 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
 
     info = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
-    def meeting(last: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """(pairs of classes that share a part, members of crowded parts)."""
-        met = checkpoint(by_spot(_key_blobs(docs, ranges, last), ranges).mapInArrow(in_ranges(_meet, _members, _thin), "kind int, a long, b long"))
-        return met.where("kind = 0").select("a", "b"), checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).distinct())
-
     def stars(crowded: DataFrame) -> DataFrame:
         """Pairs of each crowded part's members with its centre."""
         support = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("support"))
@@ -370,24 +386,17 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
         parts = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
         return checkpoint(labelled.join(parts, "part").select("part", "cls", "component"))
 
-    pairs, crowded = meeting(np.zeros(0, np.uint64))
-    pairs = checkpoint(pairs.unionByName(stars(crowded)).distinct())
-    edges = linked(near(pairs))
-    found = checkpoint(components(edges))
+    full = sets.where("n < 0").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") <= -CELL_LEAST * FEW).orderBy("n", "cls").limit(MOST_LAST)
+    last = np.array([r.cls for r in full.collect()], np.int64)
+    met = checkpoint(by_spot(_key_blobs(docs, ranges, last), ranges).mapInArrow(in_ranges(_meet, _members, _thin), "kind int, a long, b long"))
+    crowded = checkpoint(met.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("cls")).distinct())
+    found = checkpoint(components(linked(near(met.where("kind = 0").select("a", "b").unionByName(stars(crowded)).distinct()))))
     rest = still_open(crowded, found)
-    pairs_left = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
-    if pairs_left > PAIRS_A_CLASS * classes.count():  # what unlike documents share is put last, and all meet again
-        last = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "part").limit(MOST_LAST).collect()
-        more, crowded = meeting(np.array([r.part for r in last], np.int64).view(np.uint64) << np.uint64(1))
-        rest = still_open(crowded, found)
-        new = more.unionByName(stars(rest.select("part", "cls"))).distinct().join(pairs, ["a", "b"], "left_anti")
-        found = joined(found, linked(near(new)))
-        rest = still_open(rest.select("part", "cls"), found)
     if not rest.isEmpty():
         left = rest.select("part", F.col("cls").alias("a"), F.col("component").alias("c_a")).join(info("a"), "a")
         right = rest.select(F.col("part").alias("p_b"), F.col("cls").alias("b"), F.col("component").alias("c_b")).join(info("b"), "b")
         across = left.join(right, (F.col("part") == F.col("p_b")) & (F.col("c_a") < F.col("c_b")) & _hamming_ok())
         found = joined(found, linked(near(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     by_class = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
+    out = sets.where("n >= 0").select("doc_id", "text_key", "n", "cls").join(by_class, "cls", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
