@@ -12,16 +12,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): each node that has an edge, and the least node it can reach.
 
     edges: (u, v), any direction, repeats allowed. Every round links larger neighbours to the
-    least neighbour and then smaller ones, so long chains shrink by a power each round; sums per
-    node are aggregated before the shuffle, and nothing is gathered per node.
+    least neighbour and then smaller ones, so long chains shrink by a power each round, until every
+    node is linked to the least of its component and to no other; sums per node are aggregated before
+    the shuffle, and nothing is gathered per node.
     """
     pairs = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
     for _ in range(most_rounds):
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
-        seen = state
+        ends = pairs.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(pairs.select(F.col("v").alias("k"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("k").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where(F.col("below") + F.col("above") > 1).where("below > 0").isEmpty():  # every node has one above it, or is one itself
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.col("k")).alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan, substring_dedup, suffix_dedup
+from notewright.llm.components import components, joined
 from tests.llm import brute
 from tests.llm.test_queries import check_packing
 
@@ -393,3 +394,27 @@ def test_imatch_blocks_hold_as_many_rows(spark, monkeypatch):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
     want = {(i, t): order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order)}
     assert {(r.doc_id, r.text): r.next_text for r in found} == want
+
+
+def test_components_of_chains_and_chance_edges(spark):
+    """Against union by hand: a long chain, chance edges, loops and repeats; then further edges."""
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1100)] * 2
+    more = [(draw.randrange(1200), draw.randrange(300)) for _ in range(30)]
+
+    def by_hand(pairs):
+        least = {x: x for u, v in pairs if u != v for x in (u, v)}
+        changed = True
+        while changed:
+            changed = False
+            for u, v in pairs:
+                if u != v and least[u] != least[v]:
+                    least[u] = least[v] = min(least[u], least[v])
+                    changed = True
+        return sorted(least.items())
+
+    table = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    found = components(table(edges))
+    assert sorted(map(tuple, found.collect())) == by_hand(edges)
+    assert sorted(map(tuple, joined(found, table(more)).collect())) == by_hand(edges + more)
+    assert components(table([])).isEmpty()
