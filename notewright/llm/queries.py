@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, pu_quality, secret_scan, substring_dedup, suffix_dedup
+from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, perplexity, pu_quality, secret_scan, substring_dedup, suffix_dedup
 from notewright.llm.common import held_out, table
 
 
@@ -82,8 +82,14 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and perplexity bands over every document."""
+    found = perplexity.filter_quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_suffix_array_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_suffix_array_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join, op11_ngram_perplexity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,3 +102,55 @@ def secrets_row(doc_id, text):
     spans = base_spans(text)
     line = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
     return (doc_id, *[sum(1 for s in spans if s[1] == k) for k in range(3)], sha(line.encode()))
+
+
+def quality_rules(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(zip(words, words[1:], words[2:]))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    again = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), again, len(repeated), len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+
+
+class KneserNey:
+    """Modified Kneser-Ney over the symbols of sequences, by dictionaries, straight from its definition."""
+
+    def __init__(self, sequences, order, symbols=257):
+        self.order, self.uniform = order, 1 / symbols
+        self.counts = {n: Counter() for n in range(1, order + 1)}
+        for s in sequences:
+            padded = ["<"] * (order - 1) + [*s, ">"]
+            self.counts[order].update(tuple(padded[i : i + order]) for i in range(len(s) + 1))
+        for n in range(order - 1, 0, -1):
+            self.counts[n].update(g[1:] for g in self.counts[n + 1])
+        self.discount, self.contexts = {}, {}
+        for n, counts in self.counts.items():
+            c = Counter(counts.values())
+            ds = (0.5, 1.0, 1.5)
+            if all(c[i] for i in (1, 2, 3, 4)):
+                y = c[1] / (c[1] + 2 * c[2])
+                fitted = tuple(i - (i + 1) * y * c[i + 1] / c[i] for i in (1, 2, 3))
+                ds = fitted if all(0 < d < i for i, d in enumerate(fitted, 1)) else ds
+            self.discount[n] = ds
+            self.contexts[n] = defaultdict(list)
+            for g, x in counts.items():
+                self.contexts[n][g[:-1]].append(x)
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return self.uniform
+        seen = self.contexts[n].get(gram[:-1])
+        if seen is None:
+            return self.p(gram[1:])
+        ds, total = self.discount[n], sum(seen)
+        own = self.counts[n][gram]
+        return (own - (ds[min(own, 3) - 1] if own else 0)) / total + sum(ds[min(x, 3) - 1] for x in seen) / total * self.p(gram[1:])
+
+    def log_ppl(self, s):
+        from math import log
+
+        padded = ["<"] * (self.order - 1) + [*s, ">"]
+        return -sum(log(self.p(tuple(padded[i : i + self.order]))) for i in range(len(s) + 1)) / (len(s) + 1)

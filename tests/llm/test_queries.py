@@ -160,3 +160,14 @@ def test_jaccard_components(spark, texts):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in Q.op10_parity_sketch_join(spark, MEDIUM).collect()]
     want = brute.jaccard_components(texts[MEDIUM])
     assert len({r[2] for r in want}) < len(want) and sorted(got) == sorted(want)
+
+
+def test_ngram_perplexity(spark, texts):
+    rows = Q.op11_ngram_perplexity(spark, MEDIUM).collect()
+    want = {d: brute.quality_rules(t) for d, t in texts[MEDIUM]}
+    assert {r.doc_id: tuple(r)[1:7] for r in rows} == want and len(rows) == len(want)
+    assert all(r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high) for r in rows)
+    quality = dict(connect(MEDIUM).execute("SELECT doc_id, quality FROM labels").fetchall())
+    passed = [r for r in rows if not r.base_failed]
+    share = lambda q: np.mean([r.kept for r in passed if quality.get(r.doc_id) == q])
+    assert share(1) > 0.93 and share(0) < share(1)
