@@ -35,10 +35,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, place: str) -> None:
+    """Remove a table of the shared folder that no plan reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_table(df: DataFrame, name: str, place: str | None = None) -> DataFrame:
     """df as a table in the shared checkpoint folder, compressed and free of its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place or new_place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

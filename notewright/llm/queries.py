@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import balltree, imatch, language_id, mixing, packing, parity_join, perplexity, pu_quality, secret_scan, substring_dedup, suffix_dedup
+from notewright.llm import balltree, drake_kmeans, filter_audit, imatch, language_id, mixing, packing, parity_join, perplexity, pu_quality, secret_scan, substring_dedup, suffix_dedup
 from notewright.llm.common import held_out, table
 
 
@@ -88,9 +88,20 @@ def op11_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters keeps and removes, by language."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return filter_audit.audit(docs, filter_audit.corpus_filters(F.col("text")), F.col("lang"), {"good": labels.where("quality = 1"), "toxic": labels.where("toxic = 1")})
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in one of 40 clusters after five rounds."""
+    return drake_kmeans.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_suffix_array_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join, op11_ngram_perplexity)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_suffix_array_dedup, op4_mixture_packing, op5_source_mixing, op6_ball_tree_search, op7_pu_quality, op8_imatch, op9_secret_scan, op10_parity_sketch_join, op11_ngram_perplexity, op12_filter_audit, op13_drake_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.oracle(), "op6_ball_tree_search": balltree.oracle(), "op8_imatch": imatch.oracle()}
+    return {"op5_source_mixing": mixing.oracle(), "op6_ball_tree_search": balltree.oracle(), "op8_imatch": imatch.oracle(), "op12_filter_audit": filter_audit.oracle(), "op13_drake_clusters": drake_kmeans.oracle()}

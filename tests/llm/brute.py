@@ -154,3 +154,60 @@ class KneserNey:
 
         padded = ["<"] * (self.order - 1) + [*s, ">"]
         return -sum(log(self.p(tuple(padded[i : i + self.order]))) for i in range(len(s) + 1)) / (len(s) + 1)
+
+
+def filter_audit(docs, labels):
+    """Every order over every document; docs: (doc_id, text, lang), labels: (doc_id, quality, toxic). {(part, order, step): counts}"""
+    from itertools import permutations
+
+    good, toxic = ({d for d, *m in labels if d is not None and m[i] == 1} for i in (0, 1))
+    least: dict = {}
+    for d, t, _ in docs:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    parts = defaultdict(list)
+    for d, t, lang in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = "A" * (len(w) < 200) + "B" * (100 * len(set(w)) < 50 * len(w)) + "C" * (100 * sum("A" <= c <= "Z" for c in t) > 3 * len(t)) + "D" * any(c in t for c in "#$%&*|") + "E" * (d is not None and d > least[t])
+        parts[lang or ""].append((fails, d in good, d in toxic))
+    out = {}
+    for part, rows in parts.items():
+        removed_by = Counter()
+        for order in map("".join, permutations("ABCDE")):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
+                removed_by[f] += len(gone)
+                out[part, order, step] = [len(left), len(gone), sum(f in r[0] for r in rows) - len(gone), sum(r[0] == f for r in rows), sum(r[1] for r in gone), sum(r[2] for r in gone)]
+        for (p, order, step), v in out.items():
+            if p == part:
+                v.append(removed_by[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def clusters(vectors, k=40, rounds=5, dimensions=64):
+    """Counter of (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of [(vec_id, vector)]."""
+    from math import floor, isfinite
+
+    most = (1 << 63) - 1
+    kept = [(i, v) for i, v in vectors if v is not None and len(v) == dimensions and all(x is not None and isfinite(x) for x in v)]
+    ints = [[floor(256 * x) if abs(x) < 1e300 else int(x) * 256 for x in v] for _, v in kept]
+    named = sorted((sha(f"2:{i}".encode()), v) for (i, _), v in zip(kept, ints, strict=True) if i is not None)
+    centroids = [v for _, v in named[:k]]
+
+    def nearest(x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for x in ints:
+            groups[nearest(x)[1]].append(x)
+        centroids = [[sum(c) // len(groups[j]) for c in zip(*groups[j], strict=True)] if j in groups else row for j, row in enumerate(centroids)]
+    found = [nearest(x) for x in ints]
+    inertia = Counter()
+    for d, j in found:
+        inertia[j] += d
+    names = [sha(",".join(map(str, c)).encode()) for c in centroids]
+    return Counter((i, j, min(d, most), min(inertia[j], most), min(sum(inertia.values()), most), names[j]) for (i, _), (d, j) in zip(kept, found, strict=True))

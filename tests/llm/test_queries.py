@@ -22,7 +22,7 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-@pytest.mark.parametrize("name", ["op5_source_mixing", "op6_ball_tree_search", "op8_imatch"])
+@pytest.mark.parametrize("name", ["op5_source_mixing", "op6_ball_tree_search", "op8_imatch", "op12_filter_audit", "op13_drake_clusters"])
 def test_native_and_search_equal_sql(spark, name):
     assert assert_same(Q.queries()[name](spark, MEDIUM), Q.oracle_sql()[name], MEDIUM) > 0
 
