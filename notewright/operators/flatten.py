@@ -1,65 +1,132 @@
 """Flat tables from JSON arrays of resources: codes, references, and a manifest of notes.
 
-Text is parsed once to a variant and fields are read natively. What a text is - an array, other
-JSON, or none - is settled by jsontext.json_kind, as are texts that a strict reader would refuse.
-Values keep the form they have in the text; objects and lists become JSON text. Notes whose array
-is empty or whose values have mixed types stay.
+parsed() reads each text once, to one variant an element, and writes that; status, codes and
+references all start from there. The strict native reader takes almost every text; those that it
+refuses are told apart by jsontext.json_kind, which alone runs in Python and only on them. Values
+keep the form they have in the text; objects and lists become JSON text. Notes whose array is
+empty or whose values have mixed types stay.
+
+Each of codes(), refs() and manifest() takes (df, key, payload), or what parsed() gave and no payload.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.ids import split_ref
-from notewright.functions.jsontext import json_kind, reference_edges
+from notewright.functions.jsontext import json_kind, strict_json
 from notewright.schemas import CODE_PATHS, CODES
+from notewright.sources.shared import written
+
+#: Levels that a walk takes in its first pass over resources; each further pass takes twice as many, up to the second.
+FIRST_LEVELS, MOST_LEVELS = 6, 48
+
+
+def parsed(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, note_status, items), written once: ok, ok_empty, skipped (no payload) or error (not an array); items are the elements of an ok one."""
+    text = F.col(payload)
+    some = text.isNotNull() & (text != "")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    first = df.select(F.col(key), some.alias("_some"), F.when(some, strict_json(text)).alias("_doc"), text.alias("_text"))
+    first = first.select(key, "_some", items(F.col("_doc")).alias("_items"), F.when(F.col("_some") & F.col("_doc").isNull(), F.col("_text")).alias("_refused"))
+    notes = written(first, "parsed")
+    refused = F.col("_refused").isNotNull()
+    status = F.when(~F.coalesce("_some", F.lit(False)), "skipped").when(F.col("_items").isNull() & ~F.col("_array"), "error").when(F.size("_items") == 0, "ok_empty").otherwise("ok")
+    told = lambda rows: rows.select(key, status.alias("note_status"), "_items").select(key, "note_status", F.when(F.col("note_status") == "ok", F.col("_items")).alias("items"))
+    plain = told(notes.where(~refused).withColumn("_array", F.lit(False)))
+    if notes.where(refused).isEmpty():
+        return plain
+    kinds = notes.where(refused).withColumn("_kind", json_kind("_refused")).withColumn("_array", F.col("_kind.kind") == "array")
+    read = items(F.try_parse_json(F.coalesce("_kind.rewritten", F.when(F.col("_array"), F.col("_refused")))))
+    return plain.unionByName(told(written(kinds.select(key, "_some", read.alias("_items"), "_array"), "refused")))
 
 
-def note_status(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, payload, note_status): ok, ok_empty, skipped (no payload) or error (not an array)."""
-    some = F.col(payload).isNotNull() & (F.col(payload) != "")
-    parsed = df.select(F.col(key), F.col(payload), json_kind(F.when(some, F.col(payload))).alias("_kind"), some.alias("_some"))
-    text = F.coalesce("_kind.rewritten", F.when(F.col("_kind.kind") == "array", F.col(payload)))
-    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    status = F.when(~F.coalesce("_some", F.lit(False)), "skipped").when(F.col("_kind.kind") != "array", "error").when(F.size(items) == 0, "ok_empty").otherwise("ok")
-    return parsed.select(key, F.col(payload), status.alias("note_status"), F.when(status == "ok", items).alias("_items"))
+def _notes(df: DataFrame, key: str, payload: str | None) -> DataFrame:
+    return df if payload is None else parsed(df, key, payload)
 
 
-def manifest(df: DataFrame, key: str, payload: str) -> DataFrame:
+def manifest(df: DataFrame, key: str, payload: str | None = None) -> DataFrame:
     """(key, note_status): what became of each note."""
-    return note_status(df, key, payload).select(key, "note_status")
+    return _notes(df, key, payload).select(key, "note_status")
+
+
+def _is_text(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _value_string(resource: Column) -> Column:
     """valueString if it is a string, or its text if that is one."""
     plain = F.try_variant_get(resource, "$.valueString", "variant")
     inner = F.try_variant_get(resource, "$.valueString.text", "variant")
-    is_text = lambda v: F.schema_of_variant(v) == "STRING"
-    return F.when(is_text(plain), F.try_variant_get(resource, "$.valueString", "string")).when(is_text(inner), F.try_variant_get(resource, "$.valueString.text", "string"))
+    return F.when(_is_text(plain), F.try_variant_get(resource, "$.valueString", "string")).when(_is_text(inner), F.try_variant_get(resource, "$.valueString.text", "string"))
+
 
+def _resources(df: DataFrame, key: str, payload: str | None) -> DataFrame:
+    """(key, resource_index, _r): the objects among the elements of ok notes; the index counts all elements, from 0."""
+    each = _notes(df, key, payload).where("note_status = 'ok'").select(key, F.posexplode("items").alias("resource_index", "_r"))
+    return each.where(_is_object(F.col("_r"))).withColumn("resource_index", F.col("resource_index").cast("bigint"))
 
-def codes(df: DataFrame, key: str, payload: str, both_schedules: bool = False) -> DataFrame:
-    """key and the flat columns of every resource of an array; resource_index counts all elements, from 0.
+
+def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: bool = False) -> DataFrame:
+    """key and the flat columns of every resource of an array.
 
     both_schedules also reads schedule_info as the extraction contract spells it.
     """
-    each = note_status(df, key, payload).where("note_status = 'ok'").select(key, F.posexplode("_items").alias("resource_index", "_r"))
-    objects = each.where(F.schema_of_variant("_r").startswith("OBJECT"))
+    objects = _resources(df, key, payload)
     field = {name: F.try_variant_get(F.col("_r"), path, "string") for name, path in CODE_PATHS.items()}
-    field |= {"resource_index": F.col("resource_index").cast("bigint"), "valueString": _value_string(F.col("_r"))}
+    field |= {"resource_index": F.col("resource_index"), "valueString": _value_string(F.col("_r"))}
     if both_schedules:
         field["schedule_info"] = F.coalesce(field["schedule_info"], F.try_variant_get(F.col("_r"), "$.schedule_info", "string"))
     return objects.select(key, *[field[c].alias(c) for c in CODES])
 
 
-def refs(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """key and an edge for every object that holds a reference and nothing else, at any depth."""
-    some = df.where(F.col(payload).isNotNull() & (F.col(payload) != ""))
-    edges = some.select(key, F.explode(reference_edges(F.col(payload))).alias("e")).select(key, "e.*")
+_OWNER = ["note_key", "src_resource_index", "src_resourceType", "src_id"]
+
+
+def _met(nodes: DataFrame, path: Column, value: Column) -> DataFrame:
+    """Nodes at path: those that hold a reference and nothing else are done and keep no value."""
+    target = F.try_variant_get(value, "$.reference", "variant")
+    sole = F.when(_is_text(target), F.size(F.try_variant_get(value, "$", "map<string,variant>")) == 1)
+    found = nodes.select(*_OWNER, path.alias("path"), value.alias("node"), F.when(sole, F.try_variant_get(value, "$.reference", "string")).alias("found"), "target_ref")
+    return found.select(*_OWNER, "path", F.when(F.col("found").isNull(), F.col("node")).alias("node"), F.coalesce("target_ref", "found").alias("target_ref"))
+
+
+def _deeper(nodes: DataFrame) -> DataFrame:
+    """The members and elements of all nodes; an edge stays as it is, and a scalar ends."""
+    below = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("node").outer())).where("value IS NOT NULL OR target_ref IS NOT NULL")
+    step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.lit(""))
+    return _met(below, F.concat("path", step), F.col("value"))
+
+
+def refs(df: DataFrame, key: str, payload: str | None = None) -> DataFrame:
+    """key and an edge for every object that holds a reference and nothing else, at any depth.
+
+    A pass walks several levels in one stage and writes the edges it met and the nodes it has not
+    opened yet; while there are any, another pass goes on from those.
+    """
+    text = lambda name: F.try_variant_get(F.col("_r"), f"$.{name}", "string")
+    roots = _resources(df, key, payload).select(F.col(key).alias("note_key"), F.col("resource_index").alias("src_resource_index"), text("resourceType").alias("src_resourceType"), text("id").alias("src_id"), "_r", F.lit(None).cast("string").alias("target_ref"))
+    nodes = _met(roots, F.lit("$"), F.col("_r"))
+    levels, passes = FIRST_LEVELS, []
+    while True:
+        for _ in range(levels):
+            nodes = _deeper(nodes)
+        walked = written(nodes.where("node IS NOT NULL OR target_ref IS NOT NULL"), "edges")
+        passes.append(walked.where("target_ref IS NOT NULL"))
+        nodes, levels = walked.where("node IS NOT NULL"), min(2 * levels, MOST_LEVELS)
+        if nodes.isEmpty():
+            break
+    edges = reduce(DataFrame.unionByName, passes)
     target = split_ref(F.col("target_ref"))
     relation = F.when(F.contains("path", F.lit(".evidence")), F.lit("evidence"))
-    return edges.select(key, "src_resource_index", "src_resourceType", "src_id", "path", relation.alias("relation"), "target_ref", target["type"].alias("target_type"), target["id"].alias("target_id"))
+    return edges.select(F.col("note_key").alias(key), *_OWNER[1:], "path", relation.alias("relation"), "target_ref", target["type"].alias("target_type"), target["id"].alias("target_id"))
 
 
 def resolved_refs(edges: DataFrame, resources: DataFrame, key: str) -> DataFrame:

@@ -48,8 +48,8 @@ def capture_refs(spark, sf_dir):
 
 def resolve_refs(spark, sf_dir):
     """References with the resource that they name."""
-    source = notes(spark, sf_dir)
-    found = flatten.resolved_refs(flatten.refs(source, "l_orderkey", "payload"), flatten.codes(source, "l_orderkey", "payload"), "l_orderkey")
+    source = flatten.parsed(notes(spark, sf_dir), "l_orderkey", "payload")
+    found = flatten.resolved_refs(flatten.refs(source, "l_orderkey"), flatten.codes(source, "l_orderkey"), "l_orderkey")
     return found.select("l_orderkey", "src_resource_index", "target_id", "target_index", "target_description")
 
 
@@ -74,8 +74,9 @@ def _numbered(spark, sf_dir):
 def remap_ids(spark, sf_dir):
     """Ids and references of every resource once its row is renumbered."""
     clean, _ = remap.remap_ids(_numbered(spark, sf_dir), "payload")
-    resources = flatten.codes(clean, "l_orderkey", "payload").select("l_orderkey", "resource_index", "id", "description")
-    edges = flatten.refs(clean, "l_orderkey", "payload").select("l_orderkey", F.col("src_resource_index").alias("resource_index"), "target_ref")
+    source = flatten.parsed(clean, "l_orderkey", "payload")
+    resources = flatten.codes(source, "l_orderkey").select("l_orderkey", "resource_index", "id", "description")
+    edges = flatten.refs(source, "l_orderkey").select("l_orderkey", F.col("src_resource_index").alias("resource_index"), "target_ref")
     return resources.join(edges, ["l_orderkey", "resource_index"])
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_FOLDER = "/tmp/notewright"
+from notewright.sources.shared import place
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,5 +14,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return place(spark, name)

@@ -100,7 +100,6 @@ def test_merge():
 def test_remap():
     chain = json.dumps([{"id": "r2_0"}, {"id": "r1_0"}, {"a": {"reference": "Lab/r2_0"}}])
     assert json.loads(jsontext.remap(chain)[0])[2]["a"]["reference"] == "Lab/r1_0"
-    assert json.loads(jsontext.remap(chain, chained=True)[0])[2]["a"]["reference"] == "Lab/r0_0"
     assert jsontext.remap("oops")[1].startswith("JSON parse error: ")
     assert jsontext.remap("{}")[1] == "top-level value is not a JSON array"
     assert jsontext.remap('[{"id":"x1"}]')[1] == "invalid id(s): ['x1']"
@@ -130,3 +129,31 @@ def test_paths(spark):
     assert column(spark, ["file:/a/b/c.tar.gz", "x"], "string", text.stem) == ["c.tar", "x"]
     assert column(spark, ["file:/a/b/c.CSV"], "string", text.extension) == [".csv"]
     assert column(spark, ["file:/a/b/c.csv"], "string", text.parent_name) == ["b"]
+
+
+ODD_RESOURCES = [
+    "[]", "{}", "7", "null", "oops", "", "[1] x", "[{}], {}", "[{}]}", '[{"id": "r1_0"}] ', "[NaN]", '[{"id": "r1_0", "id": "r2_0"}]', '[{"id":null}]', '[{"id":5}]', '[{"id":"it\'s"}]', '[{"id":"r٣_1"}]',
+    '[{"id":"r007_1"},{"a":{"id":"r7_1","reference":"x/r007_1"}}]', '[{"id": "r3_0", "a": {"reference": "r3_0"}, "b": {"reference": "Lab/x/r3_0"}, "c": {"id": "r3_0"}}]',
+    '[{"id" :\n"r4_2","text":"say \\"id\\": \\"r4_2\\" or \\\\","reference":["Lab/r4_2"]},{"id":"r9_0","k\\"id":"r4_2","reference":"Lab/r4_2"}]',
+    '[{"\\u0069d":"r5_0"},{"id":"r6_0"}]', '[{"id":"r5\\u005f0"}]', '[{"id":"r6_0","reference":"a\\/r6_0"}]', '[{"id":"r1_1"},["r1_1",{"id":"r1_1"}],{"id":"r12_1"}]', '[{"id":"r99999999999999999999_0"}]', '[{"id":"Größe"}]', '[{"id":"x1"},{"id":"r1_1"},{"id":"y"}]', '[{"a":""},{"id":"r2_2"}]',
+]
+
+
+def test_native_renumbering_equals_python(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD_RESOURCES, None])], "i int, t string")
+    got = {r.i: r.x for r in rows.select("i", jsontext.renumbered(F.col("t")).alias("x")).collect()}
+    value = lambda t: json.loads(t) if t is not None and t.strip() else t
+    for i, t in enumerate([*ODD_RESOURCES, None]):
+        text, reason = jsontext.remap(t)
+        if got[i] is not None:
+            assert got[i].reason == reason, t
+            assert (got[i].text == t) if text == t else (value(got[i].text) == value(text)), t
+    left = {t for i, t in enumerate([*ODD_RESOURCES, None]) if got[i] is None}
+    assert left == {"oops", "", "[1] x", "[{}], {}", "[{}]}", "[NaN]", *[t for t in ODD_RESOURCES if "\\u" in t or "\\/" in t or "" in t or "null}" in t or ":5}" in t or "it's" in t or "٣" in t or '"id": "r2_0"' in t or "99999" in t or "Größe" in t]}
+
+
+def test_strict_json_takes_whole_texts_alone(spark):
+    texts = ["[1]", " [1] ", "[1] x", "[1],2", '[1],"z":0} x', "[1]]", "{}}", "", "nul", "'a'", '""', '{"a":1,"a":2}', "[NaN]", '"\\ue000"', "1e5", "[1]//x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i for r in rows.where(jsontext.strict_json(F.col("t")).isNotNull()).collect()}
+    assert [texts[i] for i in sorted(got)] == ["[1]", " [1] ", "1e5"]

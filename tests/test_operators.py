@@ -288,3 +288,17 @@ def test_empty_tables(spark):
     assert notes.select(json_valid(F.col("payload"))).isEmpty()
     assert prepare.dedupe_keep_first(notes, "payload", ["note"]).isEmpty()
     assert prepare.group_split(notes, "note").isEmpty()
+
+
+def test_texts_for_python_alone_reach_it(spark):
+    """Rows that the strict reader refuses are parsed, renumbered and told apart like the others, and plans of plain notes hold no Python."""
+    texts = ['[{"id": "r2_0", "v": NaN, "e": [{"reference": "A/r2_0"}]}]', '[{"id": "r1_0", "id": "r3_0"}]', "[{}] x", '[{"id": "r4_0", "e": [{"reference": "A/r4_0"}]}]', '[{"\\u0069d": "r5_0"}]', None]
+    notes = frame(spark, list(enumerate(texts)), "k int, payload string")
+    assert {r.k: r.note_status for r in flatten.manifest(notes, "k", "payload").collect()} == {0: "ok", 1: "ok", 2: "error", 3: "ok", 4: "ok", 5: "skipped"}
+    assert {r.k: r.id for r in flatten.codes(notes, "k", "payload").collect()} == {0: "r2_0", 1: "r3_0", 3: "r4_0", 4: "r5_0"}
+    assert {(r.k, r.target_id) for r in flatten.refs(notes, "k", "payload").collect()} == {(0, "r2_0"), (3, "r4_0")}
+    clean, invalid = remap.remap_ids(notes, "payload")
+    assert {r.k: json.loads(r.payload)[0]["id"] for r in clean.collect()} == {0: "r0_0", 1: "r0_0", 3: "r0_0", 4: "r0_0"} and {r.k for r in invalid.collect()} == {2, 5}
+    plain = notes.where("k = 3")
+    for df in (flatten.codes(plain, "k", "payload"), flatten.refs(plain, "k", "payload"), remap.remap_ids(plain, "payload")[0]):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1
