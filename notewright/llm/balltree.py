@@ -14,8 +14,8 @@ Defined results: vectors that are null, empty, or hold a null or non-finite comp
 part, neither as queries nor as candidates; the same goes for a null id; vectors of another
 length than the query's are not its candidates; ties go to the smaller id; repeated rows count
 as rows; with fewer than k candidates all are returned; an empty table gives an empty one. Scores
-are exact whatever the size of the components; one that a long can't hold is shown as the nearest
-that it can.
+are exact whatever the size of the components, between shards too: they travel as bytes that sort
+like the integers; one that a long can't hold is shown as the nearest that it can, at the very end.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +36,7 @@ SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8_192, 8_192, 128
 SAMPLE_ROWS, MOST_CELLS = 32_768, 1_024
 #: Shards a query searches in the first rounds; the last round takes all others that its kth score leaves.
 ROUNDS = (1, 4)
-RESULT = "query_id long, query_row long, vec_id long, score long"
+RESULT = "query_id long, query_row long, vec_id long, exact binary"
 LONG = 2**63 - 1
 
 
@@ -107,6 +108,8 @@ class Shard:
         tree, scale = self.tree, _scale(query)
         exact = float(np.abs(query).max()) * self.scale * (1.0 if self.scale > 1 else float(np.abs(self.vectors).max())) * len(query) >= 2**53
         whole = np.array(list(map(_whole, query.tolist())), object) if exact else query
+        if floor is not None and not exact:  # scores here are below 2**53, whatever other shards hold
+            floor = max(-(1 << 1000), min(1 << 1000, floor))
         unit = scale * self.scale
         near = query / scale
         norm = float(np.sqrt(near @ near))
@@ -160,6 +163,18 @@ def _whole(x: float) -> int:
     return int(x)
 
 
+def ordered_bytes(n: int) -> bytes:
+    """An integer of any size as bytes that sort like it."""
+    size = (abs(n).bit_length() + 7) // 8
+    raw = abs(n).to_bytes(size)
+    return b"\x01" + size.to_bytes(2) + raw if n >= 0 else b"\x00" + (0xFFFF - size).to_bytes(2) + bytes(255 - b for b in raw)
+
+
+def from_ordered(key: bytes) -> int:
+    """The integer of ordered_bytes."""
+    return int.from_bytes(key[3:]) if key[0] else -int.from_bytes(bytes(255 - b for b in key[3:]))
+
+
 def _exact(vectors: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in vectors.tolist()], object)
 
@@ -212,14 +227,14 @@ def _searcher(k: int):
     def run(key: tuple, left, right):
         import pyarrow as pa
 
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, bytes]] = []
         if left.num_rows and right.num_rows:
             queries = quantised(left.column("q"))
             shard = Shard(quantised(right.column("v")), right.column("vec_id").to_numpy(), right.column("row_id").to_numpy())
             for i, (query_id, row, floor) in enumerate(zip(*[left.column(c).to_pylist() for c in ("query_id", "query_row", "floor")], strict=True)):
-                out += [(query_id, row, -negative, max(-LONG - 1, min(LONG, score))) for score, negative in shard.search(queries[i], row, k, floor)]
+                out += [(query_id, row, -negative, ordered_bytes(int(score))) for score, negative in shard.search(queries[i], row, k, None if floor is None else from_ordered(floor))]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
+        return pa.table([pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.binary())], names=["query_id", "query_row", "vec_id", "exact"])
 
     return run
 
@@ -262,35 +277,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     rest = shard_of.where("c_cell < 0").select(F.col("c_dim").alias("dim"), "parts")  # lengths without cells: one bound-less cell each
     asked = placed.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("row_id").alias("query_row"), F.col("v").alias("q"), "dim")
 
-    def targets(batches):
-        """(query..., nth, cell, part): the shards a query may need, those of the largest bound first."""
-        import pyarrow as pa
-
-        balls = {d: (base, np.array([t.centres[i] for i in t.leaves])) for d, (base, t) in cut.trees.items()}
-        for batch in batches:
-            dims, floors = batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            row, nth, cell, part = [], [], [], []
-            for i, d in enumerate(dims.tolist()):
-                if d not in balls:
-                    continue
-                base, centre = balls[d]
-                q = quantised(batch.column(2).slice(i, 1))[0]
-                own = [known.get((d, base + j)) for j in range(len(centre))]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    norm = float(np.sqrt(q @ q))
-                    far = np.array([r[0] if r else 0.0 for r in own])
-                    bound = centre @ q + norm * far
-                    bound = np.nan_to_num(bound + 1e-9 * norm * (np.sqrt((centre**2).sum(axis=1)) + far), nan=np.inf)
-                order = [j for j in np.argsort(-bound, kind="stable").tolist() if own[j] and (floors[i] is None or bound[j] >= floors[i])]
-                shards = [(base + j, p) for j in order for p in range(own[j][1])]
-                row += [i] * len(shards)
-                nth += range(len(shards))
-                cell += [c for c, _ in shards]
-                part += [p for _, p in shards]
-            taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[taken.column(j) for j in range(5)], pa.array(nth, pa.int32()), pa.array(cell, pa.int64()), pa.array(part, pa.int32())], names=["query_id", "query_row", "q", "dim", "floor", "nth", "cell", "part"])
-
-    TARGETS = "query_id long, query_row long, q array<double>, dim int, floor long, nth int, cell long, part int"
+    def targets(done: int, stop: int | None):
+        """For mapInArrow: (query..., cell, part) of the shards a query may need, those of the largest bound first, from the done-th to before the stop-th."""
+        balls = {}
+        for d, (base, t) in cut.trees.items():
+            own = [known.get((d, base + j), (0.0, 0)) for j in range(len(t.leaves))]
+            centre = np.array([t.centres[i] for i in t.leaves])
+            balls[d] = base, centre, np.sqrt((centre**2).sum(axis=1)), np.array([r for r, _ in own]), [n for _, n in own]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                dims, floors = batch.column(3).to_numpy(), [None if f is None else from_ordered(f) for f in batch.column(4).to_pylist()]
+                row, cell, part = [], [], []
+                for i, d in enumerate(dims.tolist()):
+                    if d not in balls:
+                        continue
+                    base, centre, norms, far, parts = balls[d]
+                    q = quantised(batch.column(2).slice(i, 1))[0]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        norm = float(np.sqrt(q @ q))
+                        bound = centre @ q + norm * far
+                        bound = np.nan_to_num(bound + 1e-9 * norm * (norms + far), nan=np.inf).tolist()
+                    order = (j for j in np.argsort(-np.array(bound), kind="stable").tolist() if floors[i] is None or bound[j] >= floors[i])
+                    for c, p in islice(((base + j, p) for j in order for p in range(parts[j])), done, stop):
+                        row.append(i)
+                        cell.append(c)
+                        part.append(p)
+                taken = batch.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[taken.column(j) for j in range(5)], pa.array(cell, pa.int64()), pa.array(part, pa.int32())], names=["query_id", "query_row", "q", "dim", "floor", "cell", "part"])
+
+        return run
+
+    TARGETS = "query_id long, query_row long, q array<double>, dim int, floor binary, cell long, part int"
     keys = ["dim", "cell", "part"]
 
     def search(pairs: DataFrame) -> DataFrame:
@@ -300,22 +320,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         spread = points.join(blocks.select(*[F.col(c).alias(f"p_{c}") for c in keys], F.col("blocks").alias("p_blocks")), [f"p_{c}" for c in keys]).withColumn("p_block", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).drop("p_blocks")
         return left.groupBy(*keys, "block").cogroup(spread.groupBy(*[f"p_{c}" for c in keys], "p_block")).applyInArrow(_searcher(k), RESULT)
 
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.col("exact").desc(), "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    nothing = F.lit(None).cast("long")
+    nothing = F.lit(None).cast("binary")
     found = search(asked.join(F.broadcast(rest) if len(known) < MOST_CELLS else rest, "dim").withColumn("floor", nothing).withColumn("cell", F.lit(-1).cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     if cut.trees:
         done, floors = 0, None
         for many in (*ROUNDS, None):
             state = asked.join(floors, "query_row", "left") if floors is not None else asked.withColumn("floor", nothing)
-            # bounds don't change, so the shards searched so far are the first ones of the order without a floor
-            wanted = state.select("query_id", "query_row", "q", "dim", "floor").mapInArrow(targets, TARGETS).where(F.col("nth") >= done)
-            if many is not None:
-                wanted = wanted.where(F.col("nth") < done + many)
-                done += many
-            found = checkpoint(top(found.unionByName(search(wanted))).select("query_id", "query_row", "vec_id", "score"))
-            floors = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    return top(found).select("query_id", "rank", "vec_id", "score")
+            # bounds don't change and floors only cut the order's end, so the shards searched so far are the first ones of it
+            stop = None if many is None else done + many
+            wanted = state.select("query_id", "query_row", "q", "dim", "floor").mapInArrow(targets(done, stop), TARGETS)
+            done = stop
+            found = checkpoint(top(found.unionByName(search(wanted))).select("query_id", "query_row", "vec_id", "exact"))
+            floors = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("exact")).alias("floor"))
+
+    def shown(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            score = [max(-LONG - 1, min(LONG, from_ordered(x))) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+
+    return top(found).select("query_id", "rank", "vec_id", "exact").mapInArrow(shown, "query_id long, rank int, vec_id long, score long")
 
 
 def oracle(k: int = 5) -> str:

@@ -376,9 +376,35 @@ def test_ball_tree_is_exact(spark, size):
     for r in balltree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block_queries=5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     for q, scores, ids in want:
-        assert [s for s, _ in got[q]] == scores
-        if max(map(abs, scores)) < longest:
-            assert [i for _, i in got[q]] == ids
+        assert got[q] == list(zip(scores, ids, strict=True))
+
+
+@pytest.mark.parametrize("shard_rows", [3, 5, 100])
+def test_ball_tree_ranks_beyond_a_long(spark, shard_rows):
+    rows = [(0, [1e9, 1e9])] + [(i, [1e9 + i * 1e6, 1e9]) for i in range(1, 13)] + [(100 + i, [-1e9 - i * 1e6, -1e9]) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in balltree.top_k(df, F.col("vec_id") == 0, shard_rows=shard_rows).orderBy("rank").collect()]
+    assert got == [12, 11, 10, 9, 8]
+
+
+@pytest.mark.parametrize("largest", [1e6, 1e30, 1e200])
+def test_ball_tree_of_mixed_sizes(spark, largest):
+    """Small and outsize vectors in one table: floors from one shard meet scores of another scale."""
+    import math
+
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) * r.choice([1, 1, 1, largest]) for _ in range(4)]) for i in range(150)]
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    want = [(q, k + 1, i) for q in range(0, 150, 50) for k, (_, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = balltree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=6, block_queries=2).select("query_id", "rank", "vec_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_scores_as_bytes_sort_like_them():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**2000, -(2**2000), 2**2000 + 1]
+    assert [balltree.from_ordered(balltree.ordered_bytes(n)) for n in numbers] == numbers
+    assert sorted(numbers) == sorted(numbers, key=balltree.ordered_bytes)
 
 
 def test_imatch_blocks_hold_as_many_rows(spark, monkeypatch):
