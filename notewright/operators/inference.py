@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import asyncio
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
@@ -22,6 +23,7 @@ from notewright.functions import budgets
 from notewright.functions.jsontext import json_valid
 from notewright.operators.prepare import with_defaults
 from notewright.schemas import inference_state
+from notewright.sources.shared import written
 
 #: Attempts of one request over different servers, and requests in flight a task.
 ATTEMPTS, IN_FLIGHT = 3, 32
@@ -100,6 +102,74 @@ def infer(df: DataFrame, connect: Callable[[], ModelClient], servers: Sequence[s
     return df.mapInArrow(run, schema)
 
 
+def infer_in_rounds(
+    df: DataFrame, connect: Callable[[], ModelClient], servers: Sequence[str], key: str, prompt: str, budget: str, out: str, attempts: int = ATTEMPTS, in_flight: int = IN_FLIGHT, most_in_flight: int = 256
+) -> DataFrame:
+    """infer() with the health of servers known to all tasks and a cap on requests in flight over the whole cluster.
+
+    A round puts every open row to one living server, chosen by its key; a server that can't be
+    reached is asked no more by its task, and by none in later rounds. Rows that were not answered go
+    on to the next round, at most `attempts` of them. Each round is written before the next one
+    starts, so a lost executor repeats only requests of its own tasks. As many tasks run at once as
+    share out most_in_flight, whatever the cluster. Adds <out>, <out>_status, <out>_error and <out>_attempts.
+    """
+    added = T._parse_datatype_string(f"`{out}` string, `{out}_status` string, `{out}_error` string, `{out}_attempts` int")
+    kept = [f for f in df.schema.fields if f.name not in added.names]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *added.fields, T.StructField("_server", T.StringType()), T.StructField("_down", T.BooleanType())])
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        client, dead = connect(), set()
+
+        async def one(gate, text, tokens, server):
+            """(output, error, whether it was asked, whether the server is down)"""
+            if text is None:
+                return None, "no prompt", 0, False
+            async with gate:
+                if server in dead:
+                    return None, server, 0, True
+                try:
+                    return await client.complete(server, text, int(tokens)), None, 1, False
+                except ConnectionError as problem:
+                    dead.add(server)
+                    return None, f"all attempts failed: {problem}", 1, True
+                except Exception as problem:  # noqa: BLE001  whatever a client raises becomes the row's error
+                    return None, str(problem) or type(problem).__name__, 1, False
+
+        async def all_of(*columns):
+            gate = asyncio.Semaphore(in_flight)
+            return await asyncio.gather(*[one(gate, *row) for row in zip(*columns, strict=True)])
+
+        for batch in batches:
+            column = lambda n, b=batch: b.column(b.schema.get_field_index(n))
+            done = asyncio.run(all_of(*[column(n).to_pylist() for n in (prompt, budget, "_server")]))
+            asked = [a + d[2] for a, d in zip(column(f"{out}_attempts").to_pylist(), done, strict=True)]
+            new = [pa.array([d[0] for d in done], pa.string()), pa.array(["success" if d[1] is None else "error" for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array(asked, pa.int32())]
+            yield pa.RecordBatch.from_arrays([column(n) for n in names] + new + [column("_server"), pa.array([d[3] for d in done], pa.bool_())], names=schema.names)
+
+    open_, settled, dead = df.select(*names, F.lit(0).alias(f"{out}_attempts")), [], set()
+    for n in range(attempts):
+        alive = [s for s in servers if s not in dead]
+        if not alive:
+            break
+        server = F.element_at(F.array(*map(F.lit, alive)), (F.pmod(F.xxhash64(key, F.lit(n)), F.lit(len(alive))) + 1).cast("int"))
+        asked = written(open_.coalesce(max(1, most_in_flight // in_flight)).withColumn("_server", server).mapInArrow(ask, schema), "asked")
+        settled.append(asked.where("NOT _down"))
+        down = asked.where("_down")
+        dead |= {r[0] for r in down.select("_server").distinct().collect()}  # servers are few
+        open_ = down.select(*names, f"{out}_attempts")
+        if not dead or open_.isEmpty():
+            open_ = None
+            break
+    columns = [*names, *added.names]
+    if open_ is not None:
+        failed = F.lit("all servers are unreachable" if len(dead) == len(set(servers)) else "all attempts failed")
+        settled.append(open_.select(*names, F.lit(None).cast("string").alias(out), F.lit("error").alias(f"{out}_status"), failed.alias(f"{out}_error"), f"{out}_attempts"))
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in settled])
+
+
 def check_key(df: DataFrame, key: str) -> None:
     """Raises ValueError if key is null or repeated in df: results could not be told apart."""
     bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).head(1)

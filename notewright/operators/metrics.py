@@ -69,6 +69,16 @@ def merged(gold: DataFrame, pred: DataFrame, present: DataFrame) -> DataFrame:
     A mention that nothing matches stays, alone; repeated mentions multiply, which is the join's
     meaning, so its size follows the mentions of an entity within one note.
     """
-    here = gold.join(present.select("ROW_ID").distinct(), "ROW_ID", "left_semi").withColumnsRenamed({"value": "values_gold", "entity": "entity_text"})
+    return matched(with_prediction(gold, present), pred)
+
+
+def with_prediction(gold: DataFrame, present: DataFrame) -> DataFrame:
+    """Gold mentions of notes that have a prediction."""
+    return gold.join(present.select("ROW_ID").distinct(), "ROW_ID", "left_semi")
+
+
+def matched(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The join of merged(); sides kept in buckets by (ROW_ID, entity) meet in it without a shuffle."""
+    here = gold.withColumnsRenamed({"value": "values_gold", "entity": "entity_text"})
     other = pred.select("ROW_ID", F.col("entity").alias("entity_text"), F.col("entity").alias("description"), F.col("value").alias("values_pred"))
     return here.join(other, ["ROW_ID", "entity_text"], "left")

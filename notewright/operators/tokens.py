@@ -8,10 +8,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.functions import ArrowUDFType
 
 from notewright.functions.prompts import chat, response_template
 from notewright.functions.text import let
@@ -40,15 +41,56 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+#: Characters of text that an encoder is given at once.
+BATCH_CHARS = 1 << 21
+
+
+def batch_encoder(make: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]):
+    """Arrow function text -> array<int> by the batch tokenizer that make() gives: many texts a call, ids straight into list arrays."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = make()
+        for column in columns:
+            texts = column.to_pylist()
+            known = [i for i, t in enumerate(texts) if t is not None]
+            sizes, parts, at = np.zeros(len(texts), np.int64), [], 0
+            while at < len(known):
+                stop, chars = at, 0
+                while stop < len(known) and (stop == at or chars + len(texts[known[stop]]) <= BATCH_CHARS):
+                    chars += len(texts[known[stop]])
+                    stop += 1
+                for i, ids in zip(known[at:stop], encode([texts[i] for i in known[at:stop]]), strict=True):
+                    sizes[i] = len(ids)
+                    parts.append(np.asarray(ids, np.int32))
+                at = stop
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+            missing = pa.array([t is None for t in texts], pa.bool_())
+            yield pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
+
+    return F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER)
+
+
 def encoder(make: Callable[[], Callable[[str], Sequence[int]]]):
-    """Arrow function text -> array<int> by the tokenizer that make() gives."""
+    """batch_encoder() of a tokenizer that takes one text."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def batch():
         encode = make()
-        for batch in texts:
-            yield batch.map(lambda t: None if t is None else list(encode(t)))
+        return lambda texts: [encode(t) for t in texts]
+
+    return batch_encoder(batch)
+
+
+def tokenizer_file(path: str) -> Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]:
+    """For batch_encoder(): a tokenizer's JSON file, without special tokens; every worker reads it once."""
+
+    def make():
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return F.pandas_udf(run, "array<int>", PandasUDFType.SCALAR_ITER)
+    return make
 
 
 def mask_labels(ids: Column, template: Sequence[int]) -> Column:

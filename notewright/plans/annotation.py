@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators import annotations
 from notewright.plans.tables import scratch, table
+from notewright.sources import annotation_log
 from notewright.streaming import shards
 
 
@@ -53,7 +54,21 @@ def stream_events(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
-QUERIES = {f.__name__: f for f in (annotation_upsert, annotation_export, annotation_progress, display_table, stream_events)}
+def annotation_compacted(spark, sf_dir):
+    """What holds after three batches of entries, folded after the second and again at the end; events are the entries."""
+    path, events = scratch(spark, "annotations"), table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    mark = F.struct((F.col("value") > 50).alias("correct"), F.col("value").cast("string").alias("corrected_value"), F.lit(None).cast("string").alias("comment"))
+    entries = events.select(F.concat(F.lit("user_"), "user_id").alias("note_id"), F.col("event_type").alias("row_key"), F.create_map(F.lit("value"), mark).alias("annotation"), F.col("event_id").alias("seq"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"))
+    third = (events.agg(F.max("event_id")).first()[0] or 0) // 3
+    batches = entries.where(F.col("seq") > 2 * third), entries.where(F.col("seq") <= third), entries.where((F.col("seq") > third) & (F.col("seq") <= 2 * third))
+    for batch, fold in zip(batches, (False, True, True), strict=True):  # the newest entries come first: order of arrival decides nothing
+        annotation_log.append(batch, path)
+        if fold:
+            annotation_log.compact(spark, path)
+    return annotation_log.current(spark, path).select("note_id", "row_key", "seq", F.col("annotation.value.correct").alias("correct"))
+
+
+QUERIES = {f.__name__: f for f in (annotation_upsert, annotation_export, annotation_progress, display_table, stream_events, annotation_compacted)}
 
 _LOG = "r AS (SELECT source AS note_id, 'row_' || doc_id AS row_key, quality, toxic FROM labels JOIN documents USING (doc_id)), c AS (SELECT note_id, row_key, max(toxic) AS toxic, max(quality) AS quality FROM r GROUP BY ALL)"
 
@@ -63,5 +78,6 @@ ORACLES = {
 UNION ALL SELECT note_id, row_key, 'toxic', 'true', CASE toxic WHEN 1 THEN 'checked' ELSE '' END, '' FROM c""",
     "annotation_progress": f"WITH {_LOG} SELECT note_id, count(*) AS annotated_rows, CASE max(toxic) WHEN 1 THEN '2024-01-02T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS last_updated FROM c GROUP BY note_id",
     "display_table": "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS event_type, CASE WHEN event_type = 'purchase' THEN '' ELSE user_id::VARCHAR END AS score, props FROM events",
+    "annotation_compacted": "SELECT 'user_' || user_id AS note_id, event_type AS row_key, max(event_id) AS seq, arg_max(value > 50, event_id) AS correct FROM events GROUP BY ALL",
     "stream_events": "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'",
 }

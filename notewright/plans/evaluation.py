@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators import metrics
 from notewright.plans.tables import table
+from notewright.sources import sinks
 
 
 def _sides(spark, sf_dir):
@@ -37,7 +38,15 @@ def recall_merged(spark, sf_dir):
     return metrics.merged(*_sides(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (recall_rows, recall_summary, recall_merged)}
+def recall_bucketed(spark, sf_dir):
+    """recall_merged from tables kept in buckets by note and entity."""
+    gold, pred, present = _sides(spark, sf_dir)
+    key = ["ROW_ID", "entity"]
+    kept = sinks.bucketed(metrics.with_prediction(gold, present), "gold_mentions", key), sinks.bucketed(pred, "pred_mentions", key)
+    return metrics.matched(kept[0].hint("merge"), kept[1])
+
+
+QUERIES = {f.__name__: f for f in (recall_rows, recall_summary, recall_merged, recall_bucketed)}
 
 _MENTIONS = """l AS (SELECT *, lower(l_returnflag || l_linestatus) AS entity, l_quantity::INT::VARCHAR AS q, l_linenumber::VARCHAR AS n FROM lineitem),
 gold AS (SELECT l_orderkey AS "ROW_ID", entity, CASE WHEN l_discount <> 0 THEN q WHEN l_tax <> 0 THEN n END AS value, l_partkey FROM l),
@@ -60,3 +69,4 @@ ORACLES = {
     "recall_merged": f"""WITH {_MENTIONS} SELECT gold."ROW_ID" AS "ROW_ID", gold.entity AS entity_text, gold.value AS values_gold, l_partkey, pred.entity AS description, pred.value AS values_pred
 FROM gold JOIN present USING ("ROW_ID") LEFT JOIN pred ON pred."ROW_ID" = gold."ROW_ID" AND pred.entity = gold.entity""",
 }
+ORACLES["recall_bucketed"] = ORACLES["recall_merged"]

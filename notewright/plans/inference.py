@@ -39,6 +39,13 @@ def inference_attempts(spark, sf_dir):
     return state.select("doc_id", "concepts", "concepts_status", "concepts_error", "valid_output", "concepts_max_tokens")
 
 
+def inference_failing_servers(spark, sf_dir):
+    """Every row asked in rounds while one server is down: its answer, and whether it was asked at most three times."""
+    asked = _prompted(spark, sf_dir).withColumn("tokens", F.lit(2048))
+    done = inference.infer_in_rounds(asked, RuleModel, SERVERS, "doc_id", "prompt", "tokens", "concepts")
+    return done.select("doc_id", "concepts", "concepts_status", "concepts_error", (F.col("concepts_attempts") <= inference.ATTEMPTS).alias("bounded"))
+
+
 def _reported(spark, sf_dir):
     asked = _prompted(spark, sf_dir).withColumn("tokens", budgets.within_context(F.lit(0), F.col("prompt")))
     return inference.file_report(inference.infer(asked, RuleModel, SERVERS, "prompt", "tokens", "concepts"), "source")
@@ -79,7 +86,7 @@ def merge_chunk_outputs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", done["text"].alias("text"), done["valid"].alias("valid"))
 
 
-QUERIES = {f.__name__: f for f in (inference_attempts, inference_report, inference_totals, resume_merge, json_field, json_validity, merge_chunk_outputs)}
+QUERIES = {f.__name__: f for f in (inference_attempts, inference_failing_servers, inference_report, inference_totals, resume_merge, json_field, json_validity, merge_chunk_outputs)}
 
 _BEFORE, _AFTER = (s.replace("'", "''") for s in prompts.SHARDED)
 _PROMPTED = f"a AS (SELECT doc_id, source, '{_BEFORE}2024-01-01{_AFTER}' || text AS prompt FROM documents), b AS (SELECT *, length(prompt) AS n, prompt LIKE '%.' AS refused FROM a)"
@@ -88,6 +95,8 @@ _REPORT = f"WITH {_PROMPTED}, r AS (SELECT source, count(*) AS total, count_if(N
 ORACLES = {
     "inference_attempts": f"""WITH {_PROMPTED} SELECT doc_id, CASE WHEN NOT refused THEN '[{{"n": ' || n || CASE WHEN n <= 8192 THEN '}}]' ELSE '' END END AS concepts, CASE WHEN refused THEN 'error' ELSE 'success' END AS concepts_status,
   CASE WHEN refused THEN 'refused' END AS concepts_error, NOT refused AND n <= 8192 AS valid_output, CASE WHEN NOT refused AND n <= 4096 THEN 2048 ELSE 4096 END::BIGINT AS concepts_max_tokens FROM b""",
+    "inference_failing_servers": f"""WITH {_PROMPTED} SELECT doc_id, CASE WHEN NOT refused THEN '[{{"n": ' || n || CASE WHEN n <= 4096 THEN '}}]' ELSE '' END END AS concepts, CASE WHEN refused THEN 'error' ELSE 'success' END AS concepts_status,
+  CASE WHEN refused THEN 'refused' END AS concepts_error, true AS bounded FROM b""",
     "inference_report": f"{_REPORT} SELECT * FROM r",
     "inference_totals": f"{_REPORT} SELECT count(*) AS n_files, sum(total)::BIGINT AS total, sum(success)::BIGINT AS success, sum(errors)::BIGINT AS errors FROM r",
     "resume_merge": """SELECT event_id, CASE WHEN ok THEN props END AS concepts, CASE WHEN ok THEN 'success' END AS concepts_status, NULL::VARCHAR AS concepts_error, ok AS valid_output, CASE WHEN event_type <> 'click' THEN user_id ELSE 0 END AS concepts_max_tokens

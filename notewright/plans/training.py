@@ -57,7 +57,16 @@ def chat_format(spark, sf_dir):
     return pairs.select("conv_id", "turn", shown("qwen").alias("im_md5"), shown("gemma").alias("turn_md5"))
 
 
-QUERIES = {f.__name__: f for f in (label_mask, pad_batch, typed_sequences, length_filter, length_filter_report, length_stats, chat_format)}
+def tokenize_documents(spark, sf_dir, tokenizer_path: str | None = None):
+    """Ids of every text by a public tokenizer: how many, and a digest of them."""
+    import public_tokenizers
+
+    encode = tokens.batch_encoder(tokens.tokenizer_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")))
+    made = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", encode(F.col("text")).alias("ids"))
+    return made.select("doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (label_mask, pad_batch, typed_sequences, length_filter, length_filter_report, length_stats, chat_format, tokenize_documents)}
 
 _IDS = lambda s: f"list_transform(list_filter(regexp_split_to_array({s}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), lambda w: (('0x' || substring(md5(w), 1, 8))::BIGINT % {tokens.VOCABULARY})::INT)"
 _SEQUENCES = f"""a AS (SELECT conv_id, turn, {_IDS(f"(role || CASE role WHEN 'system' THEN ' ' ELSE ' {MARK} ' END || text)")} AS ids, {_IDS(f"'{MARK}'")} AS t FROM conversations),

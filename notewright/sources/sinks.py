@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.text import parent_name
 from notewright.schemas import EXPORT
+from notewright.sources.shared import place
 
 BUCKETS = 64
 
@@ -31,6 +34,18 @@ def flat_tables(codes: DataFrame, refs: DataFrame, path: str, key: str, buckets:
         df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """df as a catalogue table in the shared folder, in buckets by keys, a sorted file each.
+
+    Written with one shuffle; tables of the same buckets are joined by these keys, and grouped by them,
+    without another one, however often.
+    """
+    table = f"{name}_{uuid.uuid4().hex}"
+    ordered = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    ordered.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", place(df.sparkSession, name)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def report(df: DataFrame, path: str, mode: str = "error") -> None:
     """A small table as one CSV file with a header."""
     df.coalesce(1).write.mode(mode).csv(path, header=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notewright.functions.jsontext import json_valid
 from notewright.operators import annotations, flatten, gold, inference, metrics, prepare, remap, retry, tokens
 from notewright.schemas import ANNOTATION_LOG, CODES, GOLD_ENTITY, GOLD_FIELDS, REFS
-from notewright.sources import readers, sinks
+from notewright.sources import annotation_log, readers, sinks
 from notewright.streaming import shards
 
 FIRST = [
@@ -302,3 +302,66 @@ def test_texts_for_python_alone_reach_it(spark):
     plain = notes.where("k = 3")
     for df in (flatten.codes(plain, "k", "payload"), flatten.refs(plain, "k", "payload"), remap.remap_ids(plain, "payload")[0]):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1
+
+
+def test_batches_of_texts_are_encoded_in_order(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 7)
+    texts = ["ab", None, "", "a much longer text than a batch", "c", None, "dé", ""]
+    rows = frame(spark, list(enumerate(texts)), "i int, t string").coalesce(1)
+    encode = tokens.batch_encoder(lambda: lambda batch: [[ord(c) for c in t] for t in batch])
+    assert [r.x for r in rows.select("i", encode(F.col("t")).alias("x")).orderBy("i").collect()] == [None if t is None else [ord(c) for c in t] for t in texts]
+    assert rows.where("i < 0").select(encode(F.col("t"))).collect() == [] and [r[0] for r in rows.where("i = 1").select(encode(F.col("t"))).collect()] == [None]
+
+
+class Lost:
+    """One server is down, one refuses, others answer."""
+
+    async def complete(self, server, prompt, max_tokens):
+        if server.startswith("down"):
+            raise ConnectionError(server)
+        if prompt == "bad":
+            raise ValueError("refused")
+        return f"{prompt}:{max_tokens}"
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_servers_that_fail_are_left_out_for_all(spark, parts):
+    rows = frame(spark, [(i, "bad" if i == 7 else None if i == 8 else f"p{i}", 16) for i in range(90)], "k int, prompt string, most int").repartition(parts)
+    ask = lambda servers, **more: {r.k: r for r in inference.infer_in_rounds(rows, Lost, servers, "k", "prompt", "most", "out", **more).collect()}
+    some = ask(["down1", "up1", "down2", "up2"])
+    assert len(some) == 90 and all(r.out_attempts <= 3 for r in some.values())
+    assert all(r.out == f"p{k}:16" and r.out_status == "success" and r.out_error is None for k, r in some.items() if k not in (7, 8))
+    assert (some[7].out, some[7].out_error, some[8].out_error, some[8].out_attempts) == (None, "refused", "no prompt", 0)
+    none = ask(["down1", "down2"])
+    assert {r.out_error for k, r in none.items() if k != 8} == {"all servers are unreachable"} and len(none) == 90
+    once = ask(["down1", "up1"], attempts=1)
+    assert {r.out_status for r in once.values()} == {"success", "error"} and max(r.out_attempts for r in once.values()) == 1
+
+
+def entry(spark, *rows):
+    mark = {"f": {"correct": True, "corrected_value": None, "comment": None}}
+    return frame(spark, [(n, k, mark, seq, "t") for n, k, seq in rows], ANNOTATION_LOG)
+
+
+def test_compaction_may_die_anywhere(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    now = lambda: sorted((r.note_id, r.row_key, r.seq) for r in annotation_log.current(spark, path).collect())
+    assert now() == []
+    annotation_log.append(entry(spark, ("n", "a", 1), ("n", "b", 5)), path)
+    annotation_log.append(entry(spark, ("n", "a", 2), ("m", "a", 3)), path)
+    want = [("m", "a", 3), ("n", "a", 2), ("n", "b", 5)]
+    assert now() == want
+    with monkeypatch.context() as m:  # it dies before anything is removed
+        m.setattr(annotation_log, "remove", lambda spark, folders: None)
+        annotation_log.compact(spark, path)
+    assert now() == want and len(list(tmp_path.glob("batches/*"))) == 2
+    annotation_log.remove(spark, [str(next(tmp_path.glob("batches/*")))])  # while it removes
+    assert now() == want
+    broken = tmp_path / "bases" / "9-unfinished"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")  # and while it writes
+    assert now() == want
+    annotation_log.append(entry(spark, ("n", "b", 4), ("n", "a", 9)), path)
+    annotation_log.compact(spark, path)
+    assert now() == [("m", "a", 3), ("n", "a", 9), ("n", "b", 5)]
+    assert not list(tmp_path.glob("batches/*")) and len(list(tmp_path.glob("bases/*/_SUCCESS"))) == 1

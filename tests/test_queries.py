@@ -5,14 +5,40 @@ from __future__ import annotations
 import pytest
 
 from notewright.plans import registry
-from tests.compare import MEDIUM, assert_same
+from tests.compare import MEDIUM, SMALL, assert_same, connect
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+#: A tokenizer's ids have no SQL.
+NO_SQL = {"tokenize_documents"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - NO_SQL))
 def test_query_equals_sql(spark, name):
     n = assert_same(registry.queries()[name](spark, MEDIUM), registry.oracle_sql()[name], MEDIUM)
     assert n > 0 or name == "group_split_overlap"
 
 
 def test_each_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) - NO_SQL == set(registry.oracle_sql())
+
+
+def test_bucketed_sides_meet_without_a_shuffle(spark):
+    df = registry.queries()["recall_bucketed"](spark, MEDIUM)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    same = registry.queries()["recall_merged"](spark, MEDIUM)
+    assert df.exceptAll(same).isEmpty() and same.exceptAll(df).isEmpty()
+
+
+def test_ids_of_documents_are_the_tokenizer_s(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for doc_id, text in connect(SMALL).execute("SELECT doc_id, text FROM documents").fetchall():
+        ids = made.encode(text, add_special_tokens=False).ids
+        want[doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in registry.queries()["tokenize_documents"](spark, SMALL).collect()} == want
