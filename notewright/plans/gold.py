@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notewright.operators import gold
-from notewright.plans.tables import table
+from notewright.plans.tables import scratch, table
 from notewright.schemas import GOLD_ENTRY_FIELDS, GOLD_FIELDS
+from notewright.sources import ranged
 
 
 def entities(spark, sf_dir):
@@ -40,7 +41,21 @@ def field_discovery(spark, sf_dir):
     return gold.discover(entities(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (gold_flatten, gold_entries, field_discovery)}
+def gold_from_files(spark, sf_dir):
+    """gold_flatten of nested documents written to files and read back member by member."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("v", F.expr("cast(value as int) div 50"))
+    entry = F.expr("""named_struct('labevents', named_struct('valuenum', v, 'value', if(value < 50, 'NaN', cast(v as string))), 'chartevents', named_struct('value', v, 'charttime', day),
+      'd_items', named_struct('route', 'ignored'), 'outputevents', cast(map() as map<string,string>), 'label', named_struct('value', 'ignored'))""")
+    grouped = e.groupBy("user_id", "event_type", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.to_json(entry).alias("entry")))).alias("xs"))
+    data = F.when(F.col("event_type") != "signup", F.array_join("xs.entry", ", ")).otherwise(F.lit(""))
+    name = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    line = F.concat(F.lit("{"), name("user_id"), F.lit(": [{"), name("event_type"), F.lit(': {"position": '), name("day"), F.lit(', "entity_type": "event", "data": ['), data, F.lit("]}}]}"))
+    path = scratch(spark, "gold")
+    grouped.select(line.alias("value")).write.text(path)
+    return gold.flatten(ranged.gold_files(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (gold_flatten, gold_entries, field_discovery, gold_from_files)}
 
 _CELLS = """e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, (value::DECIMAL(18,6)) AS d, trunc(value)::BIGINT // 50 AS v FROM events),
 x AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) AS i FROM e),
@@ -64,3 +79,4 @@ FROM k {' '.join(f'LEFT JOIN {q} j_{f} ON j_{f}.user_id = k.user_id AND j_{f}.ev
     "field_discovery": """SELECT * FROM (VALUES ('labevents', 'valuenum'), ('labevents', 'value'), ('chartevents', 'value'), ('chartevents', 'charttime'), ('d_items', 'route'), ('outputevents', NULL)) AS t(tbl, field)
 WHERE EXISTS (SELECT 1 FROM events WHERE event_type <> 'signup')""",
 }
+ORACLES["gold_from_files"] = ORACLES["gold_flatten"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from notewright.functions import budgets, ids, prompts, text, values
 from notewright.operators import prepare
-from notewright.plans.tables import table
+from notewright.plans.tables import scratch, table
+from notewright.sources import ranged
 from notewright.sources import sinks
 
 
@@ -124,7 +125,17 @@ def unique_rows(spark, sf_dir):
     return prepare.dedupe_rows(rows)
 
 
-QUERIES = {f.__name__: f for f in (dedup_keep_first, group_split, group_split_report, group_split_overlap, sample_exact_n, note_days, training_lines, normalize_texts, normalize_values, token_budgets, split_refs, check_ids, union_category, unique_rows)} | PROMPTS
+def shards_of_unlike_columns(spark, sf_dir):
+    """Documents written in three shards, one without a language and one with counts as text, read back as declared."""
+    path, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
+    shard = F.pmod(F.col("doc_id"), F.lit(3))  # every document goes to one of them
+    forms = docs, docs.drop("lang"), docs.withColumn("n_chars", F.when(F.col("lang") == "de", F.lit("many")).otherwise(F.col("n_chars").cast("string"))).withColumn("more", F.lit(1))
+    for i, form in enumerate(forms):
+        form.where(shard == i).write.parquet(f"{path}/shard{i}")
+    return ranged.declared_shards(spark, path, "doc_id long, lang string, n_chars long", {"lang": "unknown"}).drop("file_path")
+
+
+QUERIES = {f.__name__: f for f in (dedup_keep_first, group_split, group_split_report, group_split_overlap, sample_exact_n, note_days, training_lines, normalize_texts, normalize_values, token_budgets, split_refs, check_ids, union_category, unique_rows, shards_of_unlike_columns)} | PROMPTS
 
 _SPLIT = """g AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL),
 r AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42:' || o_custkey), o_custkey) <= floor(0.8::DOUBLE * count(*) OVER ()) AS train FROM g),
@@ -177,3 +188,4 @@ FROM (SELECT *, o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' AS ok FROM o
   SELECT source AS category, text, lang, NULL::BIGINT AS turn FROM documents UNION ALL SELECT role, text, NULL, turn FROM conversations) GROUP BY category""",
     "unique_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem",
 }
+ORACLES["shards_of_unlike_columns"] = """SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'unknown' ELSE lang END AS lang, CASE WHEN doc_id % 3 <> 2 OR lang <> 'de' THEN n_chars END AS n_chars FROM documents"""

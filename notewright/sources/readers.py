@@ -40,7 +40,7 @@ def csv_tree(spark: SparkSession, folder: str, schema: str | None = None) -> Dat
     return df.select("*", F.url_decode(parent_name(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("category"))
 
 
-class _PlainUnpickler(pickle.Unpickler):
+class PlainUnpickler(pickle.Unpickler):
     """Loads numbers, strings and containers of them; anything that names code is refused."""
 
     def find_class(self, module, name):
@@ -79,7 +79,7 @@ def gold_pickles(spark: SparkSession, folder: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame([r for raw in batch["content"] for r in gold_rows(_PlainUnpickler(io.BytesIO(raw)).load())], columns=["ROW_ID", "position", "entity_text", "entity_type", "data"])
+            yield pd.DataFrame([r for raw in batch["content"] for r in gold_rows(PlainUnpickler(io.BytesIO(raw)).load())], columns=["ROW_ID", "position", "entity_text", "entity_type", "data"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pkl").load(folder)
     return files.select("content").mapInPandas(load, GOLD_ENTITY)
@@ -161,28 +161,6 @@ def tokenized(spark: SparkSession, path: str) -> DataFrame:
     return typed(spark.read.parquet(path))
 
 
-def parquet_metadata(spark: SparkSession, path: str, shown: str | None = None, most: int = 300) -> DataFrame:
-    """(file, has_metadata, keys, prefix): what the footers of parquet files say of their schema.
-
-    prefix: the first bytes of the value of the key `shown`.
-    """
-
-    def inspect(batches):
-        import pandas as pd
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            rows = []
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                found = pq.ParquetFile(pa.BufferReader(raw)).schema_arrow.metadata
-                rows.append((name, found is not None, sorted(k.decode(errors="replace") for k in found or ()), (found or {}).get((shown or "").encode(), b"")[:most] or None))
-            yield pd.DataFrame(rows, columns=["file", "has_metadata", "keys", "prefix"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "content").mapInPandas(inspect, "file string, has_metadata boolean, keys array<string>, prefix binary")
-
-
 def present(codes: DataFrame, key: str) -> DataFrame:
     """(key): notes that have a prediction."""
     return codes.select(key).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notewright.functions.jsontext import json_valid
 from notewright.operators import annotations, flatten, gold, inference, metrics, prepare, remap, retry, tokens
 from notewright.schemas import ANNOTATION_LOG, CODES, GOLD_ENTITY, GOLD_FIELDS, REFS
-from notewright.sources import annotation_log, readers, sinks
+from notewright.sources import annotation_log, ranged, readers, sinks
 from notewright.streaming import shards
 
 FIRST = [
@@ -259,7 +259,7 @@ def test_files(spark, tmp_path):
     assert back.count() == 2 and (tmp_path / "shards" / "shard_dir=x").is_dir()
     assert readers.shards(spark, str(tmp_path / "nothing" / "*.parquet")) is None
     sinks.parquet(df.select("input"), str(tmp_path / "one"))
-    assert readers.parquet_metadata(spark, str(tmp_path / "one")).where("file like '%parquet'").count() >= 1
+    assert ranged.parquet_metadata(spark, str(tmp_path / "one")).where("file like '%parquet'").count() >= 1
     sinks.report(df.select("output"), str(tmp_path / "report"))
     assert len(list((tmp_path / "report").glob("*.csv"))) == 1
     sinks.flat_tables(df.select("input", "output"), df.select("input"), str(tmp_path / "flat"), "input", 4)
@@ -365,3 +365,66 @@ def test_compaction_may_die_anywhere(spark, tmp_path, monkeypatch):
     annotation_log.compact(spark, path)
     assert now() == [("m", "a", 3), ("n", "a", 9), ("n", "b", 5)]
     assert not list(tmp_path.glob("batches/*")) and len(list(tmp_path.glob("bases/*/_SUCCESS"))) == 1
+
+
+def test_members_come_one_by_one(tmp_path):
+    import io
+
+    documents = [{"a": [1, {"b": "x\\"}], "é": "ü" * 50, "n": 1234.5}, {}, {"last": [{}] * 9}]
+    raw = "\n ".join(json.dumps(d, ensure_ascii=False) for d in documents).encode()
+    for chunk in (1, 2, 7, 1000):
+        assert list(ranged.members(io.BytesIO(raw), chunk)) == [(k, v) for d in documents for k, v in d.items()]
+    for bad in (b'{"a": 1', b'{"a" 1}', b"[1]", b'{"a": 1} x'):
+        with pytest.raises(ValueError):
+            list(ranged.members(io.BytesIO(bad)))
+    assert list(ranged.members(io.BytesIO(b" \n"))) == []
+
+
+def test_nested_files_equal_whole_ones(spark, tmp_path):
+    document = {i: [{f"e{j}": {"position": j, "entity_type": "d", "data": [{"lab": {"value": i}, "label": "x"}, {"none": {}}]}} for j in range(3)] for i in range(40)}
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.pkl").write_bytes(pickle.dumps(document))
+    (tmp_path / "p" / "x.json").write_text(json.dumps(document))
+    found = ranged.gold_files(spark, str(tmp_path))
+    whole = readers.gold_pickles(spark, str(tmp_path)).unionByName(readers.gold_json(spark, str(tmp_path)))
+    assert found.rdd.getNumPartitions() == 2 and found.count() == 240 and found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
+
+
+def test_footers_are_read_alone(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    class Counting:
+        def __init__(self, path):
+            self.file, self.taken, self.closed = open(path, "rb"), 0, False
+
+        def read(self, n=-1):
+            got = self.file.read(n)
+            self.taken += len(got)
+            return got
+
+        def seek(self, *at):
+            return self.file.seek(*at)
+
+        def tell(self):
+            return self.file.tell()
+
+        def size(self):
+            return self.path
+
+    import os
+
+    path = str(tmp_path / "big.parquet")
+    pq.write_table(pa.table({"x": os.urandom(1 << 16) and [os.urandom(64) for _ in range(1 << 16)]}), path)
+    file = Counting(path)
+    assert ranged.read_footer(file).num_rows == 1 << 16 and os.path.getsize(path) > 4 << 20 and file.taken <= 1 << 17
+
+
+def test_shards_that_drift(spark, tmp_path):
+    spark.range(3).selectExpr("id", "cast(id as string) as n").write.parquet(str(tmp_path / "a"))
+    spark.range(3, 5).selectExpr("id", "'x' as n", "1 as extra").write.parquet(str(tmp_path / "b"))
+    spark.range(5, 7).selectExpr("cast(id as int) id").write.parquet(str(tmp_path / "c"))
+    got = ranged.declared_shards(spark, str(tmp_path), "id long, n long, more string", {"more": "none", "n": 7}).orderBy("id").collect()
+    assert [(r.id, r.n, r.more) for r in got] == [(0, 0, "none"), (1, 1, "none"), (2, 2, "none"), (3, None, "none"), (4, None, "none"), (5, 7, "none"), (6, 7, "none")]
+    told = {(r.file.rsplit("/", 2)[1], r.column, r.declared, r.found) for r in ranged.drift(spark, str(tmp_path), "id long, n string").collect()}
+    assert told == {("c", "id", "bigint", "int"), ("c", "n", "string", None)}
