@@ -2,8 +2,7 @@
 
 The lexicon keeps the terms whose document frequency lies in a band. RATES nested random subsets
 of it, in REPLICATES independent drawings, each give one hash of a document's distinct terms in
-that subset: the exclusive or of 60-bit term hashes, which depends on the sorted set alone. Two
-documents are compared, drawing by drawing, in the sparsest subset where either keeps a term;
+that subset, sorted. Two documents are compared, drawing by drawing, in the sparsest subset where either keeps a term;
 their likeness is the share of drawings that agree there. Sparse subsets make long documents
 tolerant of edits and the full lexicon makes short ones exact.
 
@@ -49,12 +48,12 @@ def _digits(hexed: Column, at: int, n: int) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, h, draw_0...): the terms in the band with their hash and random draws."""
+    """(term, draw_0...): the terms in the band with their random draws."""
     counted = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     band = counted.crossJoin(F.broadcast(total)).where((F.col("df") >= F.greatest(F.lit(2.0), F.col("n") * LEAST_SHARE)) & (F.col("df") <= F.greatest(F.lit(2.0), F.col("n") * MOST_SHARE)))
     drawn = F.md5(F.concat(F.lit("draw:"), F.col("term")).cast("binary"))
-    return band.select("term", _digits(F.md5(F.col("term").cast("binary")), 1, 15).alias("h"), *[_digits(drawn, 4 * r + 1, 4).cast("int").alias(f"draw_{r}") for r in range(REPLICATES)])
+    return band.select("term", *[_digits(drawn, 4 * r + 1, 4).cast("int").alias(f"draw_{r}") for r in range(REPLICATES)])
 
 
 def let(value: Column, use) -> Column:
@@ -62,9 +61,21 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def subset_hashes() -> list[Column]:
-    """Aggregates over joined terms: one hash a drawing and rate, 0 where no term is kept."""
-    return [F.coalesce(F.bit_xor(F.when(F.col(f"draw_{r}") < rate, F.col("h"))), F.lit(0).cast("long")) for r in range(REPLICATES) for rate in RATES]
+def subset_hashes(kept: Column) -> Column:
+    """One hash a drawing and rate of a document's sorted lexicon terms with their draws: the md5 of the terms kept, 0 where there is none.
+
+    Subsets of a drawing are nested, so each is filtered from the one before it.
+    """
+    hashed = lambda xs: F.when(F.size(xs) == 0, F.lit(0).cast("long")).otherwise(_digits(F.md5(F.array_join(xs["term"], " ").cast("binary")), 1, 15))
+
+    def nested(xs: Column, r: int, rates: tuple[int, ...]) -> Column:
+        """Hashes of the subsets of these rates, each within the one before."""
+        fewer = F.filter(xs, lambda x: x[f"draw_{r}"] < rates[0])
+        rest = (lambda ys: F.array(hashed(ys))) if len(rates) == 1 else (lambda ys: F.concat(F.array(hashed(ys)), nested(ys, r, rates[1:])))
+        return let(fewer, rest)
+
+    # the first rate keeps every term, whatever the drawing
+    return let(hashed(kept), lambda all_: F.flatten(F.array(*[F.concat(F.array(all_), nested(kept, r, RATES[1:])) for r in range(REPLICATES)])))
 
 
 def likeness(a: Column, b: Column, fingerprints_equal: Column) -> Column:
@@ -146,9 +157,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     both = sized.select("block", "rn", "extra", "doc_id", "n_chars", "edited_sha", F.explode(kinds).alias("x"))
     keys = ["block", "rn", "extra", "doc_id", "n_chars", "edited_sha", "kind", "own_sha"]
     spread = both.select(*keys[:6], "x.kind", "x.own_sha", F.posexplode_outer(terms(F.col("x.t"))).alias("pos", "term"))
-    joined = spread.join(F.broadcast(known) if few else known, "term", "left").where(F.col("h").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
-    hashed = joined.groupBy(*keys).agg(*[c.alias(f"s{i}") for i, c in enumerate(subset_hashes())])
-    named = hashed.select(*keys, F.array(*[f"s{i}" for i in range(REPLICATES * len(RATES))]).alias("subsets"))
+    joined = spread.join(F.broadcast(known) if few else known, "term", "left").where(F.col("draw_0").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    drawn = F.when(F.col("draw_0").isNotNull(), F.struct("term", *[f"draw_{r}" for r in range(REPLICATES)]))
+    kept = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(drawn)).alias("kept"))
+    named = kept.select(*keys, let(F.col("kept"), subset_hashes).alias("subsets"))
     order = Window.partitionBy("block").orderBy("rn", "kind")
     ahead = named.select(*keys, "subsets", *[F.lead(c, k).over(order).alias(f"{c}_{k}") for c in ("subsets", "own_sha") for k in (1, 2)])
     own = ahead.where("kind = 0 AND NOT extra").select("*", *[_fingerprint(f"subsets{k}", f"own_sha{k}").alias(f"fingerprint{k}") for k in ("", "_1", "_2")])
@@ -167,7 +179,7 @@ def _fingerprint(subsets: str, own_sha: str) -> Column:
 def oracle() -> str:
     """The same in SQL, with the next document by one ordering of the table."""
     rates = [(r, rate) for r in range(REPLICATES) for rate in RATES]
-    hashes = ",\n    ".join(f"coalesce(bit_xor(CASE WHEN draw[{r + 1}] < {rate} THEN h END), 0) AS s{i}" for i, (r, rate) in enumerate(rates))
+    hashes = ",\n    ".join(f"coalesce(('0x' || substring(md5(string_agg(term, ' ' ORDER BY term) FILTER (draw[{r + 1}] < {rate})), 1, 15))::BIGINT, 0) AS s{i}" for i, (r, rate) in enumerate(rates))
     subsets = "[" + ", ".join(f"s{i}" for i in range(len(rates))) + "]"
     n = len(RATES)
     lists = lambda a, b: ", ".join("coalesce(" + ", ".join(f"CASE WHEN {a}[{r * n + s + 1}] <> 0 OR {b}[{r * n + s + 1}] <> 0 THEN ({a}[{r * n + s + 1}] = {b}[{r * n + s + 1}])::INT END" for s in reversed(range(n))) + ")" for r in range(REPLICATES))
@@ -178,7 +190,7 @@ nx AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(text) OVER w, first_va
 ed AS (SELECT *, substring(text, 1, length(text) - length(text) // 3) || substring(nxt, 1, length(text) // 3) AS edited FROM nx),
 tk AS (SELECT rn, 0 AS kind, text AS t FROM ed UNION ALL SELECT rn, 1, edited FROM ed),
 tt AS (SELECT rn, kind, unnest({split}) AS term FROM tk),
-lex AS (SELECT term, ('0x' || substring(md5(term), 1, 15))::BIGINT AS h, list_transform(range({REPLICATES}), lambda r: ('0x' || substring(md5('draw:' || term), (4 * r + 1)::INT, 4))::BIGINT) AS draw
+lex AS (SELECT term, list_transform(range({REPLICATES}), lambda r: ('0x' || substring(md5('draw:' || term), (4 * r + 1)::INT, 4))::BIGINT) AS draw
   FROM tt WHERE kind = 0 GROUP BY term HAVING count(*) >= greatest(2.0, (SELECT count(*) FROM d) * {LEAST_SHARE}::DOUBLE) AND count(*) <= greatest(2.0, (SELECT count(*) FROM d) * {MOST_SHARE}::DOUBLE)),
 hs AS (SELECT rn, kind, {hashes}
   FROM tt JOIN lex USING (term) GROUP BY rn, kind),
