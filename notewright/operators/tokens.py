@@ -42,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 
 #: Characters of text that an encoder is given at once.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 18
 
 
 def batch_encoder(make: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]):
@@ -85,6 +85,9 @@ def tokenizer_file(path: str) -> Callable[[], Callable[[list[str]], Sequence[Seq
     """For batch_encoder(): a tokenizer's JSON file, without special tokens; every worker reads it once."""
 
     def make():
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
@@ -93,6 +96,22 @@ def tokenizer_file(path: str) -> Callable[[], Callable[[list[str]], Sequence[Seq
     return make
 
 
+def ranks_file(path: str, pattern: str) -> Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]:
+    """For batch_encoder(): a byte-pair vocabulary of lines `base64 rank`, texts cut by a pattern first. Some five times as fast as a JSON file of the same vocabulary."""
+
+    def make():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        made = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: made.encode_ordinary_batch(texts, num_threads=1)
+
+    return make
+
+
 def mask_labels(ids: Column, template: Sequence[int]) -> Column:
     """ids as labels, all up to the end of the first template within them masked.
 

@@ -61,7 +61,7 @@ def tokenize_documents(spark, sf_dir, tokenizer_path: str | None = None):
     """Ids of every text by a public tokenizer: how many, and a digest of them."""
     import public_tokenizers
 
-    encode = tokens.batch_encoder(tokens.tokenizer_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")))
+    encode = tokens.batch_encoder(tokens.ranks_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
     made = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", encode(F.col("text")).alias("ids"))
     return made.select("doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from notewright.operators import tokens
 from notewright.plans import registry
 from tests.compare import MEDIUM, SMALL, assert_same, connect
 
@@ -42,3 +44,5 @@ def test_ids_of_documents_are_the_tokenizer_s(spark):
         ids = made.encode(text, add_special_tokens=False).ids
         want[doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in registry.queries()["tokenize_documents"](spark, SMALL).collect()} == want
+    other = tokens.batch_encoder(tokens.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
+    assert {r.doc_id: r.n for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.size(other("text")).alias("n")).collect()} == {k: n for k, (n, _) in want.items()}
