@@ -104,8 +104,14 @@ def unique_only(df: DataFrame, flag: str = "is_unique") -> DataFrame:
 
 
 def text_of(df: DataFrame, key: str, value: object, text: str) -> str:
-    """The text of the first row whose key reads value; raises KeyError if there is none."""
-    found = df.where(F.col(key).cast("string") == str(value)).select(text).head(1)
+    """The text of the first row whose key reads value; raises KeyError if there is none.
+
+    Whole numbers and texts are also compared in the key's own type, which a scan of a keyed table can use.
+    """
+    reads = F.col(key).cast("string") == str(value)
+    if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "string"):
+        reads = (F.col(key) == F.lit(str(value)).try_cast(df.schema[key].dataType)) & reads
+    found = df.where(reads).select(text).head(1)
     if not found:
         raise KeyError(value)
     return found[0][0]

@@ -46,6 +46,17 @@ def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = BUCKETS)
     return df.sparkSession.table(table)
 
 
+def keyed(df: DataFrame, path: str, key: str, files: int | None = None, mode: str = "error") -> None:
+    """A table to look single keys up in: files by ranges of the key, sorted, with small row groups and pages and a bloom filter on it.
+
+    A filter on the key skips files and row groups by their ranges or the bloom filter, and pages by the column index.
+    """
+    ranged = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    writer = ranged.sortWithinPartitions(key).write.mode(mode)
+    options = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.block.size": str(16 << 20), "parquet.page.row.count.limit": "1000"}
+    writer.options(**options).parquet(path)
+
+
 def report(df: DataFrame, path: str, mode: str = "error") -> None:
     """A small table as one CSV file with a header."""
     df.coalesce(1).write.mode(mode).csv(path, header=True)

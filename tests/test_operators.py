@@ -428,3 +428,29 @@ def test_shards_that_drift(spark, tmp_path):
     assert [(r.id, r.n, r.more) for r in got] == [(0, 0, "none"), (1, 1, "none"), (2, 2, "none"), (3, None, "none"), (4, None, "none"), (5, 7, "none"), (6, 7, "none")]
     told = {(r.file.rsplit("/", 2)[1], r.column, r.declared, r.found) for r in ranged.drift(spark, str(tmp_path), "id long, n string").collect()}
     assert told == {("c", "id", "bigint", "int"), ("c", "n", "string", None)}
+
+
+def test_a_keyed_table_reads_few_rows_for_one_key(spark, tmp_path):
+    spark.range(200_000).selectExpr("id * 7 % 200000 AS ROW_ID", "concat('text ', id) AS TEXT").write.parquet(str(tmp_path / "plain"))
+    notes = spark.read.parquet(str(tmp_path / "plain"))
+    sinks.keyed(notes, str(tmp_path / "keyed"), "ROW_ID", 4)
+    assert prepare.text_of(spark.read.parquet(str(tmp_path / "keyed")), "ROW_ID", 1234, "TEXT") == prepare.text_of(notes, "ROW_ID", 1234, "TEXT")
+
+    lookup = spark.read.parquet(str(tmp_path / "keyed")).where((F.col("ROW_ID") == F.lit("1234").try_cast("bigint")) & (F.col("ROW_ID").cast("string") == "1234"))
+    assert "EqualTo(ROW_ID,1234)" in lookup._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(KeyError):
+        prepare.text_of(notes, "ROW_ID", "01234", "TEXT")
+
+    def rows_read(path):
+        df = spark.read.parquet(path).where("ROW_ID = 1234")
+        assert df.count() == 1 and len(df.collect()) == 1
+        plan, seen = df._jdf.queryExecution().executedPlan(), []
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            if "Scan parquet" in node.nodeName():
+                seen.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return sum(seen)
+
+    assert rows_read(str(tmp_path / "keyed")) <= 2_000 < rows_read(str(tmp_path / "plain"))
