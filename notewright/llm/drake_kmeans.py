@@ -18,6 +18,7 @@ no part; a null id is never a starting centroid but its vector is assigned; repe
 as rows, and of rows with one id the lesser vector starts first; with fewer vectors than centroids all of
 them start; an empty table gives an empty one; other columns are ignored. Components of any finite
 size are computed exactly; a distance or inertia that a long can't hold is shown as the largest long.
+More than MOST_CENTROIDS centroids raise ValueError, as tasks hold all of them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from notewright.llm.common import dropped, new_place, shared_table
 
 SCALE, DIMENSIONS, CENTROIDS, ROUNDS, SEED = 256, 64, 40, 5, "2:"
+MOST_CENTROIDS = 1 << 15
 #: Sums travel as limbs of so many bits, so that longs hold them.
 LIMB_BITS = 32
 #: Relative slack of bounds, far above the rounding of a square root and a sum.
@@ -326,6 +328,8 @@ def gathered(state: DataFrame) -> tuple[dict[int, dict[int, int]], dict[int, int
 
 def cluster(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = CENTROIDS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, seed: str = SEED) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) after `rounds` moves of the centroids."""
+    if not 0 < k <= MOST_CENTROIDS:
+        raise ValueError(f"k must be from 1 to {MOST_CENTROIDS}")
     kept = kept_vectors(vectors, vec_id, vector, dimensions)
     spark = vectors.sparkSession
     now = starting_centroids(kept, k, seed)

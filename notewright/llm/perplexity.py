@@ -361,7 +361,8 @@ def bands(scored: DataFrame, text_key: str, below: float = BELOW, above: float =
     lang = ["lm_lang", "lm_known"]
     step = F.round(F.col("log_ppl") / STEP).cast("long")
     distinct = scored.where(~F.col("base_failed")).groupBy(*lang, text_key).agg(F.min(step).alias("step"))
-    counted = distinct.groupBy(*lang, "step").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that counts are added up by step before all steps of a language meet
+    counted = shared_table(distinct.groupBy(*lang, "step").agg(F.count(F.lit(1)).alias("n")), "steps")
     middle = _medians(counted, "step")
     off = counted.join(middle, lang).groupBy(*lang, F.abs(F.col("step") - F.col("median")).alias("off")).agg(F.sum("n").alias("n"))
     spread = _medians(off, "off").withColumnRenamed("median", "spread")
