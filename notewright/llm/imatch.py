@@ -21,6 +21,8 @@ their text; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,27 +93,32 @@ def _order(doc_id: Column, text_md5: Column) -> Column:
     return F.struct(doc_id.isNotNull().alias("known"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), text_md5.alias("md5"))
 
 
+#: A cut point, as _order has it.
+KEY = "struct<known:boolean,id:bigint,md5:string>"
+
+
 def cut_points(keys: DataFrame, n: int) -> list:
-    """Keys at which blocks of some BLOCK_ROWS rows start, by quantiles of a sample of bounded size."""
+    """Keys at which blocks of some BLOCK_ROWS rows start, by quantiles of a sample of bounded size, which Spark takes; the cuts alone come to the driver."""
     blocks = min(MOST_BLOCKS, n // BLOCK_ROWS)
     if blocks < 2:
         return []
     every = max(1, n // (BLOCK_SAMPLE * blocks))
-    drawn = keys.where(F.pmod(F.xxhash64("key.id", "key.md5"), F.lit(every)) == 0).select("key").limit(4 * BLOCK_SAMPLE * blocks).collect()
-    sample = sorted((r.key.known, r.key.id, r.key.md5) for r in drawn)
-    return sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)}) if sample else []
+    drawn = keys.where(F.pmod(F.xxhash64("key.id", "key.md5"), F.lit(every)) == 0).select("key").limit(4 * BLOCK_SAMPLE * blocks)
+    tiled = drawn.select("key", F.ntile(blocks).over(Window.orderBy("key")).alias("tile")).where("tile > 1")
+    found = tiled.groupBy("tile").agg(F.min("key").alias("key")).select(F.to_json("key").alias("key")).distinct().collect()
+    return sorted((k["known"], k["id"], k["md5"]) for k in (json.loads(r.key) for r in found))
 
 
 def block_of(key: Column, cuts: list) -> Column:
-    """How many of the cut points are not above key, by bisection."""
+    """How many of the cut points are not above key, by bisection over one constant array."""
     if not cuts:
         return F.lit(0)
-    known, ids, md5s = (F.lit(list(c)) for c in zip(*cuts, strict=True))
+    named = json.dumps([dict(zip(("known", "id", "md5"), c, strict=True)) for c in cuts])
+    points = F.from_json(F.lit(named), f"array<{KEY}>")  # folded to a single literal, however many there are
 
     def step(acc: Column, _: Column) -> Column:
-        middle = F.expr("0") + F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        at = lambda i: F.struct(F.get(known, i).alias("known"), F.get(ids, i).cast("long").alias("id"), F.get(md5s, i).alias("md5"))
-        return F.when(acc["low"] >= acc["high"], acc).otherwise(let(middle, lambda i: F.when(at(i) <= key, F.struct((i + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), i.alias("high")))))
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(let(middle, lambda i: F.when(F.get(points, i) <= key, F.struct((i + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), i.alias("high")))))
 
     turns = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
     return F.aggregate(turns, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), step, lambda acc: acc["low"])
