@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notewright.plans import annotation, evaluation, gold, inference, preparation, retrying, structured, training
+from notewright.plans import annotation, evaluation, gold, inference, preparation, retrying, storage, structured, training
 
-MODULES = (evaluation, preparation, structured, inference, retrying, gold, training, annotation)
+MODULES = (evaluation, preparation, structured, inference, retrying, gold, training, annotation, storage)
 
 
 def queries():
