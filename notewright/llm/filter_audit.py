@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Marks the filter that fails texts equal to one of a smaller id.
 REPEATED = "repeated"
-#: Label rows without partner ids are dealt to so many keys.
+#: Rows without an id are dealt to so many keys of the join with labels.
 SPREAD = 1024
 
 
