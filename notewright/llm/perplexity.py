@@ -44,8 +44,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 BELOW, ABOVE, LEAST_SPREAD = 8.0, 8.0, 0.01
 #: Steps in which log-perplexity is counted for medians.
 STEP = 1e-4
-#: N-grams a counting task holds before it hands them on, entries of all models that every task may get, bytes of text in a block.
-HELD_GRAMS, BROADCAST_ENTRIES, BLOCK_BYTES = 1 << 21, 6_000_000, 8 << 20
+#: Rows of a batch taken at once, n-grams a counting task holds before it hands them on, entries of all models that every task may get, bytes of text in a block.
+SLICE_ROWS, HELD_GRAMS, BROADCAST_ENTRIES, BLOCK_BYTES = 512, 3 << 19, 6_000_000, 8 << 20
 #: Pairs of language and order up to which their discounts are broadcast; beyond, Spark chooses the join.
 BROADCAST_DISCOUNTS = 100_000
 
@@ -111,6 +111,12 @@ def byte_grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return keys[padded[order - 1 :] != START]
 
 
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def _models(batch, text: str) -> list[tuple[tuple[str, int], np.ndarray]]:
     """The rows of a batch by (language, fold)."""
     langs, folds = batch.column(batch.schema.get_field_index("lm_lang")).to_pylist(), batch.column(batch.schema.get_field_index("lm_fold")).to_pylist()
@@ -157,7 +163,7 @@ def count(docs: DataFrame, text: str, order: int) -> DataFrame:
                     m = len(keys[part])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([fold] * m, pa.int32()), pa.array(keys[part]), pa.array(counts[part])], names=["lm_lang", "lm_fold", "gram", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for k, rows in _models(batch, text):
                 for _, raw, offsets in _texts(batch, text, rows):
                     found = np.unique(byte_grams(raw, offsets, order), return_counts=True)
@@ -314,7 +320,8 @@ def log_perplexity(docs: DataFrame, model: PerplexityModel, text: str, most_entr
 
         def run(batches):
             for batch in batches:
-                yield batch, [pa.array(_scores(batch, text, shared.value, order), pa.float64())]
+                scores = [_scores(part, text, shared.value, order) for part in _slices([batch])]
+                yield batch, [pa.array(np.concatenate(scores) if scores else [], pa.float64())]
 
         return append_arrow(docs, run, "log_ppl double")
 
