@@ -25,7 +25,7 @@ def test_rest_works_alone(tmp_path):
     for name in ("notewright", "tests"):
         shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'recall_rows' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(q) == set(e.oracle_sql())"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'recall_rows' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(q) == set(e.oracle_sql()) | {'tokenize_documents'}"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
 
 
