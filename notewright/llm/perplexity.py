@@ -46,8 +46,8 @@ BELOW, ABOVE, LEAST_SPREAD = 8.0, 8.0, 0.01
 STEP = 1e-4
 #: Rows of a batch taken at once, n-grams a counting task holds before it hands them on, entries of all models that every task may get, bytes of text in a block.
 SLICE_ROWS, HELD_GRAMS, BROADCAST_ENTRIES, BLOCK_BYTES = 512, 3 << 19, 6_000_000, 8 << 20
-#: Pairs of language and order up to which their discounts are broadcast; beyond, Spark chooses the join.
-BROADCAST_DISCOUNTS = 100_000
+#: Models and orders up to which their discounts are broadcast, and languages for their bands; beyond, Spark chooses the join.
+BROADCAST_DISCOUNTS = BROADCAST_LANGUAGES = 100_000
 
 RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -385,7 +385,9 @@ def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", orde
     model = fit(keyed, text, order)
     scored = log_perplexity(with_rules(keyed, text), model, text, most_entries)
     scored = shared_table(scored.withColumn("lm_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).drop(text), "scored")
-    limits = bands(scored, "lm_key")
+    limits = shared_table(bands(scored, "lm_key"), "bands")  # a row a language, so that no language gathers its documents
+    if limits.count() <= BROADCAST_LANGUAGES:
+        limits = F.broadcast(limits)
     judged = scored.join(limits, ["lm_lang", "lm_known"], "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("lm_lang", "lm_known", "lm_fold", "lm_key")
