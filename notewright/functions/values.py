@@ -20,6 +20,8 @@ from notewright.functions.text import strip
 _INTEGER = r"\A[+-]?[0-9]{1,15}(\.0*)?\z"
 _DECIMAL = r"\A[+-]?[0-9]{1,12}\.[0-9]{1,3}\z"
 _WORD = r"\A[\x20-\x2f\x3a-\x7e]+\z"
+#: Numbers that are their own normal form.
+_NORMAL = r"\A(?!-0\z)-?(?:0|[1-9][0-9]{0,11})(?:\.[0-9]{0,2}[1-9])?\z"
 _NAMED = r"\A[+-]?(inf|infinity|nan)\z"
 
 
@@ -49,6 +51,11 @@ def _number_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else number_text(float(x)))
 
 
+def is_normal(x: Column) -> Column:
+    """Whether x is null or a number in its normal form; false for some that are, such as long ones and words."""
+    return F.coalesce(x.rlike(_NORMAL), F.lit(True))
+
+
 def normalize_value(x: Column) -> Column:
     """The normal form of a string column; null for null, blank and nan."""
     s = F.lower(strip(x))

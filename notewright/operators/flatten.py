@@ -11,13 +11,15 @@ Each of codes(), refs() and manifest() takes (df, key, payload), or what parsed(
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.functions.ids import split_ref
-from notewright.functions.jsontext import json_kind, strict_json
+from notewright.functions.jsontext import json_kind, strict_items
+from notewright.functions.values import is_normal, normalize_value
 from notewright.schemas import CODE_PATHS, CODES
 from notewright.sources.shared import written
 
@@ -25,13 +27,17 @@ from notewright.sources.shared import written
 FIRST_LEVELS, MOST_LEVELS = 6, 48
 
 
+#: Columns of a resource that a reference to it is resolved by.
+NAMED = ("resource_index", "id", "description")
+
+
 def parsed(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, note_status, items), written once: ok, ok_empty, skipped (no payload) or error (not an array); items are the elements of an ok one."""
     text = F.col(payload)
     some = text.isNotNull() & (text != "")
     items = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    first = df.select(F.col(key), some.alias("_some"), F.when(some, strict_json(text)).alias("_doc"), text.alias("_text"))
-    first = first.select(key, "_some", items(F.col("_doc")).alias("_items"), F.when(F.col("_some") & F.col("_doc").isNull(), F.col("_text")).alias("_refused"))
+    first = df.select(F.col(key), some.alias("_some"), F.when(some, strict_items(text)).alias("_doc"), text.alias("_text"))
+    first = first.select(key, "_some", F.col("_doc.items").alias("_items"), F.when(F.col("_some") & F.col("_doc").isNull(), F.col("_text")).alias("_refused"))
     notes = written(first, "parsed")
     refused = F.col("_refused").isNotNull()
     status = F.when(~F.coalesce("_some", F.lit(False)), "skipped").when(F.col("_items").isNull() & ~F.col("_array"), "error").when(F.size("_items") == 0, "ok_empty").otherwise("ok")
@@ -57,34 +63,60 @@ def _is_text(v: Column) -> Column:
     return F.schema_of_variant(v) == "STRING"
 
 
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def _value_string(plain: Column) -> Column:
+    """valueString if it is a string, or its text if that is one."""
+    inner = F.try_variant_get(plain, "$.text", "variant")
+    return F.when(_is_text(plain), F.try_variant_get(plain, "$", "string")).when(_is_text(inner), F.try_variant_get(plain, "$.text", "string"))
 
 
-def _value_string(resource: Column) -> Column:
-    """valueString if it is a string, or its text if that is one."""
-    plain = F.try_variant_get(resource, "$.valueString", "variant")
-    inner = F.try_variant_get(resource, "$.valueString.text", "variant")
-    return F.when(_is_text(plain), F.try_variant_get(resource, "$.valueString", "string")).when(_is_text(inner), F.try_variant_get(resource, "$.valueString.text", "string"))
+def _record(paths: Sequence[str], leaf: str = "string") -> str:
+    """The struct type that holds these paths of an object."""
+    names = list(dict.fromkeys(p.split(".")[1] for p in paths))
+    below = {n: [p.replace(f".{n}", "", 1) for p in paths if p.startswith(f"$.{n}.")] for n in names}
+    return f"struct<{', '.join(f'{n}: {_record(below[n]) if below[n] else leaf}' for n in names)}>"
+
 
+def _ok(df: DataFrame, key: str, payload: str | None) -> DataFrame:
+    return _notes(df, key, payload).where("note_status = 'ok'")
 
-def _resources(df: DataFrame, key: str, payload: str | None) -> DataFrame:
-    """(key, resource_index, _r): the objects among the elements of ok notes; the index counts all elements, from 0."""
-    each = _notes(df, key, payload).where("note_status = 'ok'").select(key, F.posexplode("items").alias("resource_index", "_r"))
-    return each.where(_is_object(F.col("_r"))).withColumn("resource_index", F.col("resource_index").cast("bigint"))
 
+def _resources(df: DataFrame, key: str, payload: str | None, record: str) -> DataFrame:
+    """(key, resource_index, _o): the objects among the elements of ok notes as `record`; the index counts all elements, from 0.
 
-def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: bool = False) -> DataFrame:
+    An object is read in one pass, whatever the number of its fields; a field of another kind than the
+    record's is null. It is read before the array is opened, where no filter can have it read again.
+    """
+    read = F.transform("items", lambda r: F.try_variant_get(r, "$", record))
+    each = _ok(df, key, payload).select(key, F.posexplode(read).alias("resource_index", "_o"))
+    return each.where("_o IS NOT NULL").withColumn("resource_index", F.col("resource_index").cast("bigint"))
+
+
+def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: bool = False, columns: Sequence[str] = CODES) -> DataFrame:
     """key and the flat columns of every resource of an array.
 
-    both_schedules also reads schedule_info as the extraction contract spells it.
+    both_schedules also reads schedule_info as the extraction contract spells it; only `columns` are read.
     """
-    objects = _resources(df, key, payload)
-    field = {name: F.try_variant_get(F.col("_r"), path, "string") for name, path in CODE_PATHS.items()}
-    field |= {"resource_index": F.col("resource_index"), "valueString": _value_string(F.col("_r"))}
-    if both_schedules:
-        field["schedule_info"] = F.coalesce(field["schedule_info"], F.try_variant_get(F.col("_r"), "$.schedule_info", "string"))
-    return objects.select(key, *[field[c].alias(c) for c in CODES])
+    paths = {name: path for name, path in CODE_PATHS.items() if name in columns}
+    spelt = ["$.schedule_info"] if both_schedules and "schedule_info" in columns else []
+    record = _record([*paths.values(), *spelt])
+    if "valueString" in columns:
+        record = f"{record[:-1]}{', ' if paths else ''}valueString: variant>"
+    field = {name: F.col(path.replace("$", "_o", 1)) for name, path in paths.items()}
+    field |= {"resource_index": F.col("resource_index")}
+    if "valueString" in columns:
+        field["valueString"] = _value_string(F.col("_o.valueString"))
+    if spelt:
+        field["schedule_info"] = F.coalesce(field["schedule_info"], F.col("_o.schedule_info"))
+    return _resources(df, key, payload, record).select(key, *[field[c].alias(c) for c in columns])
+
+
+def normalized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with the normal form of these values, written once: only rows with a value in another form go on to be normalized, if there are any."""
+    rows = written(df.withColumn("_normal", F.forall(F.array(*columns), is_normal)), "values")
+    others = rows.where("NOT _normal")
+    if others.isEmpty():
+        return rows.drop("_normal")
+    return rows.where("_normal").unionByName(others.withColumns({c: normalize_value(F.col(c)) for c in columns})).drop("_normal")
 
 
 _OWNER = ["note_key", "src_resource_index", "src_resourceType", "src_id"]
@@ -98,9 +130,16 @@ def _met(nodes: DataFrame, path: Column, value: Column) -> DataFrame:
     return found.select(*_OWNER, "path", F.when(F.col("found").isNull(), F.col("node")).alias("node"), F.coalesce("target_ref", "found").alias("target_ref"))
 
 
-def _deeper(nodes: DataFrame) -> DataFrame:
-    """The members and elements of all nodes; an edge stays as it is, and a scalar ends."""
-    below = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("node").outer())).where("value IS NOT NULL OR target_ref IS NOT NULL")
+def _may_hold(value: Column) -> Column:
+    """Whether a member named reference may lie in value: its schema names it, or leaves out elements that are unlike."""
+    schema = F.schema_of_variant(value)
+    return F.contains(schema, F.lit("reference")) | F.contains(schema, F.lit("VARIANT"))
+
+
+def _deeper(nodes: DataFrame, prune: bool) -> DataFrame:
+    """The members and elements of all nodes; an edge stays as it is, and a scalar ends. prune leaves out what holds no reference."""
+    below = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("node").outer()))
+    below = below.where(F.col("target_ref").isNotNull() | (F.col("value").isNotNull() & (_may_hold(F.col("value")) if prune else F.lit(True))))
     step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.lit(""))
     return _met(below, F.concat("path", step), F.col("value"))
 
@@ -109,15 +148,17 @@ def refs(df: DataFrame, key: str, payload: str | None = None) -> DataFrame:
     """key and an edge for every object that holds a reference and nothing else, at any depth.
 
     A pass walks several levels in one stage and writes the edges it met and the nodes it has not
-    opened yet; while there are any, another pass goes on from those.
+    opened yet; while there are any, another pass goes on from those. What holds no reference is left
+    out at levels 1, 2, 4, 8 and so on of a pass: a node's schema costs as much as all that lies below it.
     """
-    text = lambda name: F.try_variant_get(F.col("_r"), f"$.{name}", "string")
-    roots = _resources(df, key, payload).select(F.col(key).alias("note_key"), F.col("resource_index").alias("src_resource_index"), text("resourceType").alias("src_resourceType"), text("id").alias("src_id"), "_r", F.lit(None).cast("string").alias("target_ref"))
+    each = _ok(df, key, payload).select(F.col(key).alias("note_key"), F.posexplode("items").alias("src_resource_index", "_r"))
+    found = each.withColumn("_o", F.try_variant_get(F.col("_r"), "$", "struct<resourceType: string, id: string>")).where("_o IS NOT NULL")
+    roots = found.select("note_key", F.col("src_resource_index").cast("bigint").alias("src_resource_index"), F.col("_o.resourceType").alias("src_resourceType"), F.col("_o.id").alias("src_id"), "_r", F.lit(None).cast("string").alias("target_ref"))
     nodes = _met(roots, F.lit("$"), F.col("_r"))
     levels, passes = FIRST_LEVELS, []
     while True:
-        for _ in range(levels):
-            nodes = _deeper(nodes)
+        for level in range(1, levels + 1):
+            nodes = _deeper(nodes, prune=level & (level - 1) == 0)
         walked = written(nodes.where("node IS NOT NULL OR target_ref IS NOT NULL"), "edges")
         passes.append(walked.where("target_ref IS NOT NULL"))
         nodes, levels = walked.where("node IS NOT NULL"), min(2 * levels, MOST_LEVELS)

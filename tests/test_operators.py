@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from notewright.functions.jsontext import json_valid
 from notewright.operators import annotations, flatten, gold, inference, metrics, prepare, remap, retry, tokens
+from notewright.plans import structured
 from notewright.schemas import ANNOTATION_LOG, CODES, GOLD_ENTITY, GOLD_FIELDS, REFS
 from notewright.sources import annotation_log, ranged, readers, sinks
 from notewright.streaming import shards
+from tests.compare import SMALL
 
 FIRST = [
     {"id": "r10_0", "resourceType": "FamilyHistory", "status": "present", "relationship": "Mother", "description": "Breast cancer", "timestamp": "2023-01-01"},
@@ -451,3 +453,16 @@ def test_a_keyed_table_reads_few_rows_for_one_key(spark, tmp_path):
         return sum(seen)
 
     assert rows_read(str(tmp_path / "keyed")) <= 2_000 < rows_read(str(tmp_path / "plain"))
+
+
+def test_codes_of_normal_values_need_no_python(spark):
+    found = structured.flatten_codes(spark, SMALL)
+    assert "EvalPython" not in found._jdf.queryExecution().toString()
+    rows = frame(spark, [(1, "007"), (2, "1e3"), (3, None), (4, "-0.5"), (5, "-0"), (6, "2.50")], "k int, v string")
+    assert {r.k: r.v for r in flatten.normalized(rows, ["v"]).collect()} == {1: "7", 2: "1000", 3: None, 4: "-0.5", 5: "0", 6: "2.5"}
+
+
+def test_pruned_walk_goes_into_unlike_elements(spark):
+    text = '[7, {"id": "r0_0", "a": [1, [{"reference": "A/r1_0"}]], "b": {"reference": {"reference": "B/r2_0"}}, "c": {"d": 1}}, {"reference": 5}]'
+    edges = flatten.refs(frame(spark, [(1, text)], "k int, payload string"), "k", "payload").collect()
+    assert {(r.src_resource_index, r.path, r.target_id) for r in edges} == {(1, "$.a[1][0]", "r1_0"), (1, "$.b.reference", "r2_0")}
