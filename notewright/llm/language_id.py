@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.common import append_arrow
+from notewright.llm.tokens import forget
 
 #: Bound of the labelled sample: one snippet of this many code points from each of so many rows a language.
 SAMPLE_ROWS, SAMPLE_CHARS = 768, 80
@@ -106,6 +107,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", min_margi
     def run(batches):
         import pyarrow as pa
 
+        forget()  # a worker that has packed before may be lent to this
         coarse, fine = _encoders(model, False), _encoders(model, True)
         for batch in batches:
             found = [classify(t.as_py(), coarse, fine) for t in batch.column(batch.schema.get_field_index(text))]

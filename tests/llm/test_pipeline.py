@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 
-from notewright.llm import mixing, secret_scan
+from notewright.llm import language_id, mixing, secret_scan
 from tests.compare import MEDIUM, bag, connect
 from tests.llm import brute
 from tests.llm.test_queries import held_out
@@ -101,3 +101,11 @@ def test_packing(spark, kept):
 def test_run(spark, kept):
     out = corpus_pipeline.run(spark, MEDIUM)
     assert Counter(out.collect()) == Counter(rows(spark, kept, 5))
+
+
+def test_language_tasks_give_back_what_packing_left(monkeypatch):
+    caught, calls = [], []
+    monkeypatch.setattr(language_id, "append_arrow", lambda df, fn, fields: caught.append(fn))
+    monkeypatch.setattr(language_id, "forget", lambda: calls.append(1))
+    language_id.predict(None, language_id.LanguageModel({}))
+    assert list(caught[0]([])) == [] and calls == [1]
