@@ -23,10 +23,12 @@ from notewright.functions import budgets
 from notewright.functions.jsontext import json_valid
 from notewright.operators.prepare import with_defaults
 from notewright.schemas import inference_state
-from notewright.sources.shared import written
+from notewright.sources.shared import place, written
 
 #: Attempts of one request over different servers, and requests in flight a task.
 ATTEMPTS, IN_FLIGHT = 3, 32
+#: About so many bytes of prompts go to a task of a round; larger tables take further waves of tasks, dealt in blocks of rows.
+WAVE_BYTES, BLOCK_ROWS = 32 << 20, 1024
 
 
 class ModelClient(Protocol):
@@ -111,7 +113,8 @@ def infer_in_rounds(
     reached is asked no more by its task, and by none in later rounds. Rows that were not answered go
     on to the next round, at most `attempts` of them. Each round is written before the next one
     starts, so a lost executor repeats only requests of its own tasks. As many tasks run at once as
-    share out most_in_flight, whatever the cluster. Adds <out>, <out>_status, <out>_error and <out>_attempts.
+    share out most_in_flight, whatever the cluster; a round of more than WAVE_BYTES for each of them is
+    dealt in blocks of rows to waves of so many tasks, one wave after another. Adds <out>, <out>_status, <out>_error and <out>_attempts.
     """
     added = T._parse_datatype_string(f"`{out}` string, `{out}_status` string, `{out}_error` string, `{out}_attempts` int")
     kept = [f for f in df.schema.fields if f.name not in added.names]
@@ -155,7 +158,7 @@ def infer_in_rounds(
         if not alive:
             break
         server = F.element_at(F.array(*map(F.lit, alive)), (F.pmod(F.xxhash64(key, F.lit(n)), F.lit(len(alive))) + 1).cast("int"))
-        asked = written(open_.coalesce(max(1, most_in_flight // in_flight)).withColumn("_server", server).mapInArrow(ask, schema), "asked")
+        asked = _in_waves(open_.withColumn("_server", server), prompt, max(1, most_in_flight // in_flight), ask, schema)
         settled.append(asked.where("NOT _down"))
         down = asked.where("_down")
         dead |= {r[0] for r in down.select("_server").distinct().collect()}  # servers are few
@@ -170,6 +173,22 @@ def infer_in_rounds(
     return reduce(DataFrame.unionByName, [x.select(*columns) for x in settled])
 
 
+def _in_waves(rows: DataFrame, prompt: str, tasks: int, ask: Callable[[Iterator], Iterator], schema: T.StructType) -> DataFrame:
+    """rows through ask, written; at most `tasks` tasks run at once, and what one reads is bounded."""
+    spark = rows.sparkSession
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(prompt)), F.lit(0))).first()[0]
+    waves = -(-size // (tasks * WAVE_BYTES))
+    if waves <= 1:
+        return written(rows.coalesce(tasks).mapInArrow(ask, schema), "asked")
+    dealt, asked = place(spark, "waves"), place(spark, "asked")
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_ROWS.bit_length() - 1) + F.spark_partition_id()  # no shuffle: each task deals out its own rows
+    rows.withColumn("_wave", F.pmod(block, F.lit(waves)).cast("int")).write.partitionBy("_wave").parquet(dealt)
+    table = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_wave", T.IntegerType())])).parquet(dealt)
+    for wave in range(waves):
+        table.where(F.col("_wave") == wave).drop("_wave").coalesce(tasks).mapInArrow(ask, schema).write.mode("append").parquet(asked)
+    return spark.read.schema(schema).parquet(asked)
+
+
 def check_key(df: DataFrame, key: str) -> None:
     """Raises ValueError if key is null or repeated in df: results could not be told apart."""
     bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).head(1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notewright.functions.jsontext import json_valid
 from notewright.operators import annotations, flatten, gold, inference, metrics, prepare, remap, retry, tokens
 from notewright.plans import structured
+from notewright.plans.inference import SERVERS, RuleModel
 from notewright.schemas import ANNOTATION_LOG, CODES, GOLD_ENTITY, GOLD_FIELDS, REFS
 from notewright.sources import annotation_log, ranged, readers, sinks
 from notewright.streaming import shards
@@ -466,3 +467,18 @@ def test_pruned_walk_goes_into_unlike_elements(spark):
     text = '[7, {"id": "r0_0", "a": [1, [{"reference": "A/r1_0"}]], "b": {"reference": {"reference": "B/r2_0"}}, "c": {"d": 1}}, {"reference": 5}]'
     edges = flatten.refs(frame(spark, [(1, text)], "k int, payload string"), "k", "payload").collect()
     assert {(r.src_resource_index, r.path, r.target_id) for r in edges} == {(1, "$.a[1][0]", "r1_0"), (1, "$.b.reference", "r2_0")}
+
+
+def test_rounds_go_in_waves_of_bounded_tasks(spark, monkeypatch):
+    rows = spark.range(100).select("id", F.concat(F.lit("x" * 50), F.col("id").cast("string")).alias("prompt"), F.lit(2048).alias("tokens"))
+
+    def asked():
+        return inference.infer_in_rounds(rows, RuleModel, SERVERS, "id", "prompt", "tokens", "out", in_flight=1, most_in_flight=2)
+
+    answers = lambda df: {tuple(r)[:-1] for r in df.collect()}  # noqa: E731  all but the number of attempts
+    whole = answers(asked())
+    monkeypatch.setattr(inference, "WAVE_BYTES", 260)
+    monkeypatch.setattr(inference, "BLOCK_ROWS", 4)
+    waves = asked()
+    assert waves.count() == 100 and answers(waves) == whole
+    assert waves.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 25  # a task's rows, 50 before
