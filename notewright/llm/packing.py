@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.llm.common import checkpoint, shared_table, shuffle_parts
-from notewright.llm.tokens import tokenizer
+from notewright.llm.tokens import forget, tokenizer
 
 SEQUENCE, GRAIN, PERIOD_SEQUENCES = 2048, 128, 128
 END_ID = 1
@@ -262,6 +262,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: Mapping[str, float] | No
     def cut(batches):
         import pyarrow as pa
 
+        forget()  # all ids are written: what encoding left in this worker is not needed again
         for batch in batches:
             doc_id, name, queue, ids = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
             at, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()

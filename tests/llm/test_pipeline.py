@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 
-from notewright.llm import language_id, mixing, secret_scan
+from notewright.llm import language_id, mixing, packing, secret_scan
 from tests.compare import MEDIUM, bag, connect
 from tests.llm import brute
 from tests.llm.test_queries import held_out
@@ -109,3 +109,12 @@ def test_language_tasks_give_back_what_packing_left(monkeypatch):
     monkeypatch.setattr(language_id, "forget", lambda: calls.append(1))
     language_id.predict(None, language_id.LanguageModel({}))
     assert list(caught[0]([])) == [] and calls == [1]
+
+
+def test_packing_gives_back_its_tokenizers(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    mark = tmp_path / "given back"
+    monkeypatch.setattr(packing, "forget", lambda: mark.touch())
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect() and mark.exists()
