@@ -26,6 +26,8 @@ from notewright.sources.shared import written
 #: Levels that a walk takes in its first pass over resources; each further pass takes twice as many, up to the second.
 FIRST_LEVELS, MOST_LEVELS = 6, 48
 
+#: Values that mostly differ are written as they are: looking them up in dictionaries costs more than the bytes do.
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 #: Columns of a resource that a reference to it is resolved by.
 NAMED = ("resource_index", "id", "description")
@@ -80,21 +82,33 @@ def _ok(df: DataFrame, key: str, payload: str | None) -> DataFrame:
     return _notes(df, key, payload).where("note_status = 'ok'")
 
 
-def _resources(df: DataFrame, key: str, payload: str | None, record: str) -> DataFrame:
+def _resources(df: DataFrame, key: str, record: str) -> DataFrame:
     """(key, resource_index, _o): the objects among the elements of ok notes as `record`; the index counts all elements, from 0.
 
     An object is read in one pass, whatever the number of its fields; a field of another kind than the
     record's is null. It is read before the array is opened, where no filter can have it read again.
     """
     read = F.transform("items", lambda r: F.try_variant_get(r, "$", record))
-    each = _ok(df, key, payload).select(key, F.posexplode(read).alias("resource_index", "_o"))
+    each = _ok(df, key, None).select(key, F.posexplode(read).alias("resource_index", "_o"))
     return each.where("_o IS NOT NULL").withColumn("resource_index", F.col("resource_index").cast("bigint"))
 
 
-def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: bool = False, columns: Sequence[str] = CODES) -> DataFrame:
-    """key and the flat columns of every resource of an array.
+def _read(df: DataFrame, key: str, payload: str, record: str) -> DataFrame:
+    """As _resources(), from texts, with no variant of an element between; a text that the strict reader refuses is a row of its own, in `_refused`."""
+    text = F.col(payload)
+    some = text.isNotNull() & (text != "")
+    each = df.select(F.col(key), F.when(some, text).alias("_text")).withColumn("_doc", strict_items(F.col("_text"), record))
+    each = each.select(key, F.col("_doc.items").alias("_items"), F.when(F.col("_doc").isNull(), F.col("_text")).alias("_refused"))
+    each = each.select(key, "_refused", F.posexplode_outer("_items").alias("resource_index", "_o")).where("_o IS NOT NULL OR _refused IS NOT NULL")
+    return each.withColumn("resource_index", F.col("resource_index").cast("bigint"))
+
+
+def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: bool = False, columns: Sequence[str] = CODES, numbers: Sequence[str] = ()) -> DataFrame:
+    """key and the flat columns of every resource of an array, `numbers` among them in their normal form.
 
     both_schedules also reads schedule_info as the extraction contract spells it; only `columns` are read.
+    Texts are read straight to the record and the columns written once, with the texts that the reader refused beside
+    them; only those are parsed on their own, if there are any.
     """
     paths = {name: path for name, path in CODE_PATHS.items() if name in columns}
     spelt = ["$.schedule_info"] if both_schedules and "schedule_info" in columns else []
@@ -107,12 +121,29 @@ def codes(df: DataFrame, key: str, payload: str | None = None, both_schedules: b
         field["valueString"] = _value_string(F.col("_o.valueString"))
     if spelt:
         field["schedule_info"] = F.coalesce(field["schedule_info"], F.col("_o.schedule_info"))
-    return _resources(df, key, payload, record).select(key, *[field[c].alias(c) for c in columns])
+    if payload is None:
+        found = _resources(df, key, record).select(key, *[field[c].alias(c) for c in columns])
+        return normalized(found, numbers) if numbers else found
+    flat = _read(df, key, payload, record).select(key, *[field[c].alias(c) for c in columns], "_refused")
+    rows = written(flat.withColumn("_normal", _all_normal(numbers)), "codes", **PLAIN)
+    found = _settled(rows.where("_refused IS NULL").drop("_refused"), numbers)
+    refused = rows.where("_refused IS NOT NULL")
+    if refused.isEmpty():
+        return found
+    return found.unionByName(codes(parsed(refused.select(key, "_refused"), key, "_refused"), key, None, both_schedules, columns, numbers))
 
 
 def normalized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with the normal form of these values, written once: only rows with a value in another form go on to be normalized, if there are any."""
-    rows = written(df.withColumn("_normal", F.forall(F.array(*columns), is_normal)), "values")
+    return _settled(written(df.withColumn("_normal", _all_normal(columns)), "values"), columns)
+
+
+def _all_normal(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [is_normal(F.col(c)) for c in columns], F.lit(True))
+
+
+def _settled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Written rows without `_normal`; those where it is false with the normal form of `columns`."""
     others = rows.where("NOT _normal")
     if others.isEmpty():
         return rows.drop("_normal")

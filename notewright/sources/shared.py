@@ -24,8 +24,8 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table there: computed once, free of its lineage, whatever reads it."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table there: computed once, free of its lineage, whatever reads it. Options are those of the parquet writer."""
     path = place(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

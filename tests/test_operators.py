@@ -482,3 +482,13 @@ def test_rounds_go_in_waves_of_bounded_tasks(spark, monkeypatch):
     waves = asked()
     assert waves.count() == 100 and answers(waves) == whole
     assert waves.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 25  # a task's rows, 50 before
+
+
+def test_codes_are_written_once(spark, monkeypatch):
+    names, write = [], flatten.written
+    monkeypatch.setattr(flatten, "written", lambda df, name, **options: names.append(name) or write(df, name, **options))
+    assert structured.flatten_codes(spark, SMALL).count() > 0 and len(names) == 1
+    texts = ['[7, {"id": "r0_0", "valueQuantity": {"value": "1e3"}}, null]', '[{"id": "r1_0", "valueQuantity": {"value": 2.50}, "x": NaN}]', "[{}] x", None, "", "{}", "[]"]
+    notes = frame(spark, list(enumerate(texts)), "k int, payload string")
+    rows = flatten.codes(notes, "k", "payload", columns=["resource_index", "id", "valueQuantity_value"], numbers=["valueQuantity_value"]).collect()
+    assert sorted(map(tuple, rows)) == [(0, 1, "r0_0", "1000"), (1, 0, "r1_0", "2.5")]
