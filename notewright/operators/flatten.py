@@ -1,7 +1,7 @@
 """Flat tables from JSON arrays of resources: codes, references, and a manifest of notes.
 
-parsed() reads each text once, to one variant an element, and writes that; status, codes and
-references all start from there. The strict native reader takes almost every text; those that it
+codes() and the reference walk read texts straight to what they write once; parsed() writes one
+variant an element, for status and for several readers. The strict native reader takes almost every text; those that it
 refuses are told apart by jsontext.json_kind, which alone runs in Python and only on them. Values
 keep the form they have in the text; objects and lists become JSON text. Notes whose array is
 empty or whose values have mixed types stay.
@@ -152,53 +152,92 @@ def _settled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 _OWNER = ["note_key", "src_resource_index", "src_resourceType", "src_id"]
 
+#: The schema of an object that holds a reference and nothing else.
+_SOLE = "OBJECT<reference: STRING>"
 
-def _met(nodes: DataFrame, path: Column, value: Column) -> DataFrame:
-    """Nodes at path: those that hold a reference and nothing else are done and keep no value."""
-    target = F.try_variant_get(value, "$.reference", "variant")
-    sole = F.when(_is_text(target), F.size(F.try_variant_get(value, "$", "map<string,variant>")) == 1)
-    found = nodes.select(*_OWNER, path.alias("path"), value.alias("node"), F.when(sole, F.try_variant_get(value, "$.reference", "string")).alias("found"), "target_ref")
-    return found.select(*_OWNER, "path", F.when(F.col("found").isNull(), F.col("node")).alias("node"), F.coalesce("target_ref", "found").alias("target_ref"))
+
+def _met(nodes: DataFrame, path: Column, value: Column, named: Column) -> DataFrame:
+    """Nodes at path, whose member reference is `named`: those that hold a string there and nothing else are done and keep no value."""
+    sole = F.when(named.isNotNull(), F.schema_of_variant(value) == _SOLE)
+    found = nodes.withColumns({"path": path, "node": value, "found": F.when(sole, F.try_variant_get(named, "$", "string"))})
+    met = {"node": F.when(F.col("found").isNull(), F.col("node")), "target_ref": F.coalesce("target_ref", "found"), "done": F.col("done") | F.col("found").isNotNull()}
+    return found.withColumns(met).select(*nodes.columns)
 
 
 def _may_hold(value: Column) -> Column:
     """Whether a member named reference may lie in value: its schema names it, or leaves out elements that are unlike."""
-    schema = F.schema_of_variant(value)
-    return F.contains(schema, F.lit("reference")) | F.contains(schema, F.lit("VARIANT"))
+    schema = F.replace(F.schema_of_variant(value), F.lit("VARIANT"), F.lit("reference"))  # named once, as it is costly
+    return F.contains(schema, F.lit("reference"))
 
 
 def _deeper(nodes: DataFrame, prune: bool) -> DataFrame:
-    """The members and elements of all nodes; an edge stays as it is, and a scalar ends. prune leaves out what holds no reference."""
+    """The members and elements of all nodes; what is done stays as it is, and a scalar ends. prune leaves out what holds no reference."""
     below = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode_outer(F.col("node").outer()))
-    below = below.where(F.col("target_ref").isNotNull() | (F.col("value").isNotNull() & (_may_hold(F.col("value")) if prune else F.lit(True))))
+    below = below.where(F.col("done") | (F.col("value").isNotNull() & (_may_hold(F.col("value")) if prune else F.lit(True))))
     step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).when(F.col("pos").isNotNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.lit(""))
-    return _met(below, F.concat("path", step), F.col("value"))
+    # read with its object: a path that is not there costs an exception a node
+    named = F.try_variant_get("value", "$", "struct<reference: variant>")["reference"]
+    return _met(below, F.concat("path", step), F.col("value"), named).select(*nodes.columns)
 
 
-def refs(df: DataFrame, key: str, payload: str | None = None) -> DataFrame:
-    """key and an edge for every object that holds a reference and nothing else, at any depth.
+def _walk(df: DataFrame, key: str, payload: str | None, own: Sequence[str], rows: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, resources): the edges as refs(), with `own` columns of the resource that holds them; with rows the resources too, of the same columns.
 
-    A pass walks several levels in one stage and writes the edges it met and the nodes it has not
-    opened yet; while there are any, another pass goes on from those. What holds no reference is left
-    out at levels 1, 2, 4, 8 and so on of a pass: a node's schema costs as much as all that lies below it.
+    Texts are read straight to nodes. A pass walks several levels in one stage and writes what it met, the nodes it has
+    not opened yet and the texts that the reader refused; only those are parsed on their own, if there are any.
     """
-    each = _ok(df, key, payload).select(F.col(key).alias("note_key"), F.posexplode("items").alias("src_resource_index", "_r"))
-    found = each.withColumn("_o", F.try_variant_get(F.col("_r"), "$", "struct<resourceType: string, id: string>")).where("_o IS NOT NULL")
-    roots = found.select("note_key", F.col("src_resource_index").cast("bigint").alias("src_resource_index"), F.col("_o.resourceType").alias("src_resourceType"), F.col("_o.id").alias("src_id"), "_r", F.lit(None).cast("string").alias("target_ref"))
-    nodes = _met(roots, F.lit("$"), F.col("_r"))
+    names = ("resourceType", "id", *own)
+    record = f"{_record([CODE_PATHS[c] for c in names])[:-1]}, reference: variant>"
+    if payload is None:
+        each = _ok(df, key, None).select(key, F.lit(None).cast("string").alias("_refused"), F.posexplode("items").alias("resource_index", "_o"))
+    else:
+        each = _read(df, key, payload, "variant")
+    each = each.withColumn("_read", F.try_variant_get("_o", "$", record))
+    owner = [*_OWNER, *(f"src_{c}" for c in own)]
+    shown = [F.col(key), F.col("resource_index").cast("bigint"), *(F.col(CODE_PATHS[c].replace("$", "_read", 1)) for c in names)]
+    # what is no object has neither node nor end and is left out at the first level: a filter here would have each object read again
+    ends, opened = F.col("_refused").isNotNull(), F.col("_read").isNotNull()
+    if rows:
+        each = each.withColumn("_row", F.explode(F.when(opened, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        ends, opened = ends | F.col("_row"), opened & ~F.col("_row")
+    roots = each.select(*[c.alias(n) for c, n in zip(shown, owner, strict=True)], F.lit("$").alias("path"), F.when(opened, F.col("_o")).alias("node"), F.when(opened, F.col("_read.reference")).alias("_named"), F.lit(None).cast("string").alias("target_ref"), "_refused", ends.alias("done"))
+    nodes = _met(roots, F.col("path"), F.col("node"), F.col("_named")).drop("_named")
     levels, passes = FIRST_LEVELS, []
     while True:
         for level in range(1, levels + 1):
             nodes = _deeper(nodes, prune=level & (level - 1) == 0)
-        walked = written(nodes.where("node IS NOT NULL OR target_ref IS NOT NULL"), "edges")
-        passes.append(walked.where("target_ref IS NOT NULL"))
-        nodes, levels = walked.where("node IS NOT NULL"), min(2 * levels, MOST_LEVELS)
+        walked = written(nodes.where("done OR node IS NOT NULL"), "edges")
+        passes.append(walked)
+        nodes, levels = walked.where("NOT done"), min(2 * levels, MOST_LEVELS)
         if nodes.isEmpty():
             break
-    edges = reduce(DataFrame.unionByName, passes)
+    named = [F.col("note_key").alias(key), *owner[1:]]
     target = split_ref(F.col("target_ref"))
     relation = F.when(F.contains("path", F.lit(".evidence")), F.lit("evidence"))
-    return edges.select(F.col("note_key").alias(key), *_OWNER[1:], "path", relation.alias("relation"), "target_ref", target["type"].alias("target_type"), target["id"].alias("target_id"))
+    edges = reduce(DataFrame.unionByName, [p.where("target_ref IS NOT NULL") for p in passes])
+    edges = edges.select(*named, "path", relation.alias("relation"), "target_ref", target["type"].alias("target_type"), target["id"].alias("target_id"))
+    resources = passes[0].where("done AND target_ref IS NULL AND _refused IS NULL").select(*named) if rows else None
+    refused = passes[0].where("_refused IS NOT NULL").select(F.col("note_key").alias(key), "_refused")
+    if payload is None or refused.isEmpty():
+        return edges, resources
+    others, their = _walk(parsed(refused, key, "_refused"), key, None, own, rows)
+    return edges.unionByName(others), resources.unionByName(their) if rows else None
+
+
+def refs(df: DataFrame, key: str, payload: str | None = None, own: Sequence[str] = ()) -> DataFrame:
+    """key and an edge for every object that holds a reference and nothing else, at any depth.
+
+    `own` are further columns of CODES, here src_..., of the resource that holds the edge. A pass walks several levels in
+    one stage; while nodes are left, another goes on from those. What holds no reference is left out at levels 1, 2, 4, 8
+    and so on of a pass: a node's schema costs as much as all that lies below it.
+    """
+    return _walk(df, key, payload, own, rows=False)[0]
+
+
+def named_refs(df: DataFrame, key: str, payload: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, resources): refs() and the NAMED columns of codes(), from texts that are read once for both."""
+    edges, rows = _walk(df, key, payload, ["description"], rows=True)
+    return edges.drop("src_description"), rows.select(key, *[F.col(f"src_{c}").alias(c) for c in NAMED])
 
 
 def resolved_refs(edges: DataFrame, resources: DataFrame, key: str) -> DataFrame:

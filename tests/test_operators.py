@@ -492,3 +492,25 @@ def test_codes_are_written_once(spark, monkeypatch):
     notes = frame(spark, list(enumerate(texts)), "k int, payload string")
     rows = flatten.codes(notes, "k", "payload", columns=["resource_index", "id", "valueQuantity_value"], numbers=["valueQuantity_value"]).collect()
     assert sorted(map(tuple, rows)) == [(0, 1, "r0_0", "1000"), (1, 0, "r1_0", "2.5")]
+
+
+@pytest.mark.parametrize(("query", "tables"), [("resolve_refs", ["edges"])])
+def test_references_are_read_and_written_once(spark, monkeypatch, query, tables):
+    names, write = [], flatten.written
+    for module in (flatten, remap):
+        monkeypatch.setattr(module, "written", lambda df, name, **options: names.append(name) or write(df, name, **options))
+    found = structured.QUERIES[query](spark, SMALL)
+    assert found.count() > 0 and names == tables
+    assert query != "remap_ids" or "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_named_references_of_texts_of_all_kinds(spark):
+    """Objects alone are resources, whatever else lies among them or however their text must be read."""
+    one = '{"id": "r0_0", "description": "d", "e": [{"reference": "A/r1_0"}]}'
+    texts = [f"[7, {one}, null, [{one}]]", f'[{one}, {{"id": "r1_0", "x": NaN}}]', "[{}] x", None, "", one, "[]", '[{"reference": "A/r9_0"}]']
+    notes = frame(spark, list(enumerate(texts)), "k int, payload string")
+    edges, resources = flatten.named_refs(notes, "k", "payload")
+    assert sorted(map(tuple, resources.collect()), key=str) == [(0, 1, "r0_0", "d"), (1, 0, "r0_0", "d"), (1, 1, "r1_0", None), (7, 0, None, None)]
+    assert edges.columns == ["k", *REFS] and {(r.k, r.src_resource_index, r.path, r.target_id) for r in edges.collect()} == {(0, 1, "$.e[0]", "r1_0"), (1, 0, "$.e[0]", "r1_0"), (7, 0, "$", "r9_0")}
+    own = flatten.refs(flatten.parsed(notes, "k", "payload"), "k", own=["description"])
+    assert {(r.k, r.src_description) for r in own.collect()} == {(0, "d"), (1, "d"), (7, None)}
